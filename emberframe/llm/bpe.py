@@ -2,9 +2,9 @@
 
 Texts are cut into pre-tokens by the tokenizer's pattern. A chunk of neighbouring rows of a task explodes into its
 distinct pre-tokens, numbered in the chunk, and into one stream of those numbers for each text, in order: the positions.
-Pre-tokens shuffle by their bytes, so that each distinct one is encoded once, and its ids go back to the chunks that hold
-it, where the streams are put together again by position. So what shuffles is each chunk's vocabulary and one or two bytes
-a pre-token, instead of a row for each pre-token; a frequent pre-token has one row a chunk at most.
+Pre-tokens shuffle by a hash of their bytes, packed by bucket, so that each distinct one is encoded once, and its ids go
+back to the chunks that hold it, where the streams are put together again by position. So what shuffles is each chunk's
+vocabulary and about two bytes a pre-token, instead of a row for each pre-token; a frequent pre-token counts once a chunk.
 
 Decoding joins the ids with the table of token bytes, which has as many rows as the vocabulary.
 
@@ -25,7 +25,11 @@ from pyspark.sql import DataFrame
 from emberframe.llm.common import by_batch, ident, parts, sha256, texts
 
 #: Characters of a chunk at most, but for one longer text.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 24_000_000
+#: Distinct pre-tokens whose ids a task keeps at most.
+KEPT = 500_000
+#: Buckets of pre-tokens for each partition.
+BUCKETS = 4
 
 
 def vocabulary() -> str:
@@ -122,14 +126,15 @@ def _stream(text: str, pieces: _Pieces) -> np.ndarray:
         return np.array([number[w] for w in cut(text)], np.uint32)
 
 
-def _numbered(batches, compiled):
-    """Chunks of texts: (key, ids of the rows, distinct pre-tokens, numbers for each row)."""
+def _chunks(batches, compiled, with_streams: bool):
+    """(key, ids of the rows, distinct pre-tokens, streams) of each chunk. Both passes number pre-tokens alike: by the first
+    piece that has them."""
     rows, streams, size = [], [], 0
     pieces = _Pieces(_Numbers(), compiled.findall)
 
     def done():
-        digest = "\0".join(map(str, rows)).encode() + streams[0].tobytes() + streams[-1].tobytes()
-        return sha256(digest)[:24] + f"{len(pieces.number):x}", rows, list(pieces.number), streams
+        key = f"{rows[0]}/{len(rows)}/{size}/{len(pieces.number)}"
+        return int(sha256(key.encode())[:15], 16), rows, list(pieces.number), streams
 
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
@@ -138,14 +143,32 @@ def _numbered(batches, compiled):
                 rows, streams, size = [], [], 0
                 pieces = _Pieces(_Numbers(), compiled.findall)
             rows.append(doc_id)
-            streams.append(_stream(text, pieces))
             size += len(text)
+            if with_streams:
+                streams.append(_pack(_stream(text, pieces)))
+            else:
+                _touch(text, pieces)
     if rows:
         yield done()
 
 
+def _touch(text: str, pieces: _Pieces) -> None:
+    """Numbers what _stream would, in its order."""
+    number, cut = pieces.number, pieces.cut
+    first, *rest = text.split(" ")
+    for w in cut(first):
+        number[w]
+    try:
+        for p in dict.fromkeys(rest):
+            if p not in pieces:
+                pieces[p]
+    except ValueError:
+        for w in cut(text):
+            number[w]
+
+
 def _pack(numbers: np.ndarray) -> bytes:
-    """The bytes of a stream by significance, deflated."""
+    """The bytes of numbers by significance, deflated."""
     return zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
@@ -154,25 +177,39 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(4, -1).T).view("<u4").ravel()
 
 
-def _explode(split_pattern: str, words: bool):
+def _words(split_pattern: str, buckets: int):
+    """A row for each chunk and bucket of pre-tokens: their numbers, lengths and bytes."""
+
+    def run(batches):
+        import regex
+
+        for key, _, number, _ in _chunks(batches, regex.compile(split_pattern), False):
+            data = [w.encode("utf-8", "replace") for w in number]
+            bucket = np.fromiter(map(zlib.crc32, data), np.int64, len(data)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            out = []
+            for own in np.split(order, at[1:]) if len(order) else []:
+                some = [data[i] for i in own.tolist()]
+                lengths = np.fromiter(map(len, some), np.uint32, len(some))
+                out.append((int(bucket[own[0]]), _pack(np.diff(own, prepend=0)), _pack(lengths), zlib.compress(b"".join(some), 6)))
+            for i in range(0, len(out), 256):
+                b, n, k, w = zip(*out[i : i + 256], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array([key] * len(b), pa.int64()), pa.array(n, pa.binary()), pa.array(k, pa.binary()), pa.array(w, pa.binary())], ["bucket", "chunk", "numbers", "lengths", "words"])
+
+    return run
+
+
+def _streams(split_pattern: str):
+    """A row for each text: its chunk and the numbers of its pre-tokens in order."""
+
     def run(batches):
         import regex
 
-        compiled = regex.compile(split_pattern)
-        for key, rows, number, streams in _numbered(batches, compiled):
-            step = 20_000 if words else 200
-            for i in range(0, len(number) if words else len(rows), step):
-                if words:
-                    own = number[i : i + step]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([key] * len(own)), pa.array(range(i, i + len(own)), pa.int32()), pa.array([w.encode("utf-8", "replace") for w in own], pa.binary())], ["chunk", "number", "word"]
-                    )
-                else:
-                    own = streams[i : i + step]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([key] * len(own)), pa.array(range(i, i + len(own)), pa.int32()), pa.array(rows[i : i + step], id_type(rows)), pa.array([_pack(x) for x in own], pa.binary())],
-                        ["chunk", "row", "doc_id", "stream"],
-                    )
+        for key, rows, _, streams in _chunks(batches, regex.compile(split_pattern), True):
+            for i in range(0, len(rows), 500):
+                own = rows[i : i + 500]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(own), pa.int64()), pa.array(own, id_type(rows)), pa.array(streams[i : i + 500], pa.binary())], ["chunk", "doc_id", "stream"])
 
     return run
 
@@ -182,17 +219,26 @@ def id_type(rows):
 
 
 def _encode(path: str):
-    """Each distinct pre-token of a partition is encoded once."""
+    """Rows come sorted by bucket; each distinct pre-token of a bucket is encoded once."""
 
     def run(batches):
-        table, last, ids = ranks(path), None, b""
+        table, bucket = ranks(path), None
+        known: dict[bytes, list[int]] = {}
         for batch in batches:
-            out = []
-            for word in batch.column(2).to_pylist():
-                if word != last:  # rows come sorted by word
-                    last, ids = word, np.array(encode_word(word, table), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["chunk", "number", "ids"])
+            numbers, counts, out = [], [], []
+            for b, lengths, words in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                if b != bucket or len(known) > KEPT:
+                    bucket, known = b, {}
+                data, at, own = zlib.decompress(words), 0, []
+                for n in _unpack(lengths).tolist():
+                    w = data[at : at + n]
+                    at += n
+                    if (ids := known.get(w)) is None:
+                        ids = known[w] = encode_word(w, table)
+                    own.append(ids)
+                counts.append(_pack(np.fromiter(map(len, own), np.uint32, len(own))))
+                out.append(_pack(np.fromiter(chain.from_iterable(own), np.uint32)))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(counts, pa.binary()), pa.array(out, pa.binary())], ["chunk", "numbers", "counts", "ids"])
 
     return run
 
@@ -201,12 +247,18 @@ def _assemble(path: str, want: str):
     """One chunk: its pre-tokens' ids and its streams."""
 
     def run(key, words, streams):
-        number = words.column("number").to_numpy()
-        if not len(streams):
+        if not len(streams) and len(words):
             raise RuntimeError(f"chunk {key} has pre-tokens but no texts; its rows came in another order")
+        own = [
+            (n, c, i)
+            for numbers, counts, ids in zip(*(words.column(c).to_pylist() for c in ("numbers", "counts", "ids")), strict=True)
+            for n, c, i in [(np.cumsum(_unpack(numbers), dtype=np.int64), _unpack(counts), _unpack(ids))]
+        ]
+        number = np.concatenate([n for n, _, _ in own]) if own else np.empty(0, np.int64)
         ids: list = [None] * len(number)
-        for n, data in zip(number, words.column("ids").to_pylist(), strict=True):
-            ids[n] = np.frombuffer(data, "<u4")
+        for n, c, i in own:
+            for k, x in zip(n.tolist(), np.split(i, np.cumsum(c)[:-1]), strict=True):
+                ids[k] = x
         if any(x is None for x in ids):
             raise RuntimeError(f"chunk {key} misses pre-tokens")
         if want == "digest":
@@ -236,9 +288,9 @@ def _by_chunk(docs: DataFrame, path: str, split_pattern: str, want: str, schema:
     kind = dict(docs.dtypes)["doc_id"]
     kind = "string" if kind == "string" else "bigint"
     n = parts(docs)
-    words = by_batch(base, _explode(split_pattern, True), "chunk string, number int, word binary")
-    words = by_batch(words.repartition(n, "word").sortWithinPartitions("word"), _encode(path), "chunk string, number int, ids binary")
-    streams = by_batch(base, _explode(split_pattern, False), f"chunk string, row int, doc_id {kind}, stream binary")
+    words = by_batch(base, _words(split_pattern, BUCKETS * n), "bucket int, chunk long, numbers binary, lengths binary, words binary")
+    words = by_batch(words.repartition(n, "bucket").sortWithinPartitions("bucket"), _encode(path), "chunk long, numbers binary, counts binary, ids binary")
+    streams = by_batch(base, _streams(split_pattern), f"chunk long, doc_id {kind}, stream binary")
     return words.groupBy("chunk").cogroup(streams.groupBy("chunk")).applyInArrow(_assemble(path, want), schema.format(kind))
 
 
