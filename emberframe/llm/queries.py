@@ -4,14 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberframe.llm import bpe, chat, decontaminate, quality, secrets, toxicity
+from emberframe.llm import bpe, chat, decontaminate, lines, minhash, pii, quality, secrets, spotsigs, toxicity
 from emberframe.llm.common import read
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(read(spark, sf_dir, "documents"))
+
+
+def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.report(read(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(read(spark, sf_dir, "documents"))
+
+
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(read(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -32,9 +48,15 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(read(spark, sf_dir, "conversations"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") or k == "pipeline"}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_lines": lines.SQL}
