@@ -16,6 +16,8 @@ texts come back as they are.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,42 +60,48 @@ def _byte(digest: Column, i: Column) -> Column:
 
 
 def _exchanged(text: Column, digest: Column) -> Column:
-    """Each digit and letter by one of its sort."""
+    """Each digit and letter by one of its sort, other letters by Latin ones."""
+    sorts = ["0123456789", *(x for low in _LOWER.values() for x in (low, low.upper()))]
+    every = "".join(sorts)
+    starts = F.array(*[F.lit(every.index(x) + 1) for x in sorts for _ in x])
+    sizes = F.array(*[F.lit(len(x)) for x in sorts for _ in x])
 
     def one(c: Column, i: Column) -> Column:
-        out = c
-        b = _byte(digest, i)
-        for low in _LOWER.values():
-            for alphabet, like in ((low, low), (low.upper(), low.upper())):
-                out = F.when(F.lit(alphabet).contains(c), F.substr(F.lit(like), b % len(like) + 1, F.lit(1))).otherwise(out)
-        accented = c.rlike(r"\p{L}") & ~F.lit("".join(x + x.upper() for x in _LOWER.values())).contains(c)
-        latin = F.substr(F.lit(_LOWER["latin"]), b % 26 + 1, F.lit(1))
-        out = F.when(accented, F.when(c == F.lower(c), latin).otherwise(F.upper(latin))).otherwise(out)
-        return F.when(F.lit("0123456789").contains(c), (b % 10).cast("string")).otherwise(out)
+        at, b = F.instr(F.lit(every), c), _byte(digest, i)
+        other = F.substr(F.lit(_LOWER["latin"]), b % 26 + 1, F.lit(1))
+        foreign = F.when(c == F.lower(c), other).otherwise(F.upper(other))
+        same = F.substr(F.lit(every), F.get(starts, at - 1) + b % F.get(sizes, at - 1), F.lit(1))
+        return F.when(at > 0, same).when(c.rlike(r"\p{L}"), foreign).otherwise(c)
 
     return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), "")
 
 
-def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column:
-    digest = F.sha2(F.concat_ws("\x01", F.lit(key), kind, entity, attempt.cast("string")), 256)
-    email = F.concat(_exchanged(F.substring_index(entity, "@", 1), digest), F.lit("@m"), F.substr(digest, F.lit(50), F.lit(8)), F.lit(".example.net"))
-    octets = F.array_join(F.transform(F.split(entity, r"\."), lambda _, i: (_byte(digest, i) % 254 + 1).cast("string")), ".")
-    phone = F.concat(F.regexp_extract(entity, r"^(\+\d{1,3})?", 1), _exchanged(F.regexp_replace(entity, r"^\+\d{1,3}", ""), digest))
-    out = F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "phone", phone)
-    for k, names in NAMES.items():
-        shift = F.conv(F.substr(F.sha2(F.lit(key + k), 256), F.lit(1), F.lit(6)), 16, 10).cast("int") % (len(names) - 1) + 1
-        given = F.substring_index(entity, " ", 1)
-        at = F.array_position(F.array(*map(F.lit, names)), given).cast("int") - 1
-        other = F.element_at(F.array(*map(F.lit, names)), ((at + shift) % len(names) + 1).cast("int"))
-        out = out.when(kind == k, F.when(entity.contains(" "), F.concat(other, F.lit(" "), _exchanged(F.substring_index(entity, " ", -1), digest))).otherwise(other))
-    return out.otherwise(_exchanged(entity, digest))
+def surrogate(known: DataFrame, key: str) -> DataFrame:
+    """known (kind, entity, attempt) with the surrogate of that attempt."""
+    entity, kind, digest, core = (F.col(c) for c in ("entity", "kind", "digest", "core"))
+    out = known.withColumn("digest", F.sha2(F.concat_ws("\x01", F.lit(key), kind, entity, F.col("attempt").cast("string")), 256))
+    # what is exchanged character by character: addresses before the @, numbers behind the country, surnames
+    part = F.when(kind == "email", F.substring_index(entity, "@", 1)).when(kind == "phone", F.regexp_replace(entity, r"^\+\d{1,3}", ""))
+    part = part.when(kind.isin(*NAMES), F.when(entity.contains(" "), F.substring_index(entity, " ", -1)).otherwise(F.lit(""))).when(kind == "ip", F.lit("")).otherwise(entity)
+    out = out.withColumn("core", _exchanged(part, digest))
+    names, others = [], []
+    for k, own in NAMES.items():
+        shift = int(hashlib.sha256((key + k).encode()).hexdigest()[:6], 16) % (len(own) - 1) + 1
+        names += own
+        others += own[shift:] + own[:shift]
+    given = F.get(F.array(*map(F.lit, others)), F.array_position(F.array(*map(F.lit, names)), F.substring_index(entity, " ", 1)).cast("int") - 1)
+    octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_byte(digest, i) % 254 + 1).cast("string")), ".")
+    made = F.when(kind == "email", F.concat(core, F.lit("@m"), F.substr(digest, F.lit(50), F.lit(8)), F.lit(".example.net"))).when(kind == "ip", octets)
+    made = made.when(kind == "phone", F.concat(F.regexp_extract(entity, r"^(\+\d{1,3})?", 1), core))
+    made = made.when(kind.isin(*NAMES), F.when(core == "", given).otherwise(F.concat_ws(" ", given, core))).otherwise(core)
+    return out.select("kind", "entity", "attempt", made.alias("surrogate"))
 
 
 def surrogates(entities: DataFrame, scratch: Scratch, key: str = KEY) -> DataFrame:
     """kind, entity, surrogate of distinct (kind, entity), all surrogates different from each other and from all entities."""
     known = scratch.put(entities.withColumn("attempt", F.lit(0)), "entities")
     while True:
-        made = scratch.put(known.select("kind", "entity", "attempt", surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), key).alias("surrogate")), "made")
+        made = scratch.put(surrogate(known, key), "made")
         single = made.kind.isin(*NAMES) & ~made.entity.contains(" ")
         first = made.groupBy("surrogate").agg(F.min(F.struct((~single).alias("later"), "entity")).alias("first"), F.count("*").alias("n")).where("n > 1").select("surrogate", F.col("first.entity").alias("first"))
         shared = made.join(first, "surrogate").where((F.col("entity") != F.col("first")) & ~single).select("entity")
