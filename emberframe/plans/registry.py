@@ -1,13 +1,12 @@
-"""Queries over the given tables, each with the SQL that it is held against."""
+"""Queries by name, each with the SQL that it is held against."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-FLAGSHIP = "k4_find_median_pixel"
+FLAGSHIP = "k7_label_regions"
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -25,14 +24,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    from emberframe.plans import geometry, helpers, images, movies, sequences  # noqa: F401  they register themselves
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
-
-
-@query(FLAGSHIP)
-def _flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.size("embedding").alias("n"))
