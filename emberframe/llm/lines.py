@@ -29,7 +29,7 @@ SIMILAR = 0.8
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, row (a hash of the text), at, n, lead, masked: lines of LEAST tokens or more."""
     each = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("line", F.trim("line"))
-    masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", "[^ ]*[0-9][^ ]*", "<*>")).otherwise(F.col("line"))
+    masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", "<*>")).otherwise(F.col("line"))
     each = each.select("doc_id", "row", "at", masked.alias("masked"))
     n = F.length("masked") - F.length(F.replace(F.col("masked"), F.lit(" "), F.lit(""))) + 1
     return each.select("doc_id", "row", "at", n.alias("n"), F.substring_index("masked", " ", LEAD).alias("lead"), "masked").where(F.col("n") >= LEAST)
