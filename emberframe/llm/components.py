@@ -33,27 +33,44 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         state = now
 
 
+#: Buckets of more members than this are compared in tiles of members, not in written pairs.
+PAIRS_UP_TO, TILE = 32, 256
+
+
 def shared(banded: DataFrame) -> DataFrame:
-    """Of (rep, bucket), the buckets of several, each with its first and last member."""
-    full = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("first"), F.max("rep").alias("last")).where("n > 1").drop("n")
-    return banded.join(full, "bucket")
+    """Of (rep, bucket), the buckets of several: with their number of members and their hub, the member whose buckets are
+    fullest. In a group of near copies that is one close to what they were copied from."""
+    full = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    own = banded.join(full, "bucket")
+    weight = own.groupBy("rep").agg(F.sum("n").alias("weight"))
+    own = own.join(weight, "rep")
+    hub = own.groupBy("bucket").agg(F.max("weight").alias("most"))
+    first = own.join(hub, "bucket").where("weight = most").groupBy("bucket").agg(F.min("rep").alias("hub"))
+    return own.select("bucket", "rep", "n").join(first, "bucket")
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Verified links and classes of what meets in buckets: members as from `shared`, verify keeps true pairs of (a, b).
+def linked(
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, tile: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """Classes (node, component) of what meets in buckets: members as from `shared`; verify keeps the true pairs of (a, b).
 
-    First all members against the first and the last one of their bucket; then, in each bucket, the pairs of members whose
-    classes still differ. So every two that meet are verified or in one class, without all pairs of a large group."""
-    stars = members.select(F.explode(F.array(F.struct(F.col("first").alias("a"), F.col("rep").alias("b")), F.struct(F.col("rep").alias("a"), F.col("last").alias("b")))).alias("x")).select("x.*").where("a < b").distinct()
+    First all members against their bucket's hub; verified pairs become classes. Then, in each bucket, the members whose
+    classes still differ are compared: in small buckets as pairs; in others by tile, which gets rows of members by
+    (bucket, i, j) with their class (`own`) and returns links enough to join the classes that have a true pair there. So
+    every two that meet are compared or in one class, without all pairs of a large group being written."""
+    stars = members.where("rep != hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     links = scratch.put(verify(stars), "links")
     class_of = components(links, scratch)
-    named = members.select("bucket", "rep").join(class_of.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("own"))
-    several = named.select("bucket", "own").distinct().groupBy("bucket").count().where("count > 1").select("bucket")
+    named = members.select("bucket", "rep", "n").join(class_of.select(F.col("node").alias("rep"), "component"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("own"))
+    several = named.groupBy("bucket").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low != high").select("bucket")
     named = scratch.put(named.join(several, "bucket", "left_semi"), "named")
-    held = named.select("bucket", "own").distinct()
-    met = held.join(held.select("bucket", F.col("own").alias("other")), "bucket").where("own < other")
-    cross = met.join(named.withColumnRenamed("rep", "x"), ["bucket", "own"]).join(named.select("bucket", F.col("own").alias("other"), F.col("rep").alias("y")), ["bucket", "other"])
-    cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = scratch.put(verify(cross), "more")
-    every = links.unionByName(more)
-    return every, components(every, scratch)
+    small = named if tile is None else named.where(F.col("n") <= PAIRS_UP_TO)
+    cross = small.join(small.select("bucket", F.col("rep").alias("other"), F.col("own").alias("theirs")), "bucket").where("rep < other and own != theirs")
+    more = scratch.put(verify(cross.select(F.col("rep").alias("a"), F.col("other").alias("b")).distinct()), "more")
+    every = links.select("a", "b").unionByName(more.select("a", "b"))
+    if tile is not None:
+        big = named.where(F.col("n") > PAIRS_UP_TO).withColumn("k", F.ceil(F.col("n") / TILE).cast("int"))
+        at = big.withColumn("at", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")).select("bucket", "rep", "own", "at", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("with"))
+        tiles = at.select("bucket", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), "at", "rep", "own")
+        every = every.unionByName(scratch.put(tile(tiles), "tiled").select("a", "b"))
+    return components(every, scratch)

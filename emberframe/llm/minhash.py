@@ -8,10 +8,10 @@ lower its own likeness.
 
 SAMPLES consistent samples make BANDS bands. Texts with equal words become one representative. Representatives that meet in
 a band's bucket are candidates, verified by weighted Jaccard similarity of their full features:
-1. in each bucket, all members against the bucket's first and last one; verified pairs become classes;
-2. in each bucket, all pairs of members whose classes differ. So every pair that meets in a bucket is verified or in one
-   class already, without all pairs of a large group being written.
-Classes then grow by the further links.
+1. in each bucket, all members against the bucket's hub; verified pairs become classes;
+2. in each bucket, the members whose classes differ: as pairs in small buckets, in large ones by tiles of members, which are
+   compared by a matrix product and return only as many links as join their classes.
+So every pair that meets in a bucket is verified or in one class already, without all pairs of a large group being written.
 
 A null or empty text has no words; texts without words are equal to each other. Of rows with equal doc_id and equal words
 one counts; a doc_id with several texts is in the class of each. Rows with a null doc_id are left out of classes.
@@ -204,13 +204,68 @@ def _verified(pairs: DataFrame, features: DataFrame, table: np.ndarray, similari
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], ["a", "b", "similarity"]).filter(keep)
 
     kind = pairs.dtypes[0][1]
-    left = pairs.join(features.select(F.col("doc").alias("a"), F.col("features").alias("fa")), "a")
-    both = left.join(features.select(F.col("doc").alias("b"), F.col("features").alias("fb")), "b").select("a", "b", "fa", "fb")
+    left = pairs.hint("merge").join(features.select(F.col("doc").alias("a"), F.col("features").alias("fa")), "a")
+    both = left.hint("merge").join(features.select(F.col("doc").alias("b"), F.col("features").alias("fb")), "b").select("a", "b", "fa", "fb")
     return by_batch(both, run, f"a {kind}, b {kind}, similarity double")
 
 
+def _levels(data: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted features as a plain set: an element for each count of a shingle, weighing what that count adds."""
+    flat = np.frombuffer(data, "<u4")
+    n = int(flat[0])
+    x, rest = flat[1 : n + 1].astype(np.uint64), flat[n + 1 :]
+    tf = np.ones(n, np.int64)
+    tf[rest[: len(rest) // 2]] = rest[len(rest) // 2 :]
+    of = np.repeat(np.arange(n), tf)
+    level = np.arange(len(of)) - np.repeat(np.cumsum(tf) - tf, tf) + 1
+    gain = 1 + np.log(level) - np.where(level > 1, 1 + np.log(np.maximum(level - 1, 1)), 0.0)
+    return (x[of] << np.uint64(32)) | level.astype(np.uint64), gain * table[(x[of] >> np.uint64(32 - IDF_BITS)).astype(np.intp)]
+
+
+def _tiled(tiles: DataFrame, features: DataFrame, table: np.ndarray, similarity: float) -> DataFrame:
+    def run(key, batch):
+        rows = batch.to_pylist()
+        i, j = key[1].as_py(), key[2].as_py()
+        sets = [_levels(r["features"], table) for r in rows]
+        left = [k for k, r in enumerate(rows) if r["at"] == i]
+        right = [k for k, r in enumerate(rows) if r["at"] == j]
+        every, number = np.unique(np.concatenate([x for x, _ in sets]), return_inverse=True)
+        weight = np.zeros(len(every))
+        weight[number] = np.concatenate([w for _, w in sets])
+        cuts = np.split(number, np.cumsum([len(x) for x, _ in sets])[:-1])
+        both = np.zeros((len(left), len(right)))
+        for at in range(0, len(every), 20_000):  # a slice of the elements at a time bounds the matrices
+            a, b = (np.zeros((len(side), min(20_000, len(every) - at)), np.float64) for side in (left, right))
+            for m, side in ((a, left), (b, right)):
+                for row, k in enumerate(side):
+                    own = cuts[k][(cuts[k] >= at) & (cuts[k] < at + 20_000)] - at
+                    m[row, own] = 1
+            both += (a * weight[at : at + 20_000]) @ b.T
+        total = np.array([w.sum() for _, w in sets])
+        near = both >= similarity * (total[left][:, None] + total[right][None, :] - both) * (1 - 1e-12)
+        root: dict = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        out = []
+        for p, q in np.argwhere(near).tolist():
+            r, s = rows[left[p]], rows[right[q]]
+            u, v = find(r["own"]), find(s["own"])
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                out.append((min(r["rep"], s["rep"]), max(r["rep"], s["rep"])))
+        return pa.table({"a": pa.array([x for x, _ in out], batch.schema.field("rep").type), "b": pa.array([x for _, x in out], batch.schema.field("rep").type)})
+
+    kind = dict(tiles.dtypes)["rep"]
+    own = tiles.hint("merge").join(features.select(F.col("doc").alias("rep"), "features"), "rep").select("bucket", "i", "j", "at", "rep", "own", "features")
+    return own.groupBy("bucket", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), n_links (verified links of its words' representative)."""
+    """doc_id, class_id (the least doc_id of its class)."""
     scratch = Scratch(docs.sparkSession)
     docs = ident(docs, "doc_id", "text").where("doc_id is not null")
     table = idf(docs)
@@ -219,18 +274,14 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     banded = scratch.put(reps.select("rep", F.explode("bands").alias("bucket")), "banded")
     members = scratch.put(shared(banded), "members")
     scratch.drop(banded)
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct().hint("merge")  # the same plan at every size
     features = scratch.put(_packed(docs.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "text")).dropDuplicates(["doc", "features"]), "features")
-
-    every, class_of = linked(members, lambda pairs: _verified(pairs, features, table, similarity), scratch)
-    degree = every.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    class_of = linked(
+        members, lambda pairs: _verified(pairs, features, table, similarity), scratch, lambda tiles: _tiled(tiles, features, table, similarity)
+    )
     rep_of = signed.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    named = rep_of.join(class_of.select(F.col("node").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
-    return (
-        signed.select("doc_id", "key").distinct()
-        .join(named.select("key", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "key")
-        .select("doc_id", "class_id", "n_links")
-    )
+    named = rep_of.join(class_of.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("class_id"))
+    return signed.select("doc_id", "key").distinct().join(named, "key").select("doc_id", "class_id")
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

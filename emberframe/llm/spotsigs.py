@@ -130,6 +130,6 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         both = both.where(F.least(F.size("x"), F.size("y")) >= F.greatest(F.size("x"), F.size("y")) * F.lit(similarity))
         return both.select("a", "b", likeness(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= similarity)
 
-    _, class_of = linked(members, verify, scratch)
+    class_of = linked(members, verify, scratch)
     named = sets.select("key", "rep").join(class_of.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return keyed.select("doc_id", "key").distinct().join(named, "key").select("doc_id", F.coalesce("component", "rep").alias("class_id"))

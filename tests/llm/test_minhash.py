@@ -3,42 +3,11 @@ import random
 from emberframe.llm import minhash
 from emberframe.llm.common import Scratch
 from emberframe.llm.components import components
+from tests_llm_brute import brute_classes
 
 DOCS = "doc_id long, text string, key string, rep int"
 
 
-def brute(docs, similarity):
-    """Classes by all pairs of weighted Jaccard similarity."""
-    import numpy as np
-
-    n = len(docs)
-    df = np.zeros(1 << minhash.IDF_BITS)
-    cache = minhash._WordHashes()
-    sets = {}
-    for i, t in docs:
-        x, tf = np.unique(minhash.shingles(minhash.word_hashes(t or "", cache)), return_counts=True)
-        sets[i] = (x, tf)
-        df[np.unique(x >> np.uint64(64 - minhash.IDF_BITS)).astype(int)] += 1
-    idf = np.minimum(np.log1p((1 + n) / (1 + df)), minhash.IDF_CAP)
-    w = {i: dict(zip(x.tolist(), ((1 + np.log(tf)) * idf[(x >> np.uint64(64 - minhash.IDF_BITS)).astype(int)]).tolist())) for i, (x, tf) in sets.items()}
-    root = {i: i for i, _ in docs}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in w:
-        for j in w:
-            if i < j:
-                both = sum(min(v, w[j][k]) for k, v in w[i].items() if k in w[j])
-                total = sum(w[i].values()) + sum(w[j].values()) - both
-                if (both / total if total else 1.0) >= similarity:
-                    a, b = sorted((find(i), find(j)))
-                    root[b] = a
-    return {i: find(i) for i in root}
-
-
 def test_classes_equal_brute_force(spark):
     r = random.Random(4)
     vocab = [f"w{i}" for i in range(300)]
@@ -55,7 +24,7 @@ def test_classes_equal_brute_force(spark):
     order = list(range(len(texts)))
     r.shuffle(order)
     docs = [(i, texts[k]) for i, k in enumerate(order)]
-    want = brute(docs, 0.8)
+    want = brute_classes(docs)
     df = spark.createDataFrame([(i, t, "clash", 0) for i, t in docs] + [(0, docs[0][1], "clash", 0), (None, "one two", "", 0)], DOCS)
     got = {x.doc_id: x.class_id for x in minhash.classes(df).collect()}
     assert got.keys() == want.keys()
@@ -66,6 +35,23 @@ def test_classes_equal_brute_force(spark):
     assert {x.doc_id for x in kept.collect()} == set(want.values()) | {None}
 
 
+def test_large_groups_in_tiles_equal_pairs(spark, monkeypatch):
+    from emberframe.llm import components as cc
+
+    r = random.Random(8)
+    base = [f"u{i}" for i in range(90)]
+    docs = []
+    for i in range(150):
+        own = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            own[r.randrange(len(own))] = f"x{r.randrange(999)}"
+        docs.append((i, " ".join(own + ["tail"] * (i % 3))))
+    monkeypatch.setattr(cc, "PAIRS_UP_TO", 4)
+    monkeypatch.setattr(cc, "TILE", 16)
+    got = {x.doc_id: x.class_id for x in minhash.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_classes(docs)
+
+
 def test_no_rows(spark):
     assert minhash.classes(spark.createDataFrame([], DOCS)).count() == 0
 
