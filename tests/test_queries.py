@@ -1,0 +1,42 @@
+"""Every query with SQL against DuckDB, on the smallest tables."""
+
+import glob
+import os
+
+import pytest
+
+from emberframe.plans import registry
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    import duckdb
+
+    con = duckdb.connect()
+    for p in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
+    return con
+
+
+def rows(df):
+    own = df[sorted(df.columns)].astype(object)
+    own = own.where(own.notna(), None)
+    return sorted((tuple(round(x, 6) + 0.0 if isinstance(x, float) else x for x in r) for r in own.itertuples(index=False)), key=repr)
+
+
+@pytest.mark.parametrize("name", list(registry.queries()))
+def test_query(name, spark, duck):
+    got = registry.queries()[name](spark, SF).toPandas()
+    if name in registry.oracle_sql():
+        want = duck.execute(registry.oracle_sql()[name]).df()
+        assert sorted(got.columns) == sorted(want.columns)
+        assert rows(got) == rows(want)
+    assert len(got)
+
+
+def test_entry(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() > 0
