@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberframe.llm.common import Scratch, ident, parts
+from emberframe.llm.common import Scratch, parts
 from emberframe.llm.components import linked, shared
 
 SIMILARITY = 0.8
@@ -34,18 +34,26 @@ ANCHORS = (
 _MARK = "\x01"
 
 
-def signatures(text: Column) -> Column:
-    """The sorted set of hashes of a text's spot signatures."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    joined = F.array_join(F.transform(words, lambda w: F.concat(w, F.when(w.isin(sorted(set(ANCHORS))), F.lit(_MARK)).otherwise(F.lit(" ")))), "")
-    spots = F.split(joined, " ")  # a content word with the anchors before it; at last the anchors at the end
-    content = F.transform(spots, lambda e: F.substring_index(e, _MARK, -1))
-    pairs = F.arrays_zip(spots.alias("e"), F.slice(content, F.lit(2), F.size(content)).alias("next"))
-    found = F.filter(pairs, lambda z: z["e"].contains(_MARK) & ~z["e"].endswith(_MARK))
-    spot = F.transform(found, lambda z: F.hash(z["e"], F.coalesce(z["next"], F.lit(""))))
-    plain = F.transform(F.arrays_zip(words.alias("e"), F.slice(words, F.lit(2), F.size(words)).alias("next")), lambda z: F.hash(F.lit(_MARK), z["e"], F.coalesce(z["next"], F.lit(""))))
-    whole = F.when(text == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(text, F.lit(_MARK))))
-    return F.array_sort(F.array_distinct(F.when(F.size(spot) > 0, spot).when(F.size(plain) > 0, plain).otherwise(whole)))
+def signed(df: DataFrame, **texts: str) -> DataFrame:
+    """df with, for each new column, the sorted set of hashes of the spot signatures of a text column.
+
+    In steps, each of whose results is used more than once by the next: so the optimiser keeps them apart, and nothing is
+    computed twice."""
+    keep = df.columns
+    every = F.lit(1 << 30)
+    columns = lambda make: {f"{o}_{k}": v for o, t in texts.items() for k, v in make(o, F.col(t)).items()}
+    df = df.withColumns(columns(lambda o, t: {"words": F.filter(F.split(F.lower(t), r"[^\p{L}\p{N}]+"), lambda w: w != "")}))
+    joined = lambda w: F.array_join(F.transform(w, lambda x: F.concat(x, F.when(x.isin(sorted(set(ANCHORS))), F.lit(_MARK)).otherwise(F.lit(" ")))), "")
+    # a spot is a content word with the anchors before it; the last one has only the anchors at the end
+    df = df.withColumns(columns(lambda o, t: {"spots": F.split(joined(F.col(f"{o}_words")), " ")}))
+    content = lambda o: F.transform(F.slice(F.col(f"{o}_spots"), F.lit(2), every), lambda e: F.substring_index(e, _MARK, -1))
+    pairs = lambda o: F.arrays_zip(F.col(f"{o}_spots").alias("e"), content(o).alias("next"))
+    found = lambda o: F.filter(pairs(o), lambda z: z["e"].contains(_MARK) & ~z["e"].endswith(_MARK))
+    df = df.withColumns(columns(lambda o, t: {"spot": F.transform(found(o), lambda z: F.hash(z["e"], F.coalesce(z["next"], F.lit(""))))}))
+    plain = lambda w: F.transform(F.arrays_zip(w.alias("e"), F.slice(w, F.lit(2), every).alias("next")), lambda z: F.hash(F.lit(_MARK), z["e"], F.coalesce(z["next"], F.lit(""))))
+    whole = lambda t: F.when(t == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(t, F.lit(_MARK))))
+    chosen = lambda o, t: F.when(F.size(f"{o}_spot") > 0, F.col(f"{o}_spot")).when(F.size(f"{o}_words") > 0, plain(F.col(f"{o}_words"))).otherwise(whole(t))
+    return df.select(*keep, *[F.array_sort(F.array_distinct(chosen(o, F.col(t)))).alias(o) for o, t in texts.items()])
 
 
 def shown(sigs: Column) -> Column:
@@ -82,22 +90,21 @@ def report(docs: DataFrame) -> DataFrame:
     ids = sized.groupBy("doc_id").agg(F.max("n").alias("n"), F.count("*").alias("rows"))
     ids = scratch.put(ids, "sized")
     repeated = not ids.where("rows > 1").isEmpty()
-    dealt = base.repartition(n, "doc_id")
+    dealt = signed(base, sigs="text").repartition(n, "doc_id")
     behind = dealt.join(before(ids.select("doc_id", "n"), scratch), "doc_id").select(
-        F.col("prior_id").alias("doc_id"), F.substring("text", F.lit(1), F.floor(F.col("prior_n") / 3).cast("int")).alias("start"), signatures(F.col("text")).alias("next_sigs"),
+        F.col("prior_id").alias("doc_id"), F.substring("text", F.lit(1), F.floor(F.col("prior_n") / 3).cast("int")).alias("start"), F.col("sigs").alias("next_sigs"),
         *([F.xxhash64("text").alias("h")] if repeated else []),
     )
     if repeated:  # of several rows of a document, the one with the least hash is the next document
         behind = behind.groupBy("doc_id").agg(F.min(F.struct("h", "start", "next_sigs")).alias("x")).select("doc_id", "x.start", "x.next_sigs")
     keep = F.col("n_chars") - F.floor(F.col("n_chars") / 3)
-    whole = dealt.select("doc_id", "text", F.length("text").cast("long").alias("n_chars")).join(behind, "doc_id", "left")
+    whole = dealt.select("doc_id", "text", "sigs", F.length("text").cast("long").alias("n_chars")).join(behind, "doc_id", "left")
     edited = whole.select(
-        "doc_id", "n_chars", "next_sigs", "text",
+        "doc_id", "n_chars", "sigs", "next_sigs",
         F.concat(F.substring("text", F.lit(1), keep.cast("int")), F.substring(F.coalesce("start", F.lit("")), F.lit(1), (F.col("n_chars") - keep).cast("int"))).alias("edited"),
     )
-    signed = edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("text")).alias("sigs"), signatures(F.col("edited")).alias("edited_sigs"), "next_sigs")
-    return signed.select(
-        "doc_id", "n_chars", "edited_sha256", shown(F.col("sigs")).alias("fingerprint"), shown(F.col("edited_sigs")).alias("edited_fingerprint"),
+    return signed(edited, edited_sigs="edited").select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), shown(F.col("sigs")).alias("fingerprint"), shown(F.col("edited_sigs")).alias("edited_fingerprint"),
         likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
         F.when(F.col("next_sigs").isNull(), F.lit(0.0)).otherwise(likeness(F.col("sigs"), F.col("next_sigs"))).alias("near_next"),
     )
@@ -105,15 +112,15 @@ def report(docs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, sigs, fingerprint."""
-    out = docs.select("doc_id", signatures(F.coalesce("text", F.lit(""))).alias("sigs"))
+    out = signed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), sigs="text")
     return out.select("doc_id", "sigs", shown(F.col("sigs")).alias("fingerprint"))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class): near-duplicates by likeness of fingerprints."""
     scratch = Scratch(docs.sparkSession)
-    signed = scratch.put(ident(docs, "doc_id", "text").where("doc_id is not null").select("doc_id", signatures(F.coalesce("text", F.lit(""))).alias("sigs")), "signed")
-    keyed = signed.withColumn("key", F.sha2(shown(F.col("sigs")), 256))
+    known = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    keyed = scratch.put(signed(known, sigs="text").select("doc_id", "sigs"), "signed").withColumn("key", F.sha2(shown(F.col("sigs")), 256))
     sets = scratch.put(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sigs").alias("sigs")), "sets")
     often = sets.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("n"))
     size = F.size("sigs")
