@@ -1,0 +1,67 @@
+import numpy as np
+import pytest
+
+from emberframe.functions import polygons
+from emberframe.operators import reading
+from emberframe.streaming import registration
+
+
+def blob(dx, dy, h=48, w=64):
+    y, x = np.mgrid[:h, :w]
+    return (1000 * np.exp(-((x - 30 - dx) ** 2 / 60 + (y - 22 - dy) ** 2 / 40)) + 300 * np.exp(-((x - 44 - dx) ** 2 / 30 + (y - 30 - dy) ** 2 / 20)) + 100).astype(np.uint16)
+
+
+def test_registration_recovers_shifts(spark):
+    rows = [("a", i, 48, 64, bytearray(blob(i * 0.5, -i * 0.25).tobytes())) for i in range(12)]
+    df = spark.createDataFrame(rows, "movie_id string, pos int, h int, w int, px binary")
+    for r in registration.register(df).collect():
+        assert abs(r.dx - r.pos * 0.5) < 0.1 and abs(r.dy + r.pos * 0.25) < 0.1 and r.confidence > 0.99
+    with pytest.raises(registration.NotConverged):
+        registration.ecc_translation(np.ones((9, 9)), np.ones((9, 9)))
+
+
+def test_read_pipeline_order(spark):
+    img = np.full((13, 10), 500, np.uint16)
+    img[4, 4] = 9000
+    img[:, 9] = 700
+    o = reading.ReadOptions(min_t=65100, min_t_height=2, correct_bad=True, motion=True)
+    df = spark.createDataFrame([("a", p, 13, 10, bytearray(img.tobytes())) for p in range(2)], "movie_id string, pos int, h int, w int, px binary")
+    shifts = spark.createDataFrame([("a", 1, 1.0, 0.0)], "movie_id string, pos int, dx double, dy double")
+    got = {r.pos: np.frombuffer(r.px, "<u2").reshape(13, 10) for r in reading.read_frames(df, o, shifts).collect()}
+    assert got[0][0, 0] == (500 + 65100) & 65535 and got[0][4, 4] == 500
+    assert (got[1][2:10, 8] == 700).all() and (got[1][10:] == img[10:]).all() and got[0][5, 8] == 500
+
+
+def test_calibrations():
+    class Double(reading.Calibration):
+        def to_temp(self, v, ti, inv):
+            return v * 2
+
+        def to_dl(self, t, ti, inv):
+            return t / 2
+
+        def apply(self, img, inv=1.0):
+            return img * 2
+
+    reading.register_calibration("double", lambda a: a.get("Device") == "x", lambda a: Double())
+    c = reading.find_calibration({"Device": "x"})
+    assert reading.find_calibration({}) is None and reading.choose("DL", c) is None and reading.choose(1, c) is c and reading.choose("Temperature", c) is c
+    with pytest.raises(reading.CalibrationNotFound):
+        reading.choose("other", c)
+    with pytest.raises(ValueError):
+        reading.checked_emissivity(1.5)
+    assert reading.read_image(np.ones((5, 4), np.uint16), reading.ReadOptions(calibration=c))[0, 0] == 2
+
+
+def test_more_polygons():
+    square = [[0, 0], [0, 4], [4, 4], [4, 0]]
+    assert polygons.is_non_concave(square) and not polygons.is_non_concave([[0, 0], [4, 0], [1, 1], [0, 4]])
+    assert len(polygons.without_collinear([[0, 0], [2, 0], [4, 0], [4, 4], [0, 4]])) == 4
+    a = np.linspace(0, 2 * np.pi, 60, endpoint=False)
+    circle = np.column_stack([10 * np.cos(-a), 10 * np.sin(-a)])
+    out = polygons.enclosing_simplification(circle, 1.0)
+    assert len(out) < 30 and (out[0] == out[-1]).all()
+    hull = polygons.convex_hull(out)
+    for x, y in circle:
+        cross = [(b[0] - p[0]) * (y - p[1]) - (b[1] - p[1]) * (x - p[0]) for p, b in zip(hull, hull[1:], strict=False)]
+        assert min(cross) >= -1e-6 or max(cross) <= 1e-6
