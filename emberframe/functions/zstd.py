@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def compress(data: pd.Series) -> pd.Series:
     import zstandard
 
@@ -14,7 +15,7 @@ def compress(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else z.compress(x))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def decompress(data: pd.Series) -> pd.Series:
     """Raises on what isn't a zstd frame."""
     import zstandard
@@ -23,7 +24,7 @@ def decompress(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else z.decompress(x))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def try_decompress(data: pd.Series) -> pd.Series:
     """Null for what isn't a zstd frame."""
     import zstandard

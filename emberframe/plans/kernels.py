@@ -56,6 +56,18 @@ def downsample(spark, d):
     return _hashed(folds.downsample(_frames(spark, d), 5), "ts_ns")
 
 
+@query("z6_downsample_steady")
+def downsample_steady(spark, d):
+    return _hashed(folds.downsample(_frames(spark, d), 5, steady=True), "ts_ns")
+
+
+@query("k12_hash_bytes")
+def hashed(spark, d):
+    from emberframe.functions.hashing import murmur64
+
+    return tables.read(spark, d, "documents").select("doc_id", murmur64(F.encode("text", "UTF-8")).alias("hash"))
+
+
 @query("k9_register")
 def register(spark, d):
     return registration.register(_frames(spark, d), sigma=0.8).select("movie_id", "pos", F.round("dx", 4).alias("dx"), F.round("dy", 4).alias("dy"), F.round("confidence", 4).alias("confidence"))

@@ -22,8 +22,7 @@ class Loss:
         self.reference = self.previous = None
         self.first: list = []
         self.last: deque = deque(maxlen=40)
-        self.held: deque = deque(maxlen=max(1, self.average))
-        self.total = None
+        self.held = RunningAverage(max(1, self.average))
 
     @staticmethod
     def background(img: np.ndarray) -> int:
@@ -41,8 +40,7 @@ class Loss:
         rows = slice(0, self.lossy_height)
         if self.reference is None:
             self.reference, self.previous = img.copy(), img.copy()
-            self.start = np.zeros(img.shape, np.int64)
-            self._hold(img)
+            self.held.add(img)
             return img.copy(), self.low, self.high
         bg = self.background(img[rows])
         d, fore = np.abs(img[rows].astype(np.float64) - self.previous[rows]).ravel(), img[rows].ravel() > bg
@@ -53,14 +51,12 @@ class Loss:
         mean = np.mean([*self.first, *self.last], 0)
         low, high = (max(0, e - int(np.floor(abs(s - m) * self.std_factor + 0.5))) for e, s, m in ((self.low, pair[0], mean[0]), (self.high, pair[1], mean[1])))
         low = max(low, high)
-        self._hold(img)
+        self.held.add(img)
         near = np.abs(img.astype(np.int64) - self.reference) <= np.where(img > bg, high, low)
         self.reference = np.where(near, self.reference, img)
         if self.average:
-            n = len(self.held)
-            for k, old in enumerate(self.held):  # a pixel that jumped has had its new value all the time
-                old[~near] = img[~near]
-            out = (sum(x.astype(np.int64) for x in self.held) // n).astype(img.dtype)
+            self.held.reset(~near, img)
+            out = self.held.mean().astype(img.dtype)
         else:
             out = self.reference.copy()
         if self.lossy_height is not None:
@@ -68,10 +64,6 @@ class Loss:
         self.previous = out
         return out, low, high
 
-    def _hold(self, img: np.ndarray) -> None:
-        if self.average:
-            self.held.append(img.copy())
-
 
 class Downsampler:
     """Adaptive decimation: keeps the maximum image since the last kept frame, when frames change or `factor` have passed."""
@@ -115,6 +107,60 @@ class Downsampler:
         return None
 
 
+class SteadyDownsampler(Downsampler):
+    """The variant that goes by the spread of the differences: a movie whose deviation is under a tenth of its mean is steady,
+    and gives only every factor-th frame, unless a frame differs by two deviations. The first ten differences are a warm-up."""
+
+    WARM_UP, STEADY = 10, 0.1
+
+    def step(self, img: np.ndarray, ts: int) -> np.ndarray | None:
+        if self.ts is not None and ts <= self.ts:
+            return None
+        self.ts = ts
+        if self.factor <= 1:
+            return img.copy()
+        rows, i = slice(0, self.lossy_height), self.i
+        self.i += 1
+        if self.previous is None:
+            self.previous, self.maximum, self.last = img.copy(), None, 0
+            return img.copy()
+        d = np.abs(img[rows].astype(np.float64) - self.previous[rows]).ravel()
+        d = float(d.std(ddof=1)) if len(d) > 1 else 0.0
+        self.previous = img.copy()
+        self.maximum = img.copy() if self.maximum is None else np.concatenate([np.maximum(self.maximum[rows], img[rows]), img[len(img[rows]) :]])
+        due = i % self.factor == 0
+        if len(self.diffs) < self.WARM_UP:
+            self.diffs.append(d)
+            emit = due
+        else:
+            mean, std = float(np.mean(self.diffs)), float(np.std(self.diffs))
+            nothing = std < self.STEADY * mean and d < mean + 2 * std
+            emit = due or (not nothing and d > mean + 0.5 * std)
+            if due or mean - std < d < mean + 5 * std:
+                self.diffs = [*self.diffs[-(self.HISTORY - 1) :], d]
+        if not emit:
+            return None
+        out, self.maximum, self.last = self.maximum, None, i
+        return out
+
+
+class RunningAverage:
+    """Whole-number mean of each pixel's last n frames; a reset pixel has had one value all the time."""
+
+    def __init__(self, n: int):
+        self.held: deque = deque(maxlen=n)
+
+    def add(self, img: np.ndarray) -> None:
+        self.held.append(img.astype(np.int64))
+
+    def reset(self, where: np.ndarray, value: np.ndarray) -> None:
+        for old in self.held:
+            old[where] = value[where]
+
+    def mean(self) -> np.ndarray:
+        return sum(self.held) // len(self.held)
+
+
 LOSSY = "movie_id {}, pos int, h int, w int, px binary, low_error int, high_error int"
 SAMPLED = "movie_id {}, pos int, ts_ns long, h int, w int, px binary"
 
@@ -140,10 +186,10 @@ def lossy(frames: DataFrame, **options) -> DataFrame:
     return frames.groupBy("movie_id").applyInPandas(lambda pdf: _lossy_rows(Loss(**options), pdf), LOSSY.format(kind))
 
 
-def downsample(frames: DataFrame, factor: int, **options) -> DataFrame:
-    """frames (movie_id, pos, ts_ns, h, w, px) that the adaptive decimation keeps."""
-    kind = dict(frames.dtypes)["movie_id"]
-    return frames.groupBy("movie_id").applyInPandas(lambda pdf: _sampled_rows(Downsampler(factor, **options), pdf), SAMPLED.format(kind))
+def downsample(frames: DataFrame, factor: int, steady: bool = False, **options) -> DataFrame:
+    """frames (movie_id, pos, ts_ns, h, w, px) that the adaptive decimation keeps; steady: by its second variant."""
+    kind, fold = dict(frames.dtypes)["movie_id"], SteadyDownsampler if steady else Downsampler
+    return frames.groupBy("movie_id").applyInPandas(lambda pdf: _sampled_rows(fold(factor, **options), pdf), SAMPLED.format(kind))
 
 
 def _stream(frames: DataFrame, make, rows, schema: str) -> DataFrame:

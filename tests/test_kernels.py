@@ -147,3 +147,40 @@ def test_frames_keep_their_order():
     r.shuffle(rows)
     out = folds._lossy_rows(folds.Loss(), pd.DataFrame(rows, columns=["movie_id", "pos", "h", "w", "px"]))
     assert list(out.pos) == list(range(20))
+
+
+def test_steady_downsampler_and_running_average():
+    fold, frames = folds.SteadyDownsampler(10), movie(200)
+    at = [i for i, img in enumerate(frames) if fold.step(img, i) is not None]
+    assert set(range(0, 200, 10)) <= set(at) and len(at) < 120
+    avg, r = folds.RunningAverage(3), np.random.default_rng(1)
+    seen = []
+    for k in range(8):
+        img = r.integers(0, 99, (2, 2))
+        avg.add(img)
+        seen.append(img.copy())
+        if k == 4:
+            avg.reset(np.array([[True, False], [False, False]]), np.full((2, 2), 7))
+            for old in seen:
+                old[0, 0] = 7
+        assert (avg.mean() == sum(seen[-3:]) // len(seen[-3:])).all()
+
+
+def test_murmur(spark):
+    from emberframe.functions.hashing import hash_bytes, murmur64
+
+    assert len({hash_bytes(b"x" * n) for n in range(40)}) == 40 and hash_bytes(b"") == hash_bytes(b"") < 1 << 64
+    rows = spark.createDataFrame([(bytearray(b"abc"),), (None,)], "b binary").select(murmur64("b").alias("h")).collect()
+    assert int(rows[0].h) == hash_bytes(b"abc") and rows[1].h is None
+
+
+def test_unzip(spark, tmp_path):
+    import zipfile
+
+    from emberframe.sources.archives import unzip
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("one.txt", "1")
+        z.writestr("d/two.bin", b"22")
+    (tmp_path / "b.txt").write_text("no archive")
+    assert sorted((r.name, bytes(r.content)) for r in unzip(spark, str(tmp_path)).collect()) == [("d/two.bin", b"22"), ("one.txt", b"1")]
