@@ -40,7 +40,8 @@ def dropped(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     lines = _lines(base).select("doc_id", "row", "at", "n", "masked", F.xxhash64("n", "lead").alias("leaf"), F.xxhash64("masked", F.lit(1)).alias("line"))
-    known = lines.groupBy("leaf", "line").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.min("doc_id").alias("first"))
+    placed = scratch.put(lines.select("doc_id", "row", "at", "leaf", "line"), "placed")
+    known = placed.groupBy("leaf", "line").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.min("doc_id").alias("first"))
     known = scratch.put(known, "known")
     several = known.groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1")
     told = lines.select("leaf", "line", "n", "masked").join(several, "leaf").dropDuplicates(["leaf", "line"])
@@ -51,7 +52,7 @@ def dropped(docs: DataFrame) -> DataFrame:
     named = known.join(alike, ["leaf", "line"], "left").withColumn("template", F.coalesce("of_leaf", "line"))
     counted = named.groupBy("leaf", "template").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first")).where("low != high")
     recurring = scratch.put(named.select("leaf", "line", "template").join(counted.select("leaf", "template", "first"), ["leaf", "template"]).select("leaf", "line", "first"), "recurring")
-    gone = lines.select("doc_id", "row", "at", "leaf", "line").join(recurring, ["leaf", "line"]).where("doc_id != first")
+    gone = placed.join(recurring, ["leaf", "line"]).where("doc_id != first")
     return gone.groupBy("doc_id", "row").agg(F.collect_set("at").alias("ats"))
 
 
