@@ -98,3 +98,17 @@ _poly("g4_fill_pixels", "n long", lambda p: (len(polygons.fill_pixels(p, 100, 10
 _poly("g8_extract_polygon", "n int", lambda p: (len(polygons.extract_polygon(polygons.draw(np.zeros((100, 100), np.int32), p, 1), 1)),))
 _poly("g16_without_collinear", "n int", lambda p: (len(polygons.without_collinear(p)),))
 _poly("g20_is_non_concave", "convex boolean", lambda p: (polygons.is_non_concave(p),))
+
+
+@query("g5_covered_pixels")
+def covered(spark, d):
+    from emberframe.operators import raster
+
+    return raster.covered(tables.polygons(spark, d), 100, 100)
+
+
+@query("g6_pixel_counts")
+def pixel_counts(spark, d):
+    from emberframe.operators import raster
+
+    return raster.pixel_counts(tables.polygons(spark, d), 100, 100)

@@ -65,3 +65,14 @@ def test_more_polygons():
     for x, y in circle:
         cross = [(b[0] - p[0]) * (y - p[1]) - (b[1] - p[1]) * (x - p[0]) for p, b in zip(hull, hull[1:], strict=False)]
         assert min(cross) >= -1e-6 or max(cross) <= 1e-6
+
+
+def test_raster(spark):
+    from emberframe.operators import raster
+
+    sq = [(1, [(2.0, 2.0), (6.0, 2.0), (6.0, 5.0), (2.0, 5.0)]), (2, []), (3, None)]
+    df = spark.createDataFrame(sq, "poly_id long, pts array<struct<x:double,y:double>>")
+    assert {r.poly_id: r.n for r in raster.pixel_counts(df, 20, 20).collect()} == {1: 20}
+    frames = spark.createDataFrame([(1, 0, 8, 8, bytearray(128))], "movie_id long, pos int, h int, w int, px binary")
+    (row,) = raster.draw(frames, df.withColumnRenamed("poly_id", "movie_id"), 7).collect()
+    assert (np.frombuffer(row.px, "<u2") == 7).sum() == 20
