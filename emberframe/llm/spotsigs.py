@@ -90,7 +90,8 @@ def report(docs: DataFrame) -> DataFrame:
     ids = sized.groupBy("doc_id").agg(F.max("n").alias("n"), F.count("*").alias("rows"))
     ids = scratch.put(ids, "sized")
     repeated = not ids.where("rows > 1").isEmpty()
-    dealt = signed(base, sigs="text").repartition(n, "doc_id")
+    # both joins read this very exchange: hence no filter in one that the other doesn't have
+    dealt = signed(base.where("doc_id is not null"), sigs="text").repartition(n, "doc_id")
     behind = dealt.join(before(ids.select("doc_id", "n"), scratch), "doc_id").select(
         F.col("prior_id").alias("doc_id"), F.substring("text", F.lit(1), F.floor(F.col("prior_n") / 3).cast("int")).alias("start"), F.col("sigs").alias("next_sigs"),
         *([F.xxhash64("text").alias("h")] if repeated else []),
@@ -99,6 +100,8 @@ def report(docs: DataFrame) -> DataFrame:
         behind = behind.groupBy("doc_id").agg(F.min(F.struct("h", "start", "next_sigs")).alias("x")).select("doc_id", "x.start", "x.next_sigs")
     keep = F.col("n_chars") - F.floor(F.col("n_chars") / 3)
     whole = dealt.select("doc_id", "text", "sigs", F.length("text").cast("long").alias("n_chars")).join(behind, "doc_id", "left")
+    alone = signed(base.where("doc_id is null"), sigs="text").select("doc_id", "text", "sigs", F.length("text").cast("long").alias("n_chars"), F.lit(None).cast("string").alias("start"), F.lit(None).cast("array<int>").alias("next_sigs"))
+    whole = whole.select(alone.columns).unionByName(alone)
     edited = whole.select(
         "doc_id", "n_chars", "sigs", "next_sigs",
         F.concat(F.substring("text", F.lit(1), keep.cast("int")), F.substring(F.coalesce("start", F.lit("")), F.lit(1), (F.col("n_chars") - keep).cast("int"))).alias("edited"),
