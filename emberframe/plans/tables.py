@@ -43,8 +43,8 @@ EV = """ev AS (
 
 
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A polygon for each user, of points made from the ids of the first events."""
-    e = events(spark, sf_dir).where("pos < 12")
+    """A polygon for each user, of points made from the ids of all events."""
+    e = events(spark, sf_dir)
     pt = F.struct("pos", (F.col("event_id") % 97).cast("double").alias("x"), (F.col("event_id") * 7 % 89).cast("double").alias("y"))
     g = e.groupBy("movie_id").agg(F.array_sort(F.collect_list(pt)).alias("p"))
     return g.select(F.col("movie_id").alias("poly_id"), F.transform("p", lambda a: F.struct(a["x"].alias("x"), a["y"].alias("y"))).alias("pts"))

@@ -23,3 +23,17 @@ def agrees(spark, name, sf, part):
 @pytest.mark.parametrize("name", ["t1_extract_times_union", "t2_extract_times_inter"])
 def test_times_of_all_users(spark, name):
     assert agrees(spark, name, "/root/testdata/sf0.01", " WHERE movie_id < 20")
+
+
+@pytest.mark.parametrize("name", [n for n in registry.oracle_sql() if n.startswith("g") and "pos < 12" in registry.oracle_sql()[n]])
+def test_polygons_of_all_events(spark, name):
+    assert agrees(spark, name, "/root/testdata/sf0.01", " WHERE pos < 12")
+
+
+def test_every_event_is_a_point(spark):
+    from pyspark.sql import functions as F
+
+    from emberframe.plans import tables
+
+    sf = "/root/testdata/sf0.01"
+    assert tables.polygons(spark, sf).agg(F.sum(F.size("pts"))).first()[0] == tables.read(spark, sf, "events").count()
