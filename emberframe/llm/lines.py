@@ -6,9 +6,10 @@ of more than half of its distinct lines, or else a variable field; lines that ag
 that template, all others are templates of their own, but for their variable fields. So grouping doesn't depend on the order
 of lines, and a leaf may hold any number of them: tokens are counted by leaf and place.
 
+Lines of less than LEAST tokens have no variable fields: each is a template as it stands. Blank lines are not counted and stay.
+
 A template that comes in texts that differ is recurring: its lines stay in the document with the least doc_id and are dropped
-from all others. A template that only equal texts hold doesn't count, as equal documents are for another operator; nor do
-lines of less than LEAST tokens.
+from all others. A template that only equal texts hold doesn't count, as equal documents are for another operator.
 
 A null text is empty and stays as it is; so do rows with a null doc_id. Of rows with equal doc_id and text the lines are dropped
 from each. A document may lose all its lines.
@@ -27,12 +28,14 @@ SIMILAR = 0.8
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a hash of the text), at, n, lead, masked: lines of LEAST tokens or more."""
+    """doc_id, row (a hash of the text), at, n, lead, masked: all lines but blank ones."""
     each = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("line", F.trim("line"))
-    masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", "<*>")).otherwise(F.col("line"))
-    each = each.select("doc_id", "row", "at", masked.alias("masked"))
-    n = F.length("masked") - F.length(F.replace(F.col("masked"), F.lit(" "), F.lit(""))) + 1
-    return each.select("doc_id", "row", "at", n.alias("n"), F.substring_index("masked", " ", LEAD).alias("lead"), "masked").where(F.col("n") >= LEAST)
+    each = each.where(F.col("line").rlike(r"\S"))
+    each = each.withColumn("n", F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1)
+    fields = (F.col("n") >= LEAST) & F.col("line").rlike("[0-9]")
+    masked = F.when(fields, F.regexp_replace("line", "(?<![^ ])[^ 0-9]*+[0-9][^ ]*", "<*>")).otherwise(F.col("line"))
+    each = each.select("doc_id", "row", "at", "n", masked.alias("masked"))
+    return each.select("doc_id", "row", "at", "n", F.substring_index("masked", " ", LEAD).alias("lead"), "masked")
 
 
 def dropped(docs: DataFrame) -> DataFrame:

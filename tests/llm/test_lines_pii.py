@@ -35,6 +35,25 @@ def test_templates_generalise_variable_fields(spark):
     assert got == {1: 0, 2: 1, 3: 1, 4: 0}
 
 
+def test_lines_of_every_length_count(spark):
+    docs = [(1, "All rights reserved.\n\npage 12\n中文的一行没有空格\none of its own"), (2, "other\nAll rights reserved.\n\npage 13"), (3, "中文的一行没有空格\n \n\t\nAll rights reserved.\npage 12"), (4, "more\n\n \n\t")]
+    got = {x.doc_id: x.text for x in lines.deduplicate(spark.createDataFrame([(i, t, 0, "") for i, t in docs], DOCS)).collect()}
+    assert got == {1: docs[0][1], 2: "other\n\npage 13", 3: " \n\t", 4: docs[3][1]}
+
+
+def test_short_lines_against_sql_without_its_floor(spark):
+    import duckdb
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sql = lines.SQL.replace("CASE WHEN regexp_matches(line, '[0-9]')", f"CASE WHEN regexp_matches(line, '[0-9]') AND len(string_split(line, ' ')) >= {lines.LEAST}")
+    sql = sql.replace(f"WHERE n >= {lines.LEAST}", r"WHERE regexp_matches(masked, '\S')")
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = con.execute(sql).fetchall()
+    assert sorted(tuple(x) for x in lines.report(docs).collect()) == sorted(want)
+    assert sum(x[2] for x in want) > sum(x[2] for x in con.execute(lines.SQL).fetchall())
+
+
 def test_pii_is_replaced_consistently(spark):
     texts = [
         None, "", "nothing here", "Write to Jürgen.Müller+x@mail6.example.com, or JÜRGEN.MÜLLER+X@MAIL6.EXAMPLE.COM.", "At 10.0.0.255 and 1.2.3.4.5 and 999.1.1.1.",
