@@ -6,7 +6,7 @@ one automaton, with a space on each side so that only whole words match; every t
 back to word numbers and to character offsets of the original text.
 
 The automaton is built from the benchmark alone, which does not grow with the corpus. Its windows are broadcast in blocks
-of at most BLOCK_BYTES; a larger benchmark takes more blocks, each a pass over the texts, whose hits are merged.
+of at most BLOCK_BYTES; a larger benchmark takes more blocks, each a pass over the texts that adds to the hits that a row already has.
 
 Null texts and items are empty: no words, no windows, never contaminated. Items with the same id count once. Rows with equal or null
 doc_id are kept as they are. Other columns of `docs` are carried through by `decontaminate` only.
@@ -84,17 +84,19 @@ def _word_offsets(text: str, wanted: list[tuple[int, int]]) -> list[dict]:
     return [{"start": starts[a], "end": ends[b]} for a, b in wanted]
 
 
-def _scan(block: dict, ids: list[str], with_spans: bool):
-    """Arrow batches of (doc_id, text) to hits."""
+def _scan(block: dict, ids: list[str], with_spans: bool, last: bool):
+    """Arrow batches of (doc_id, text), and of the hits of earlier blocks if there are any, to hits; with the text for the next block."""
 
     def run(batches):
         automaton = _automaton(block)
         for batch in batches:
             n_words, hits, found, spans = [], [], [], []
-            for text in texts(batch):
+            none = [[]] * batch.num_rows
+            earlier = [batch.column(batch.schema.get_field_index(c)).to_pylist() if c in batch.schema.names else none for c in ("word_ranges", "items")]
+            for text, old_ranges, old_items in zip(texts(batch), *earlier, strict=True):
                 w = words(text)
                 n_words.append(len(w))
-                ranges, items = [], set()
+                ranges, items = [(x["start"], x["end"] - 1) for x in old_ranges], set()
                 if w and block:
                     norm = (b" " + b" ".join(w) + b" ").decode("utf-8", "replace")
                     at, number = 0, 0  # words that have ended before `at`
@@ -110,41 +112,26 @@ def _scan(block: dict, ids: list[str], with_spans: bool):
                     else:
                         merged.append([a, b])
                 hits.append([{"start": a, "end": b + 1} for a, b in merged])
-                found.append(sorted({ids[i] for i in items}))
+                found.append(sorted({ids[i] for i in items}.union(old_items)))
                 spans.append(_word_offsets(text, merged) if merged and with_spans else [])
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(hits, span), pa.array(found, pa.list_(pa.string())), pa.array(spans, span)],
-                ["doc_id", "n_words", "word_ranges", "items", "spans"],
-            )
+            out = [pa.array(n_words, pa.int64()), pa.array(hits, span), pa.array(found, pa.list_(pa.string())), pa.array(spans, span)]
+            carried = 1 if last else 2
+            yield pa.RecordBatch.from_arrays(batch.columns[:carried] + out, ["doc_id", "text"][:carried] + ["n_words", "word_ranges", "items", "spans"])
 
     return run
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, with_spans: bool = True) -> DataFrame:
     """doc_id, n_words, word_ranges (merged, end exclusive), items (sorted ids as strings), spans (characters)."""
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, word_ranges {SPAN}, items array<string>, spans {SPAN}"
-    base = ident(docs, "doc_id", "text")
-    out = [by_batch(base, _scan(block, list(ids), with_spans), schema) for block, ids in _blocks(benchmark, width)]
-    if len(out) == 1:
-        return out[0]
-    whole = out[0]
-    for more in out[1:]:
-        whole = whole.unionByName(more)
-
-    def union(c):  # of sorted ranges that touch
-        return F.aggregate(
-            F.array_sort(F.flatten(F.collect_list(c))), F.array().cast(SPAN),
-            lambda acc, x: F.when(F.size(acc) == 0, F.array(x)).when(
-                F.element_at(acc, -1)["end"] >= x["start"],
-                F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))),
-            ).otherwise(F.concat(acc, F.array(x))),
-        )
-
-    return whole.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), union("word_ranges").alias("word_ranges"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), union("spans").alias("spans"),
-    )
+    found = f"n_words long, word_ranges {SPAN}, items array<string>, spans {SPAN}"
+    kind = dict(docs.dtypes)["doc_id"]
+    out = ident(docs, "doc_id", "text")
+    blocks = [(block, list(ids)) for block, ids in _blocks(benchmark, width)]
+    for i, (block, ids) in enumerate(blocks, 1):
+        last = i == len(blocks)
+        out = by_batch(out, _scan(block, ids, with_spans and last, last), f"doc_id {kind}, {'' if last else 'text string, '}{found}")
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:

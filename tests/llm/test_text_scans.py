@@ -114,3 +114,16 @@ def test_offsets_point_at_the_original_text(spark):
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     (row,) = decontaminate.hits(docs, bench).collect()
     assert [row.spans[0].start, row.spans[0].end] == [7, 20] and "Äh, X: one TWO-three. end"[7:20] == "one TWO-three"
+
+
+def test_rows_stay_apart_however_many_blocks(spark):
+    docs = spark.createDataFrame([(None, "x a b c d"), (None, "a b"), (1, "c d a b"), (1, "none of them"), (1, "c d a b"), (2, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a b"), (2, "c d"), (3, "d a")], "item_id long, text string")
+    found = []
+    for block_bytes in (decontaminate.BLOCK_BYTES, 3):
+        before, decontaminate.BLOCK_BYTES = decontaminate.BLOCK_BYTES, block_bytes
+        try:
+            found.append(sorted(map(repr, decontaminate.hits(docs, bench).collect())))
+        finally:
+            decontaminate.BLOCK_BYTES = before
+    assert len(found[0]) == 6 and found[0] == found[1]
