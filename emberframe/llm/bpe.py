@@ -128,18 +128,22 @@ def _stream(text: str, pieces: _Pieces) -> np.ndarray:
 
 def _chunks(batches, compiled, with_streams: bool):
     """(key, ids of the rows, distinct pre-tokens, streams) of each chunk. Both passes number pre-tokens alike: by the first
-    piece that has them."""
+    piece that has them. The key has the task's partition and the chunk's number in it, so that equal chunks stay apart."""
+    from pyspark import TaskContext
+
+    task, nr = TaskContext.get(), 0
     rows, streams, size = [], [], 0
     pieces = _Pieces(_Numbers(), compiled.findall)
 
     def done():
-        key = f"{rows[0]}/{len(rows)}/{size}/{len(pieces.number)}"
+        key = f"{task.partitionId() if task else 0}/{nr}/{rows[0]}/{len(rows)}/{size}/{len(pieces.number)}"
         return int(sha256(key.encode())[:15], 16), rows, list(pieces.number), streams
 
     for batch in batches:
         for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
             if size and size + len(text) > CHUNK_CHARS:
                 yield done()
+                nr += 1
                 rows, streams, size = [], [], 0
                 pieces = _Pieces(_Numbers(), compiled.findall)
             rows.append(doc_id)

@@ -69,6 +69,12 @@ def test_bpe_of_no_rows(spark):
     assert bpe.report(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_bpe_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(20)], "doc_id long, text string")
+    once = sorted(map(tuple, bpe.report(docs).collect()))
+    assert sorted(map(tuple, bpe.report(docs.union(docs)).collect())) == sorted(once * 2)
+
+
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
