@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that cross to Python at once, so that a batch of very long texts still fits a worker.
+#: Rows that cross to Python at once at most; texts of a batch are worked on one after the other.
 BATCH_ROWS = 1000
 
 
@@ -21,12 +21,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of our own if Spark runs in
+    one machine, and else one in the warehouse, as a cluster's machines don't see each other's temporary folders."""
     if not (base := spark.conf.get("spark.checkpoint.dir", None)):
-        import tempfile
+        if spark.sparkContext.master.startswith("local"):
+            import tempfile
 
-        base = tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(base)
+            base = tempfile.mkdtemp(prefix="shared-")
+            spark.sparkContext.setCheckpointDir(base)
+        else:
+            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.scratch"
     return base.rstrip("/")
 
 
@@ -34,7 +38,7 @@ class Scratch:
     """Tables written to the shared folder to cut lineage; what is not dropped goes when the driver ends."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.base = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        self.spark, self.base, self.tables = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", []
         atexit.register(self.close)
 
     def _delete(self, path: str) -> None:
@@ -43,12 +47,20 @@ class Scratch:
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, dealt_by: str | None = None) -> DataFrame:
+        """The table as written. dealt_by: a column by which it is bucketed, so that joins and groups by it need no shuffle."""
         path = f"{self.base}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch = path
-        return out
+        out = df.write.option("compression", "zstd")
+        if dealt_by:
+            table = f"scratch_{uuid.uuid4().hex}"
+            out.format("parquet").bucketBy(parts(df), dealt_by).option("path", path).saveAsTable(table)
+            self.tables.append(table)
+            read = self.spark.table(table)
+        else:
+            out.parquet(path)
+            read = self.spark.read.schema(df.schema).parquet(path)
+        read._scratch = path
+        return read
 
     def drop(self, *tables: DataFrame) -> None:
         """Only for tables that no later plan reads."""
@@ -57,17 +69,20 @@ class Scratch:
 
     def close(self) -> None:
         try:
+            for t in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {t}")
             self._delete(self.base)
         except Exception:  # noqa: BLE001  the session has ended
             pass
 
 
 def by_batch(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow over batches of a bounded number of rows."""
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(f, schema)
+    """mapInArrow over batches of a bounded number of rows, whatever the session's own bound."""
+
+    def run(batches):
+        return f(b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS))
+
+    return df.mapInArrow(run, schema)
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
