@@ -69,8 +69,27 @@ def linked(
     more = scratch.put(verify(cross.select(F.col("rep").alias("a"), F.col("other").alias("b")).distinct()), "more")
     every = links.select("a", "b").unionByName(more.select("a", "b"))
     if tile is not None:
-        big = named.where(F.col("n") > PAIRS_UP_TO).withColumn("k", F.ceil(F.col("n") / TILE).cast("int"))
-        at = big.withColumn("at", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")).select("bucket", "rep", "own", "at", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("with"))
-        tiles = at.select("bucket", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), "at", "rep", "own")
-        every = every.unionByName(scratch.put(tile(tiles), "tiled").select("a", "b"))
+        every = every.unionByName(scratch.put(tile(tiles_of(named.where(F.col("n") > PAIRS_UP_TO))), "tiled").select("a", "b"))
     return components(every, scratch)
+
+
+def tiles_of(members: DataFrame) -> DataFrame:
+    """bucket, tile, side (0: one, 1: other, 2: both), rep, own of members (bucket, rep, own).
+
+    A bucket's classes of TILE members or more are cut into chunks of about so many, the others are mixed in chunks. A tile is
+    two chunks, but never two of one class. So a member is dealt as often as there are chunks that may hold a class that isn't its
+    own: once for a stray text beside a large class, however large that is."""
+    sizes = members.groupBy("bucket", "own").agg(F.count("*").alias("size"))
+    alone = F.when(F.col("size") >= TILE, F.col("own"))  # null: mixed
+    group = members.join(sizes, ["bucket", "own"]).select("bucket", "rep", "own", alone.alias("group"))
+    chunks = sizes.select("bucket", alone.alias("group"), "size").groupBy("bucket", "group").agg(F.ceil(F.sum("size") / TILE).cast("int").alias("k"))
+    dealt = group.join(chunks.withColumnRenamed("bucket", "b").withColumnRenamed("group", "g"), (F.col("bucket") == F.col("b")) & F.col("group").eqNullSafe(F.col("g")))
+    dealt = dealt.select("bucket", "rep", "own", F.xxhash64("group", F.pmod(F.xxhash64("rep"), F.col("k"))).alias("chunk"))
+    each = chunks.select("bucket", "group", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i")).select("bucket", "group", F.xxhash64("group", F.col("i").cast("long")).alias("chunk"))
+    other = each.select("bucket", F.col("group").alias("theirs"), F.col("chunk").alias("with"))
+    pairs = each.join(other, "bucket").where("chunk <= with and (group is null or theirs is null or group != theirs)")
+    sides = F.when(F.col("chunk") == F.col("with"), F.array(F.struct("chunk", F.lit(2).alias("side")))).otherwise(
+        F.array(F.struct("chunk", F.lit(0).alias("side")), F.struct(F.col("with").alias("chunk"), F.lit(1).alias("side")))
+    )
+    ends = pairs.select("bucket", F.xxhash64("chunk", "with").alias("tile"), F.explode(sides).alias("x")).select("bucket", "tile", "x.chunk", "x.side")
+    return dealt.join(ends, ["bucket", "chunk"]).select("bucket", "tile", "side", "rep", "own")
