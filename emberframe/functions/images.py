@@ -37,7 +37,7 @@ def translate(img: np.ndarray, dx: float, dy: float, strategy: str = "", backgro
     return out.astype(img.dtype)
 
 
-def gaussian(img: np.ndarray, sigma: float) -> np.ndarray:
+def gaussian(img: np.ndarray, sigma: float, dtype=np.float32) -> np.ndarray:
     """Weights in bounds are normalised anew at the edges. Sums by row and by column, as the kernel is a product."""
     r = max(1, int(2 * sigma))
     k = np.exp(-np.arange(-r, r + 1) ** 2 / (2.0 * sigma * sigma))
@@ -54,7 +54,7 @@ def gaussian(img: np.ndarray, sigma: float) -> np.ndarray:
         return out
 
     one = along(along(np.ones(img.shape), 0), 1)
-    return (along(along(img.astype(np.float32).astype(np.float64), 0), 1) / one).astype(np.float32)
+    return (along(along(img.astype(np.float32).astype(np.float64), 0), 1) / one).astype(dtype)
 
 
 def _window(img: np.ndarray, y: int, x: int, r: int) -> np.ndarray:
@@ -76,17 +76,23 @@ def median3(img: np.ndarray) -> np.ndarray:
 
 def bad_pixels(img: np.ndarray, k: float = 5.0) -> list[tuple[int, int]]:
     """(y, x) of bad pixels of a frame."""
-    flat = np.sort(img.ravel()).astype(np.float64)
-    m = flat[len(flat) // 2]
-    floor = max(0, m - int(k * np.sqrt(np.mean((flat - m) ** 2))))
+    if not img.size:
+        return []
+    own = img.astype(np.float64)
+    m = np.partition(own.ravel(), own.size // 2)[own.size // 2]
+    floor = max(0, m - int(k * np.sqrt(np.mean((own - m) ** 2))))
+    around = np.lib.stride_tricks.sliding_window_view(np.pad(own, 2, constant_values=np.inf), (5, 5))
     out = []
-    for y in range(img.shape[0]):
-        for x in range(img.shape[1]):
-            v = _window(img, y, x, 2).astype(np.float64)
-            n, med = len(v), v[len(v) // 2]
-            s = np.sqrt(np.mean((v[n // 5 : 4 * n // 5] - med) ** 2))
-            if img[y, x] < med - k * s or img[y, x] > med + k * s or img[y, x] < floor:
-                out.append((y, x))
+    for top in range(0, len(own), 64):  # some rows at a time bound the memory; what is out of bounds sorts last
+        v = np.sort(around[top : top + 64].reshape(-1, 25), 1)
+        n = np.isfinite(v).sum(1)
+        med = v[np.arange(len(v)), n // 2]
+        at = np.arange(25)
+        inner = (at >= (n // 5)[:, None]) & (at < (4 * n // 5)[:, None])
+        s = np.sqrt((np.where(inner, v - med[:, None], 0) ** 2).sum(1) / np.maximum(1, inner.sum(1)))
+        px = own[top : top + 64].ravel()
+        (bad,) = np.nonzero((px < med - k * s) | (px > med + k * s) | (px < floor))
+        out += [(top + int(i) // img.shape[1], int(i) % img.shape[1]) for i in bad]
     return out
 
 
@@ -115,6 +121,31 @@ def map_frames(frames: DataFrame, kernel: Callable[[np.ndarray, dict], np.ndarra
     return frames.mapInPandas(run, frames.schema)
 
 
+def pixels_of(frames: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], kind: str = "int") -> DataFrame:
+    """frame, y, x, px of what the kernel makes of each packed frame (frame, h, w, px)."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                out = kernel(np.frombuffer(r.px, "<u2").reshape(r.h, r.w))
+                y, x = np.indices(out.shape).reshape(2, -1)
+                yield pd.DataFrame({"frame": r.frame, "y": y, "x": x, "px": out.ravel()})
+
+    return frames.mapInPandas(run, f"frame {dict(frames.dtypes)['frame']}, y int, x int, px {kind}")
+
+
+def bad_pixels_of(frames: DataFrame, k: float = 5.0) -> DataFrame:
+    """frame, y, x of the bad pixels of each packed frame."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                found = bad_pixels(np.frombuffer(r.px, "<u2").reshape(r.h, r.w), k)
+                yield pd.DataFrame({"frame": [r.frame] * len(found), "y": [y for y, _ in found], "x": [x for _, x in found]})
+
+    return frames.mapInPandas(run, f"frame {dict(frames.dtypes)['frame']}, y int, x int")
+
+
 def pack(frames: DataFrame, frame: str, values: str, w: int, scale: float, offset: float) -> DataFrame:
     """frame, h, w, px: an array column as packed 16-bit frames."""
 

@@ -28,16 +28,28 @@ def at_positions(frames: DataFrame, positions: list[int]) -> DataFrame:
     return frames.join(F.broadcast(wanted), "pos")  # as many rows as the caller has typed
 
 
-def neighbours(samples: DataFrame, probes: DataFrame, by: str = "movie_id", t: str = "t", carried: tuple[str, ...] = ("v",)) -> DataFrame:
-    """Each probe (by, t) with the sample at or before it (p_..) and at or after it (n_..): one shuffle by movie, no join."""
+def neighbours(samples: DataFrame, probes: DataFrame, by: str = "movie_id", t: str = "t", carried: tuple[str, ...] = ("v",), width: float | None = None) -> DataFrame:
+    """Each probe (by, t) with the sample at or before it (p) and at or after it (n): one shuffle, no join of samples and probes.
+
+    Both windows run from an end to the current row, one of them backwards, so each row is visited once. width: the length of the
+    time ranges by which a series is dealt to tasks; a range's probes beyond its own samples get what the nearest range that
+    has samples carries over. None leaves a series whole."""
     own = F.struct(F.col(t).alias("t"), *carried)
     both = samples.select(by, F.col(t).alias("at"), own.alias("s"), F.lit(False).alias("probe")).unionByName(
         probes.select(by, F.col(t).alias("at")).withColumn("s", F.lit(None).cast(_kind(samples, t, carried))).withColumn("probe", F.lit(True))
     )
-    w = Window.partitionBy(by).orderBy("at")
-    before = F.last("s", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first("s", ignorenulls=True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    out = both.select(by, "at", "probe", before.alias("p"), after.alias("n")).where("probe")
+    cell = F.lit(0).cast("long") if width is None else F.floor(F.col("at") / F.lit(width))
+    both = both.withColumn("cell", cell)
+
+    def latest(s: Column, keys: list[str], *order: Column) -> Column:
+        return F.last(s, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+
+    out = both.select(by, "cell", "at", "probe", latest(F.col("s"), [by, "cell"], F.asc("at")).alias("p"), latest(F.col("s"), [by, "cell"], F.desc("at")).alias("n")).where("probe")
+    if width is not None:
+        ends = both.groupBy(by, "cell").agg(F.max("s").alias("high"), F.min("s").alias("low"))
+        held = ends.select(by, "cell", latest(F.col("high"), [by], F.asc("cell")).alias("high"), latest(F.col("low"), [by], F.desc("cell")).alias("low"))
+        held = held.select(by, "cell", *[F.lag(c).over(Window.partitionBy(by).orderBy(o)).alias(k) for c, o, k in (("high", F.asc("cell"), "before"), ("low", F.desc("cell"), "after"))])
+        out = out.join(held, [by, "cell"]).select(by, "at", F.coalesce("p", "before").alias("p"), F.coalesce("n", "after").alias("n"))
     return out.select(by, F.col("at").alias(t), "p", "n")
 
 
@@ -46,10 +58,11 @@ def _kind(df: DataFrame, t: str, carried: tuple[str, ...]) -> str:
     return f"struct<t:{kinds[t]}," + ",".join(f"{c}:{kinds[c]}" for c in carried) + ">"
 
 
-def nearest(frames: DataFrame, probes: DataFrame) -> DataFrame:
-    """movie_id, t, pos of the frame nearest in time; of two as near, the one before. At equal times the least pos counts."""
+def nearest(frames: DataFrame, probes: DataFrame, width: float | None = None) -> DataFrame:
+    """movie_id, t, pos of the frame nearest in time; of two as near, the one before. At equal times the least pos counts.
+    width: see neighbours."""
     single = frames.groupBy("movie_id", "t").agg(F.min("pos").alias("pos"))
-    found = neighbours(single, probes, carried=("pos",))
+    found = neighbours(single, probes, carried=("pos",), width=width)
     use_before = F.col("n").isNull() | (F.col("p").isNotNull() & ((F.col("t") - F.col("p.t")) <= (F.col("n.t") - F.col("t"))))
     return found.select("movie_id", "t", F.when(use_before, F.col("p.pos")).otherwise(F.col("n.pos")).alias("pos"))
 
@@ -95,11 +108,11 @@ def median_pixel(pixels: DataFrame, percent: float) -> DataFrame:
     return out if percent else out.withColumn("median", F.lit(0))
 
 
-def background(pixels: DataFrame) -> DataFrame:
+def background(pixels: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Mode of bins of four values, of ties the lowest."""
-    bins = pixels.groupBy("frame", F.shiftright("px", 2).alias("bin")).agg(F.count("*").alias("n"))
-    best = bins.groupBy("frame").agg(F.max(F.struct("n", (-F.col("bin")).alias("low"))).alias("b"))
-    return best.select("frame", (-F.col("b.low") * 4 + 1).alias("background"))
+    bins = pixels.groupBy(*by, "frame", F.shiftright("px", 2).alias("bin")).agg(F.count("*").alias("n"))
+    best = bins.groupBy(*by, "frame").agg(F.max(F.struct("n", (-F.col("bin")).alias("low"))).alias("b"))
+    return best.select(*by, "frame", (-F.col("b.low") * 4 + 1).alias("background"))
 
 
 def translate_nearest(pixels: DataFrame, dx: int, dy: int, w: int, h: int) -> DataFrame:
@@ -159,23 +172,25 @@ def bad_pixels(pixels: DataFrame, k: float = 5.0) -> DataFrame:
     return st.where((F.col("px") < F.col("med") - k * F.col("s5")) | (F.col("px") > F.col("med") + k * F.col("s5")) | (F.col("px") < F.col("floor"))).select("frame", "y", "x")
 
 
-def frame_differences(pixels: DataFrame) -> DataFrame:
-    """By frame: sample deviation of |difference to the frame before|, mean and maximum."""
-    before = F.lag("px").over(Window.partitionBy("y", "x").orderBy("frame"))
+def frame_differences(pixels: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """By frame: sample deviation of |difference to the frame before|, mean and maximum. by: the columns that name the movie;
+    none where all pixels are of one."""
+    before = F.lag("px").over(Window.partitionBy(*by, "y", "x").orderBy("frame"))
     d = F.abs(F.col("px") - F.col("b"))
-    return pixels.withColumn("b", before).groupBy("frame").agg(F.round(F.stddev_samp(d), 6).alias("std_diff"), F.round(F.avg("px"), 6).alias("mean"), F.max("px").alias("max"))
+    return pixels.withColumn("b", before).groupBy(*by, "frame").agg(F.round(F.stddev_samp(d), 6).alias("std_diff"), F.round(F.avg("px"), 6).alias("mean"), F.max("px").alias("max"))
 
 
-def split_deviation(pixels: DataFrame, backgrounds: DataFrame) -> DataFrame:
-    """(sqrt((sum d)^2 - sum d^2)) / n of |difference to the frame before|, for background and foreground pixels."""
-    before = F.lag("px").over(Window.partitionBy("y", "x").orderBy("frame"))
-    d = pixels.withColumn("b", before).where("b is not null").join(backgrounds, "frame").select("frame", F.abs(F.col("px") - F.col("b")).cast("double").alias("d"), (F.col("px") > F.col("background")).alias("fore"))
+def split_deviation(pixels: DataFrame, backgrounds: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(sqrt((sum d)^2 - sum d^2)) / n of |difference to the frame before|, for background and foreground pixels. by: the columns
+    that name the movie, in pixels and backgrounds; none where all are of one."""
+    before = F.lag("px").over(Window.partitionBy(*by, "y", "x").orderBy("frame"))
+    d = pixels.withColumn("b", before).where("b is not null").join(backgrounds, [*by, "frame"]).select(*by, "frame", F.abs(F.col("px") - F.col("b")).cast("double").alias("d"), (F.col("px") > F.col("background")).alias("fore"))
 
     def one(on: Column) -> Column:
         n, s, q = F.count(F.when(on, 1)), F.sum(F.when(on, F.col("d"))), F.sum(F.when(on, F.col("d") * F.col("d")))
         return F.when(n > 0, F.sqrt(s * s - q) / n).otherwise(F.lit(0.0))
 
-    return d.groupBy("frame").agg(F.round(one(~F.col("fore")), 6).alias("background_dev"), F.round(one(F.col("fore")), 6).alias("foreground_dev"))
+    return d.groupBy(*by, "frame").agg(F.round(one(~F.col("fore")), 6).alias("background_dev"), F.round(one(F.col("fore")), 6).alias("foreground_dev"))
 
 
 def emissivity(pixels: DataFrame, table: DataFrame) -> DataFrame:
@@ -188,7 +203,7 @@ def flip(pixels: DataFrame, w: int, h: int, left_right: bool, up_down: bool) ->
     return pixels.select("frame", y.alias("y"), x.alias("x"), "px")
 
 
-def running_average(pixels: DataFrame, n: int) -> DataFrame:
-    """Whole-number mean of each pixel's last n frames."""
-    w = Window.partitionBy("y", "x").orderBy("frame").rowsBetween(-(n - 1), 0)
-    return pixels.select("frame", "y", "x", F.floor(F.sum("px").over(w) / F.count("px").over(w)).cast("long").alias("mean"))
+def running_average(pixels: DataFrame, n: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Whole-number mean of each pixel's last n frames. by: the columns that name the movie; none where all pixels are of one."""
+    w = Window.partitionBy(*by, "y", "x").orderBy("frame").rowsBetween(-(n - 1), 0)
+    return pixels.select(*by, "frame", "y", "x", F.floor(F.sum("px").over(w) / F.count("px").over(w)).cast("long").alias("mean"))

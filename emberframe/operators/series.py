@@ -30,10 +30,10 @@ def extract_times(series: DataFrame, strategy: Strategy = Strategy.UNION, by: st
     return own.select(*keys, "t", again.alias("again")).distinct().select(*keys, "t")
 
 
-def resample(series: DataFrame, times: DataFrame, pad: float | None = None, interpolate: bool = True) -> DataFrame:
+def resample(series: DataFrame, times: DataFrame, pad: float | None = None, interpolate: bool = True, width: float | None = None) -> DataFrame:
     """series_id, t, v at distinct times (series_id, t). Outside: pad, or the sample of that end. Without interpolation the
-    nearest sample, of two as near the later one."""
-    found = neighbours(series, times, by="series_id")
+    nearest sample, of two as near the later one. width: the time ranges by which a series is dealt to tasks."""
+    found = neighbours(series, times, by="series_id", width=width)
     p, n, t = F.col("p"), F.col("n"), F.col("t")
     edge = F.lit(pad) if pad is not None else F.coalesce(p["v"], n["v"])
     f = (t - p["t"]) / (n["t"] - p["t"])

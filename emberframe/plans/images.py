@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from emberframe.functions import columns as c
+from emberframe.functions import images
 from emberframe.operators import frames as fr
 from emberframe.operators import labels
 from emberframe.plans.registry import query
-from emberframe.plans.tables import PX, pixels
+from emberframe.plans.tables import PX, packed, pixels
 
 W = f"WITH {PX} "
 
@@ -49,14 +51,14 @@ def translate(spark, d):
   FROM px a JOIN px b ON a.frame = b.frame AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1)
 SELECT frame, y, x, round(sum(k * px) / sum(k), 4) AS value FROM t GROUP BY 1, 2, 3""")
 def gaussian(spark, d):
-    return fr.gaussian(pixels(spark, d), 0.75).withColumn("value", F.round("value", 4))
+    return images.pixels_of(packed(spark, d), lambda img: images.gaussian(img, 0.75, np.float64), "double").select("frame", "y", "x", F.round("px", 4).alias("value"))
 
 
 @query("k3_median_filter", W + """, t AS (SELECT a.frame, a.y, a.x, b.px FROM px a JOIN px b ON a.frame = b.frame AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1
   WHERE CASE WHEN a.y IN (0, 7) THEN b.y = a.y WHEN a.x IN (0, 7) THEN b.x = a.x ELSE true END)
 SELECT frame, y, x, CASE WHEN y IN (0, 7) AND x IN (0, 7) THEN min(px) ELSE quantile_disc(px, 0.5) END AS px FROM t GROUP BY frame, y, x""")
 def median_filter(spark, d):
-    return fr.median3(pixels(spark, d), 8, 8)
+    return images.pixels_of(packed(spark, d), images.median3)
 
 
 @query("k4_find_median_pixel", W + """, h AS (SELECT frame, px, count(*) AS n FROM px GROUP BY 1, 2),
@@ -78,7 +80,7 @@ s AS (SELECT frame, y, x, px, v[len(v) // 2 + 1] AS med, v[len(v) // 5 + 1 : len
 d AS (SELECT *, sqrt(list_avg(list_transform(inner_v, lambda q: ((q - med) ** 2)::DOUBLE))) AS dev FROM s)
 SELECT frame, y, x FROM d JOIN f USING (frame) WHERE px < med - 1.5 * dev OR px > med + 1.5 * dev OR px < floor""")
 def bad_pixels(spark, d):
-    return fr.bad_pixels(pixels(spark, d), 1.5)
+    return images.bad_pixels_of(packed(spark, d), 1.5)
 
 
 _LABEL_SQL = """WITH RECURSIVE """ + PX + """, fg AS (SELECT frame, y, x, y * 8 + x AS id FROM px WHERE px > 4200),

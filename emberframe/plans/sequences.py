@@ -10,7 +10,7 @@ from emberframe.plans.tables import EV, SERIES, events, series
 
 W = f"WITH {SERIES} "
 #: Series with repeated times: days of users' events.
-DAYS = f"WITH {EV}, days AS (SELECT movie_id AS series_id, floor(t / 86400000000)::DOUBLE AS t FROM ev WHERE movie_id < 20), k AS (SELECT series_id, t, row_number() OVER (PARTITION BY series_id, t ORDER BY t) AS again FROM days) "
+DAYS = f"WITH {EV}, days AS (SELECT movie_id AS series_id, floor(t / 86400000000)::DOUBLE AS t FROM ev), k AS (SELECT series_id, t, row_number() OVER (PARTITION BY series_id, t ORDER BY t) AS again FROM days) "
 
 
 def _days(spark, d):
@@ -32,6 +32,10 @@ p AS (SELECT g.series_id, g.t, s.t AS pt, s.v AS pv FROM grid g ASOF LEFT JOIN s
 n AS (SELECT g.series_id, g.t, s.t AS nt, s.v AS nv FROM grid g ASOF LEFT JOIN series s ON g.series_id = s.series_id AND g.t <= s.t), b AS (SELECT * FROM p JOIN n USING (series_id, t)) """
 
 
+#: Seconds of a series that go to one task.
+RANGE = 30 * 86_400.0
+
+
 def _grid(spark, d):
     s = series(spark, d)
     t = s.select((F.floor(F.col("t") / 10000) * 10000).cast("double").alias("t")).distinct()
@@ -40,12 +44,12 @@ def _grid(spark, d):
 
 @query("t4_resample_linear", _NEAR + "SELECT series_id, t, round(CASE WHEN pt IS NULL OR nt IS NULL THEN coalesce(pv, nv) WHEN pt = t THEN pv ELSE nv * ((t - pt) / (nt - pt)) + (1 - (t - pt) / (nt - pt)) * pv END, 6) AS v FROM b")
 def linear(spark, d):
-    return sr.resample(series(spark, d), _grid(spark, d)).withColumn("v", F.round("v", 6))
+    return sr.resample(series(spark, d), _grid(spark, d), width=RANGE).withColumn("v", F.round("v", 6))
 
 
 @query("t4_resample_nearest", _NEAR + "SELECT series_id, t, CASE WHEN pt IS NULL OR nt IS NULL THEN 0.0 WHEN pt = t THEN pv WHEN t - pt < nt - t THEN pv ELSE nv END::DOUBLE AS v FROM b")
 def nearest(spark, d):
-    return sr.resample(series(spark, d), _grid(spark, d), pad=0.0, interpolate=False)
+    return sr.resample(series(spark, d), _grid(spark, d), pad=0.0, interpolate=False, width=RANGE)
 
 
 @query("t5_resample_pair", W + """, a AS (SELECT * FROM series WHERE series_id = (SELECT min(series_id) FROM series)), b AS (SELECT * FROM series WHERE series_id = (SELECT max(series_id) FROM series)),

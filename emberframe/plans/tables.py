@@ -20,6 +20,13 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.pixels_of(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", SIDE, value)
 
 
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same frames, packed: frame, h, w, px."""
+    from emberframe.functions import images
+
+    return images.pack(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", SIDE, 4096.0, 1.0)
+
+
 PX = """px AS (
   SELECT vec_id AS frame, (i // 8)::INTEGER AS y, (i % 8)::INTEGER AS x, floor((v::DOUBLE + 1.0) * 4096.0)::INTEGER AS px
   FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)
@@ -51,7 +58,7 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 POINTS = f"""{EV}, pts AS (
-  SELECT movie_id AS poly_id, pos, (event_id % 97)::DOUBLE AS x, (event_id * 7 % 89)::DOUBLE AS y, count(*) OVER (PARTITION BY movie_id) AS n FROM ev WHERE pos < 12
+  SELECT movie_id AS poly_id, pos, (event_id % 97)::DOUBLE AS x, (event_id * 7 % 89)::DOUBLE AS y, count(*) OVER (PARTITION BY movie_id) AS n FROM ev
 ), edges AS (
   SELECT a.poly_id, a.pos, a.n, a.x AS x, a.y AS y, b.x AS nx, b.y AS ny FROM pts a JOIN pts b ON a.poly_id = b.poly_id AND b.pos = (a.pos + 1) % a.n
 )"""

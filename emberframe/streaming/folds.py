@@ -94,7 +94,7 @@ class Downsampler:
                 emit = i % self.factor == 0
                 self.diffs.append(d)
             else:
-                mean, std = float(np.mean(self.diffs)), float(np.std(self.diffs))
+                mean, std = float(np.mean(self.diffs)), float(np.std(self.diffs, ddof=1))
                 q = sorted(self.diffs[-self.HISTORY :])[self.part]
                 nothing = d < mean - 0.5 * std and i - self.last < 2 * self.factor
                 emit = (d > q or i - self.last >= self.factor) and not nothing
@@ -133,7 +133,7 @@ class SteadyDownsampler(Downsampler):
             self.diffs.append(d)
             emit = due
         else:
-            mean, std = float(np.mean(self.diffs)), float(np.std(self.diffs))
+            mean, std = float(np.mean(self.diffs)), float(np.std(self.diffs, ddof=1))
             nothing = std < self.STEADY * mean and d < mean + 2 * std
             emit = due or (not nothing and d > mean + 0.5 * std)
             if due or mean - std < d < mean + 5 * std:
