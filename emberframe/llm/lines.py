@@ -1,10 +1,15 @@
 """Line dedup by a log-template tree, with DataFrame functions only.
 
 A line's tokens are what its spaces separate; tokens with a digit are variable fields. The tree has a fixed depth: the number
-of tokens, then the LEAD leading ones. Lines that agree in these share a leaf. A leaf's template has at each place the token
-of more than half of its distinct lines, or else a variable field; lines that agree with it in SIMILAR of their tokens are of
-that template, all others are templates of their own, but for their variable fields. So grouping doesn't depend on the order
-of lines, and a leaf may hold any number of them: tokens are counted by leaf and place.
+of tokens, then the LEAD leading ones, which make a leaf, then SPLITS levels of groups within the leaf:
+* A group's template has at each place the token of more than half of its distinct lines, or else a variable field. Lines that
+  agree with it in SIMILAR of their tokens are of that template.
+* Each other line goes on to a group of the next level, that of those which share its most frequent token at a place where the
+  template has a variable field, of equally frequent ones the first. Lines of which too few tokens come in another line of
+  the group to be SIMILAR to any go no further.
+* What is left after the last level is a template of its own, but for its fields with digits.
+So a leaf may hold several templates and any number of lines, and grouping doesn't depend on the order of lines: tokens are
+counted by group and place.
 
 Lines of less than LEAST tokens have no variable fields: each is a template as it stands. Blank lines are not counted and stay.
 
@@ -12,7 +17,7 @@ A template that comes in texts that differ is recurring: its lines stay in the d
 from all others. A template that only equal texts hold doesn't count, as equal documents are for another operator.
 
 A null text is empty and stays as it is; so do rows with a null doc_id. Of rows with equal doc_id and text the lines are dropped
-from each. A document may lose all its lines.
+from each. A document may lose all its lines. Other columns are ignored by `report` and kept by `deduplicate`.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ from emberframe.llm.common import Scratch
 
 LEAST = 5
 LEAD = 3
+SPLITS = 3
 SIMILAR = 0.8
 
 
@@ -38,6 +44,31 @@ def _lines(docs: DataFrame) -> DataFrame:
     return each.select("doc_id", "row", "at", "n", F.substring_index("masked", " ", LEAD).alias("lead"), "masked")
 
 
+def _templates(told: DataFrame, scratch: Scratch) -> DataFrame:
+    """leaf, line, group (the level and group whose template it is of) of the distinct lines (leaf, line, n, masked, lines) that
+    are of a template with variable fields. Leading tokens are the same in a leaf, so only others are counted."""
+    after = F.posexplode(F.slice(F.split("masked", " "), F.lit(LEAD + 1), F.col("n"))).alias("place", "token")
+    tokens = scratch.put(told.select("leaf", "line", F.col("n").cast("int").alias("n"), F.col("leaf").alias("group"), "lines", after).withColumn("token", F.xxhash64("token")), "tokens")
+    enough = F.ceil(F.col("n") * F.lit(SIMILAR) - F.lit(1e-9))
+    found = []
+    for level in range(SPLITS):
+        shared = tokens.groupBy("group", "place", "token").agg(F.count("*").cast("int").alias("k"), F.first("lines").alias("lines")).where("k > 1")
+        fixed = F.col("k") * 2 > F.col("lines")
+        each = tokens.drop("lines").join(shared.select("group", "place", "token", "k", fixed.alias("fixed")), ["group", "place", "token"])
+        best = F.max(F.when(~F.col("fixed"), F.struct("k", (-F.col("place")).alias("from_end"), "token")))
+        by_line = each.groupBy("leaf", "line", "n", "group").agg((F.count_if("fixed") + LEAD).alias("agree"), (F.count("*") + LEAD).alias("common"), best.alias("best"))
+        by_line = scratch.put(by_line.where(F.col("common") >= enough), f"level{level}")
+        found.append(by_line.where(F.col("agree") >= enough).select("leaf", "line", F.xxhash64(F.lit(level), "group").alias("group")))
+        if level + 1 < SPLITS:
+            on = by_line.where((F.col("agree") < enough) & F.col("best").isNotNull()).select("leaf", "line", F.xxhash64("group", "best.from_end", "best.token").alias("group"))
+            sized = on.join(on.groupBy("group").agg(F.count("*").alias("lines")).where("lines > 1"), "group")
+            tokens = scratch.put(tokens.select("leaf", "line", "n", "place", "token").join(sized, ["leaf", "line"]), "tokens")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def dropped(docs: DataFrame) -> DataFrame:
     """doc_id, row, ats: places of the lines to drop, for the rows that have any."""
     scratch = Scratch(docs.sparkSession)
@@ -47,12 +78,9 @@ def dropped(docs: DataFrame) -> DataFrame:
     known = placed.groupBy("leaf", "line").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.min("doc_id").alias("first"))
     known = scratch.put(known, "known")
     several = known.groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1")
-    told = lines.select("leaf", "line", "n", "masked").join(several, "leaf").dropDuplicates(["leaf", "line"])
-    tokens = told.select("leaf", "line", "n", "lines", F.posexplode(F.split("masked", " ")).alias("place", "token")).select("leaf", "line", "n", "lines", "place", F.xxhash64("token").alias("token"))
-    tokens = scratch.put(tokens, "tokens")
-    common = tokens.groupBy("leaf", "place", "token").agg(F.count("*").alias("k"), F.first("lines").alias("lines")).where("k * 2 > lines").select("leaf", "place", "token")
-    alike = tokens.join(common, ["leaf", "place", "token"]).groupBy("leaf", "line", "n").agg(F.count("*").alias("k")).where(F.col("k") >= F.col("n") * F.lit(SIMILAR)).select("leaf", "line", F.lit(0).cast("long").alias("of_leaf"))
-    named = known.join(alike, ["leaf", "line"], "left").withColumn("template", F.coalesce("of_leaf", "line"))
+    told = lines.where(F.col("n") >= LEAST).select("leaf", "line", "n", "masked").join(several, "leaf").dropDuplicates(["leaf", "line"])
+    alike = _templates(told, scratch)
+    named = known.join(alike, ["leaf", "line"], "left").withColumn("template", F.coalesce("group", "line"))
     counted = named.groupBy("leaf", "template").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first")).where("low != high")
     recurring = scratch.put(named.select("leaf", "line", "template").join(counted.select("leaf", "template", "first"), ["leaf", "template"]).select("leaf", "line", "first"), "recurring")
     gone = placed.join(recurring, ["leaf", "line"]).where("doc_id != first")
@@ -80,28 +108,45 @@ def report(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", n("text").cast("long").alias("n_lines"), F.coalesce(F.size("_ats"), F.lit(0)).cast("long").alias("n_dropped"), F.sha2(left, 256).alias("kept_sha256"))
 
 
+def _levels_sql() -> str:
+    """One level of groups after the other; the last one's rest stay as they are."""
+    out = f"""
+t0 AS (
+  SELECT n, lead, masked, '' AS grp, unnest(range({LEAD + 1}, n + 1)) AS place, unnest(tokens[{LEAD + 1}:]) AS token FROM known WHERE lines > 1 AND n >= {LEAST}
+)"""
+    for i in range(SPLITS):
+        out += f""", c{i} AS (
+  SELECT n, lead, grp, place, token, count(*) AS k, sum(count(*)) OVER (PARTITION BY n, lead, grp, place) AS m FROM t{i} GROUP BY n, lead, grp, place, token
+), p{i} AS (
+  SELECT n, lead, grp, masked, {LEAD} + count(*) FILTER (k > 1 AND k * 2 > m) AS agree, {LEAD} + count(*) FILTER (k > 1) AS common,
+         arg_max(place || ' ' || token, k * 1000000 - place) FILTER (k > 1 AND k * 2 <= m) AS best
+  FROM t{i} JOIN c{i} USING (n, lead, grp, place, token) GROUP BY n, lead, grp, masked
+), t{i + 1} AS (
+  SELECT t.n, t.lead, t.masked, p.grp || chr(10) || p.best AS grp, t.place, t.token FROM t{i} t JOIN p{i} p USING (n, lead, masked)
+  WHERE p.agree < ceil(n * {SIMILAR} - 1e-9) AND p.common >= ceil(n * {SIMILAR} - 1e-9) AND p.best IS NOT NULL
+)"""
+    return out
+
+
 #: DuckDB's form of `report`.
 SQL = f"""
 WITH l AS (
   SELECT doc_id, md5(text) AS digest, generate_subscripts(p, 1) - 1 AS nr, trim(unnest(p)) AS line
   FROM (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)
 ), m AS (
-  SELECT doc_id, digest, nr, CASE WHEN regexp_matches(line, '[0-9]') THEN regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g') ELSE line END AS masked FROM l
+  SELECT doc_id, digest, nr, CASE WHEN regexp_matches(line, '[0-9]') AND len(string_split(line, ' ')) >= {LEAST} THEN regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g') ELSE line END AS masked
+  FROM l WHERE regexp_matches(line, '\\S')
 ), t AS (
   SELECT *, string_split(masked, ' ') AS tokens, len(string_split(masked, ' ')) AS n FROM m
 ), s AS (
-  SELECT *, array_to_string(tokens[1:{LEAD}], ' ') AS lead FROM t WHERE n >= {LEAST}
+  SELECT *, array_to_string(tokens[1:{LEAD}], ' ') AS lead FROM t
 ), known AS (
   SELECT n, lead, masked, tokens, min(digest) AS low, max(digest) AS high, min(doc_id) AS first, count(*) OVER (PARTITION BY n, lead) AS lines
   FROM s GROUP BY n, lead, masked, tokens
-), tokens AS (
-  SELECT n, lead, masked, lines, generate_subscripts(tokens, 1) AS place, unnest(tokens) AS token FROM known WHERE lines > 1
-), common AS (
-  SELECT n, lead, place, token FROM tokens GROUP BY n, lead, place, token, lines HAVING count(*) * 2 > lines
-), alike AS (
-  SELECT n, lead, masked FROM tokens JOIN common USING (n, lead, place, token) GROUP BY n, lead, masked HAVING count(*) >= n * {SIMILAR}
+),{_levels_sql()}, alike AS (
+  {" UNION ALL ".join(f"SELECT n, lead, masked, '{i}' || grp AS template FROM p{i} WHERE agree >= ceil(n * {SIMILAR} - 1e-9)" for i in range(SPLITS))}
 ), named AS (
-  SELECT k.n, k.lead, k.masked, k.low, k.high, k.first, CASE WHEN a.masked IS NULL THEN k.masked ELSE '' END AS template
+  SELECT k.n, k.lead, k.masked, k.low, k.high, k.first, coalesce('of group ' || a.template, 'line ' || k.masked) AS template
   FROM known k LEFT JOIN alike a USING (n, lead, masked)
 ), counted AS (
   SELECT n, lead, template, min(first) AS first FROM named GROUP BY n, lead, template HAVING min(low) <> max(high)

@@ -41,17 +41,47 @@ def test_lines_of_every_length_count(spark):
     assert got == {1: docs[0][1], 2: "other\n\npage 13", 3: " \n\t", 4: docs[3][1]}
 
 
-def test_short_lines_against_sql_without_its_floor(spark):
+def test_given_tables_against_sql(spark):
     import duckdb
 
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    sql = lines.SQL.replace("CASE WHEN regexp_matches(line, '[0-9]')", f"CASE WHEN regexp_matches(line, '[0-9]') AND len(string_split(line, ' ')) >= {lines.LEAST}")
-    sql = sql.replace(f"WHERE n >= {lines.LEAST}", r"WHERE regexp_matches(masked, '\S')")
     con = duckdb.connect()
     con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
-    want = con.execute(sql).fetchall()
+    want = con.execute(lines.SQL).fetchall()
     assert sorted(tuple(x) for x in lines.report(docs).collect()) == sorted(want)
-    assert sum(x[2] for x in want) > sum(x[2] for x in con.execute(lines.SQL).fetchall())
+    assert sum(x[2] for x in want) > 100
+
+
+def test_a_leaf_with_several_templates(spark):
+    ends = ["one", "two", "three"]
+    texts = [f"alpha beta gamma {middle} {end} said today" for middle in ("x y z", "p q r", "k l m") for end in ends]
+    texts += [f"alpha beta gamma {w} {w}a {w}b {w}c {w}d {w}e" for w in "stuv"]
+    docs = list(enumerate(texts))
+    got = {x.doc_id: x.n_dropped for x in lines.report(spark.createDataFrame([(i, t, 0, "") for i, t in docs], DOCS)).collect()}
+    assert got == {i: int(i < 9 and i % 3 > 0) for i in range(len(texts))}
+
+
+def test_many_templates_against_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    r = random.Random(12)
+    kinds = [[r.choice("abcdefgh") * 2 for _ in range(r.randint(3, 7))] for _ in range(25)]
+    docs = []
+    for i in range(250):
+        own = []
+        for _ in range(r.randint(1, 4)):
+            k = list(r.choice(kinds))
+            for _ in range(r.choice([0, 1, 1, 2])):
+                k[r.randrange(len(k))] = r.choice("mnopq")
+            own.append(" ".join([*r.choice(["aa bb cc", "aa bb dd"]).split(), *k]))
+        docs.append((i, "\n".join(own)))
+    got = sorted(tuple(x) for x in lines.report(spark.createDataFrame([(i, t, 0, "") for i, t in docs], DOCS)).collect())
+    con = duckdb.connect()
+    con.register("frame", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    con.execute("CREATE TABLE documents AS SELECT doc_id::BIGINT AS doc_id, text::VARCHAR AS text FROM frame")
+    assert got == sorted(con.execute(lines.SQL).fetchall())
+    assert sum(x[2] for x in got) > 50
 
 
 def test_pii_is_replaced_consistently(spark):
