@@ -5,11 +5,13 @@ window is `width` consecutive words of an item, or the whole item where it has f
 one automaton, with a space on each side so that only whole words match; every text is scanned once, and hits are mapped
 back to word numbers and to character offsets of the original text.
 
-The automaton is built from the benchmark alone, which does not grow with the corpus. Its windows are broadcast in blocks
-of at most BLOCK_BYTES; a larger benchmark takes more blocks, each a pass over the texts that adds to the hits that a row already has.
+The automaton is built from the benchmark alone, which does not grow with the corpus. It takes windows of BLOCK_BYTES at most,
+which also bounds its nodes; a larger benchmark takes more blocks, each a pass over what the one before wrote, that adds to the
+hits that a row already has. So the driver holds one block at a time.
 
-Null texts and items are empty: no words, no windows, never contaminated. Items with the same id count once. Rows with equal or null
-doc_id are kept as they are. Other columns of `docs` are carried through by `decontaminate` only.
+Null texts and items are empty: no words, no windows, never contaminated. Items with the same id count once; an item without an
+id is listed as an empty string. Rows with equal or null doc_id are kept as they are. No rows give no rows, and an empty
+benchmark hits nothing. Other columns of `docs` are carried through by `decontaminate` only.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.llm.common import by_batch, ident, texts
+from emberframe.llm.common import Scratch, by_batch, ident, texts
 
 #: Bytes of windows in one automaton.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
 WIDTH = 10
 
 #: A-Z to a-z; everything that no word holds to a space.
@@ -54,7 +56,7 @@ def _blocks(benchmark: DataFrame, width: int):
         for w in own:
             block.setdefault(w, []).append(len(ids))
         size += sum(map(len, own))
-        ids.append(str(item_id))
+        ids.append("" if item_id is None else str(item_id))
     yield block, ids
 
 
@@ -126,20 +128,33 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, with_spans:
     """doc_id, n_words, word_ranges (merged, end exclusive), items (sorted ids as strings), spans (characters)."""
     found = f"n_words long, word_ranges {SPAN}, items array<string>, spans {SPAN}"
     kind = dict(docs.dtypes)["doc_id"]
-    out = ident(docs, "doc_id", "text")
-    blocks = [(block, list(ids)) for block, ids in _blocks(benchmark, width)]
-    for i, (block, ids) in enumerate(blocks, 1):
-        last = i == len(blocks)
+    out, scratch = ident(docs, "doc_id", "text"), None
+    for block, ids, last in _with_last(_blocks(benchmark, width)):
+        if "items" in out.columns:
+            scratch = scratch or Scratch(docs.sparkSession)
+            out = scratch.put(out, "hits")
         out = by_batch(out, _scan(block, ids, with_spans and last, last), f"doc_id {kind}, {'' if last else 'text string, '}{found}")
     return out
 
 
+def _with_last(blocks):
+    """Blocks, and whether each is the last one."""
+    held = None
+    for block in blocks:
+        if held:
+            yield *held, False
+        held = block
+    yield *held, True
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of docs, with all their columns, that hold no window of the benchmark."""
-    blocks = [b for b, _ in _blocks(benchmark, width)]
-    out = docs
-    for block in blocks:
+    out, scratch = docs, None
+    for block, _, last in _with_last(_blocks(benchmark, width)):
         out = by_batch(out, _keep(block), docs.schema)
+        if not last:
+            scratch = scratch or Scratch(docs.sparkSession)
+            out = scratch.put(out, "kept")
     return out
 
 

@@ -1,19 +1,22 @@
 """Toxicity: a linear-chain conditional random field tags toxic spans; its marginals add up to document scores.
 
-Tokens are runs of letters and digits, lower-cased; a token's feature is its word, and words that the fit has not seen have the
-bias alone. Labels come by document only, so tokens are labelled first: within documents labelled toxic, the words that are
-found almost only in toxic documents (see `token_labels`). The field (two states, word weights, a transition for each pair)
-is fitted to these by gradient steps on its likelihood, with forward-backward over
-windows of WINDOW tokens in parallel.
-
-Scoring runs forward-backward over every token of a text, in windows that share CONTEXT tokens with each neighbour; as a
-state's influence fades with distance, windows give the marginals of the whole chain for practical purposes. A document's score
-is a logistic function, fitted on the same labelled rows, of its largest marginal and of whether it is expected to
-have more than one toxic token. Offending offsets are code points of runs of tokens whose marginal is at least half.
-
-The fit takes at most MAX_ROWS labelled rows. Neither labels nor any column but the text are inputs of a score. A null text
-is empty and gets the score of no tokens. Without labels of both kinds, every score is the share of toxic labels (0
-without any). Rows with equal doc_id are scored each.
+Tokens are runs of letters and digits. A token's features are its lower-cased word, its first and last AFFIX letters, its shape
+(case and digits), and the words before and after it; what the fit has not seen weighs nothing.
+
+Labels come by document only. Tokens are labelled at first by words that are found almost only in toxic documents (see
+`token_labels`), and the field (two states, a weight for each feature, a transition for each pair of states) takes SEEDED
+gradient steps on the likelihood of these. Then the documents' labels alone decide, for LEARNT steps on the likelihood that a
+clean document has no toxic token and a toxic one at least one: what is a toxic token in a toxic document is the field's own
+expectation under that condition (multiple instances). Every chain is a whole text, in the fit and in scoring: forward-backward
+runs over all its tokens, for many texts at a time.
+
+A document's score is a logistic function, fitted on the same labelled rows, of its largest marginal and of whether it is
+expected to have more than one toxic token. Offending offsets are code points of runs of tokens whose marginal is at least half.
+
+The fit takes at most MAX_ROWS labelled rows of labelled.MAX_CHARS code points together, all of their tokens. Neither labels nor
+any column but the text are inputs of a score. A null text is empty and gets the score of no tokens. Without labels of both
+kinds, every score is the share of toxic labels (0 without any). Rows with equal or null doc_id are scored each; no rows give no
+rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,18 +34,27 @@ from emberframe.llm.labelled import sample
 
 #: Labelled rows in the fit at most.
 MAX_ROWS = 4000
-WINDOW, CONTEXT = 512, 16
-STEPS, RATE, DECAY = 40, 0.3, 1e-4
+SEEDED, LEARNT, RATE, DECAY = 32, 12, 0.3, 1e-4
+AFFIX = 3
 #: A word marks toxic tokens if so many toxic documents have it, and they are such a share of those that have it.
 LEAST_DOCS, LEAST_SHARE = 3, 0.8
-#: Words with weights below this count as not seen.
+#: Features with weights below this count as not seen.
 LEAST_WEIGHT = 1e-3
+#: Different tokens that a task remembers at most.
+KEPT = 500_000
 
 TOKEN = re.compile(r"[^\W_]+")
 
 
 def tokens(text: str) -> list[str]:
-    return TOKEN.findall(text.lower())
+    return [t.lower() for t in TOKEN.findall(text)]
+
+
+def own_features(token: str) -> list[str]:
+    """Of the token itself, the word first; those of its neighbours are their words."""
+    word = token.lower()
+    shape = "d" if token.isdigit() else "m" if not token.isalpha() else "u" if token.isupper() else "l" if token.islower() else "t"
+    return [f"w {word}", f"p {word[:AFFIX]}", f"s {word[-AFFIX:]}", f"c {shape}{min(len(token), 4)}"]
 
 
 def token_labels(rows: list[tuple[str, int]]) -> set[str]:
@@ -65,84 +77,126 @@ def token_labels(rows: list[tuple[str, int]]) -> set[str]:
     return out
 
 
-def _chains(emission: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Odds forward and backward, for chains in columns: emission[t, c] is the log-odds that token t's features give;
-    change = exp of the transitions' weights. Also the marginal probabilities of the toxic state."""
-    odds = np.exp(np.clip(emission, -50, 50))
-    n = len(odds)
-    fore, back = np.empty_like(odds), np.empty_like(odds)
-    (a, b), (c, d) = change
-    r = odds[0]
-    fore[0] = r
-    for t in range(1, n):
-        r = (b + r * d) / (a + r * c) * odds[t]
-        fore[t] = r
-    q = np.ones(odds.shape[1])
-    back[n - 1] = q
-    for t in range(n - 2, -1, -1):
-        q = q * odds[t + 1]
-        q = (c + d * q) / (a + b * q)
-        back[t] = q
+class Chains:
+    """Texts of different lengths side by side: step t holds token t of every text that has one, longest texts first."""
+
+    def __init__(self, lengths: np.ndarray):
+        self.order = np.argsort(-lengths, kind="stable")
+        own = lengths[self.order]
+        self.alive = np.searchsorted(-own, -np.arange(int(own[0]) if len(own) else 0), "left")
+        self.start = np.concatenate([[0], np.cumsum(self.alive)]).astype(np.int64)
+        self.at = [self.start[:n] + k for k, n in enumerate(own.tolist())]
+        first = int(self.alive[0]) if len(self.alive) else 0
+        self.later = np.arange(first, self.start[-1])
+        self.before = self.later - np.repeat(self.alive[:-1], self.alive[1:]) if len(self.alive) else self.later
+
+    def packed(self, by_text: list[np.ndarray], dtype) -> np.ndarray:
+        out = np.zeros(self.start[-1], dtype)
+        for k, i in enumerate(self.order):
+            out[self.at[k]] = by_text[i]
+        return out
+
+    def unpacked(self, flat: np.ndarray) -> list[np.ndarray]:
+        out: list = [None] * len(self.order)
+        for k, i in enumerate(self.order):
+            out[i] = flat[self.at[k]]
+        return out
+
+    def odds(self, emission: np.ndarray, change: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Odds of the toxic state by what comes before and at a token, by what comes after, and of each token alone;
+        change = exp of the transitions' weights."""
+        own = np.exp(np.clip(emission, -50, 50))
+        fore, back = own.copy(), np.ones_like(own)
+        (a, b), (c, d) = change
+        for t in range(1, len(self.alive)):
+            i, j = self.start[t], self.start[t + 1]
+            r = fore[self.start[t - 1] : self.start[t - 1] + j - i]
+            fore[i:j] = (b + r * d) / (a + r * c) * own[i:j]
+        for t in range(len(self.alive) - 2, -1, -1):
+            i, j = self.start[t + 1], self.start[t + 2]
+            q = back[i:j] * own[i:j]
+            back[self.start[t] : self.start[t] + j - i] = (c + d * q) / (a + b * q)
+        return fore, back, own
+
+
+def chain_marginals(emissions: list[np.ndarray], change: np.ndarray) -> list[np.ndarray]:
+    """The probability of each token of each chain to be toxic."""
+    chains = Chains(np.array([len(e) for e in emissions], np.int64))
+    fore, back, _ = chains.odds(chains.packed(emissions, np.float64), change)
     both = fore * back
-    return fore, back, both / (1 + both)
+    return chains.unpacked(both / (1 + both))
 
 
 def fit(rows: list[tuple[str, int]]):
-    """(word weights, bias, transitions, weights of a document's score)."""
+    """(weights of features, bias, transitions, weights of a document's score)."""
     n_toxic = sum(y for _, y in rows)
     if not n_toxic or n_toxic == len(rows):
         p = n_toxic / len(rows) if rows else 0.0
         return {}, -8.0, np.ones((2, 2)), np.array([p * 60 - 30, 0.0, 0.0])
     marks = token_labels(rows)
     vocab: dict[str, int] = {}
-    chains, tags = [], []
-    marked: list[bool] = []
-    plain = 0
-    for text, y in rows:
-        ids = []
-        for t in tokens(text):
-            if (i := vocab.get(t)) is None:
-                i = vocab[t] = len(vocab)
-                marked.append(t in marks)
-            ids.append(i)
-        ids = np.array(ids, np.int64)
-        tag = np.array(marked, bool)[ids] & bool(y) if len(ids) else np.zeros(0, bool)
-        for i in range(0, len(ids), WINDOW):
-            plain += not (toxic := bool(tag[i : i + WINDOW].any()))
-            if toxic or plain % 8 == 1:  # of windows without toxic tokens, an eighth
-                chains.append(ids[i : i + WINDOW])
-                tags.append(tag[i : i + WINDOW])
-    width = np.array([len(c) for c in chains])
-    grid = np.full((WINDOW, len(chains)), len(vocab))  # the last token stands for padding
-    gold = np.zeros((WINDOW, len(chains)), bool)
-    for k, (c, g) in enumerate(zip(chains, tags, strict=True)):
-        grid[: len(c), k], gold[: len(c), k] = c, g
-    real = np.arange(WINDOW)[:, None] < width
-    n = len(vocab)
+    texts_ids = []
+    for text, _ in rows:
+        own = TOKEN.findall(text)
+        texts_ids.append(np.fromiter((vocab.setdefault(t, len(vocab)) for t in own), np.int64, len(own)))
+    chains = Chains(np.array([len(x) for x in texts_ids], np.int64))
+    ids = chains.packed(texts_ids, np.int64)
+    text_of = chains.packed([np.full(len(x), i) for i, x in enumerate(texts_ids)], np.int64)
+    # features: four of the token itself, then the word before and the word after
+    index: dict[str, int] = {}
+    number = lambda f: index.setdefault(f, len(index))
+    own = np.array([[number(f) for f in own_features(t)] for t in vocab], np.int64).reshape(-1, 4)
+    sides = [np.array([number(f"{side} {t.lower()}") for t in vocab], np.int64) for side in "ba"]
+    n, later, before = len(index), chains.later, chains.before
+    toxic = np.array([bool(y) for _, y in rows])
+    gold = np.array([t.lower() in marks for t in vocab], bool)[ids] & toxic[text_of]
+    has_mark = np.bincount(text_of, gold, len(rows)) > 0
+    first = np.arange(chains.alive[0] if len(chains.alive) else 0)
     w, bias, change = np.zeros(n), -2.0, np.zeros((2, 2))
     m, v = np.zeros(n + 5), np.zeros(n + 5)
-    pairs = real[1:]
-    want = np.array([[(~gold[:-1] & ~gold[1:] & pairs).sum(), (~gold[:-1] & gold[1:] & pairs).sum()], [(gold[:-1] & ~gold[1:] & pairs).sum(), (gold[:-1] & gold[1:] & pairs).sum()]], float)
-    gold_by_token = np.bincount(grid[gold], minlength=len(vocab) + 1)[:-1]
     scale = 1.0 / max(1, gold.sum())
-    for step in range(1, STEPS + 1):
-        e = np.append(w + bias, -50.0)[grid]
+
+    def pairs(left: np.ndarray, right: np.ndarray, t: np.ndarray) -> np.ndarray:
+        z = t[0, 0] + t[0, 1] * right + t[1, 0] * left + t[1, 1] * left * right
+        return np.stack([t[0, 0] / z, t[0, 1] * right / z, t[1, 0] * left / z, t[1, 1] * left * right / z])
+
+    for step in range(1, SEEDED + LEARNT + 1):
+        e = w[own].sum(1)[ids] + bias
+        e[later] += w[sides[0]][ids[before]]
+        e[before] += w[sides[1]][ids[later]]
         t = np.exp(change)
-        fore, back, p = _chains(e, t)
-        p = p * real
-        # pairs: state i before, j after, from the odds on both sides
-        left, right = fore[:-1], back[1:] * np.exp(np.clip(e[1:], -50, 50))
-        joint = [np.full_like(left, t[0, 0]), t[0, 1] * right, t[1, 0] * left, t[1, 1] * left * right]
-        z = joint[0] + joint[1] + joint[2] + joint[3]
-        have = np.array([(x / z)[pairs].sum() for x in joint]).reshape(2, 2)
-        by_token = np.bincount(grid.ravel(), p.ravel(), len(vocab) + 1)[:-1] - gold_by_token
-        grad = np.concatenate([by_token * scale + DECAY * w, [by_token.sum() * scale], (have - want).ravel() * scale])
+        fore, back, odds = chains.odds(e, t)
+        both = fore * back
+        p = both / (1 + both)
+        joint = pairs(fore[before], back[later] * odds[later], t)
+        if step <= SEEDED:  # the marks; toxic texts without any say nothing yet
+            used = (has_mark | ~toxic)[text_of].astype(float)
+            left, right = gold[before], gold[later]
+            target, pair_target = gold.astype(float), np.stack([~left & ~right, ~left & right, left & ~right, left & right]).astype(float)
+        else:  # at least one toxic token in toxic texts, none in clean ones
+            used = np.ones(len(ids))
+            nothing = np.zeros(len(ids))
+            nothing[first] = -np.log1p(odds[first] * back[first])
+            nothing[later] = -np.log1p(t[0, 1] / t[0, 0] * odds[later] * back[later])
+            none = np.exp(np.bincount(text_of, nothing, len(rows)))  # probability of no toxic token
+            some = np.where(toxic, 1 / np.maximum(1 - none, 1e-6), 0.0)
+            target = p * some[text_of]
+            pair_target = joint * some[text_of[later]]
+            pair_target[0] = 1 - pair_target[1:].sum(0)
+        delta = (p - target) * used
+        by_token = np.bincount(ids, delta, len(vocab))
+        grad_w = np.bincount(own.ravel(), np.repeat(by_token, 4), n)
+        grad_w += np.bincount(sides[0][ids[before]], delta[later], n) + np.bincount(sides[1][ids[later]], delta[before], n)
+        by_pair = ((joint - pair_target) * used[later]).sum(1)
+        grad = np.concatenate([grad_w * scale + DECAY * w, [delta.sum() * scale], by_pair * scale])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, bias, change = w - move[:n], bias - move[n], change - move[n + 1 :].reshape(2, 2)
-    model = ({t: float(x) for t, x in zip(vocab, w, strict=True) if abs(x) >= LEAST_WEIGHT}, float(bias), np.exp(change))
-    x = np.array([_summary(p) for _, p in marginals([t for t, _ in rows], model, {})])
-    x, y = np.hstack([np.ones((len(rows), 1)), x]), np.array([y for _, y in rows], float)
+    model = ({f: float(x) for f, x in zip(index, w, strict=True) if abs(x) >= LEAST_WEIGHT}, float(bias), np.exp(change))
+    x = []
+    for at in range(0, len(rows), 500):
+        x += [_summary(p) for p in marginals([t for t, _ in rows[at : at + 500]], model, Lexicon(model))]
+    x, y = np.hstack([np.ones((len(rows), 1)), np.array(x)]), np.array([y for _, y in rows], float)
     a = np.zeros(3)
     for _ in range(30):  # Newton's method
         p = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
@@ -156,47 +210,57 @@ def _summary(p: np.ndarray) -> tuple[float, float]:
     return np.log(top / (1 - top)) / 3, float(p.sum() >= 1.5)
 
 
-def marginals(text_list: list[str], model, cache: dict) -> list[tuple[list[str], np.ndarray]]:
-    """Tokens and their probabilities to be toxic, for each text."""
-    w, bias, change = model[:3]
-    every = [tokens(t) for t in text_list]
+class Lexicon:
+    """Numbers of the tokens seen, and by number what each says about itself, the next one and the one before."""
+
+    def __init__(self, model):
+        self.weights = model[0]
+        self.forget()
+
+    def __len__(self) -> int:
+        return len(self.number)
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.rows: list[tuple[float, float, float]] = []
+
+    def numbers(self, own: list[str]) -> np.ndarray:
+        for t in set(own).difference(self.number):
+            w, word = self.weights, t.lower()
+            self.number[t] = len(self.number)
+            self.rows.append((sum([w.get(f, 0.0) for f in own_features(t)]), w.get(f"b {word}", 0.0), w.get(f"a {word}", 0.0)))
+        return np.fromiter(map(self.number.__getitem__, own), np.int64, len(own))
+
+    def table(self) -> np.ndarray:
+        return np.array(self.rows, float).reshape(-1, 3).T
+
+
+def marginals(text_list: list[str], model, lexicon: Lexicon) -> list[np.ndarray]:
+    """For each text the probability of each of its tokens to be toxic."""
+    _, bias, change = model[:3]
+    if len(lexicon) > KEPT:
+        lexicon.forget()
+    numbers = [lexicon.numbers(TOKEN.findall(t)) for t in text_list]
+    own, before, after = lexicon.table()
     emissions = []
-    for own in every:
-        try:
-            e = np.fromiter(map(cache.__getitem__, own), np.float64, len(own))
-        except KeyError:
-            for t in [x for x in set(own) if x not in cache]:
-                cache[t] = w.get(t, 0.0) + bias
-            e = np.fromiter(map(cache.__getitem__, own), np.float64, len(own))
+    for k in numbers:
+        e = own[k] + bias
+        e[1:] += before[k[:-1]]
+        e[:-1] += after[k[1:]]
         emissions.append(e)
-        if len(cache) > 500_000:
-            cache.clear()
-    cuts = [(k, i) for k, e in enumerate(emissions) for i in range(0, len(e), WINDOW)]
-    cuts.sort(key=lambda c: -min(WINDOW + 2 * CONTEXT, len(emissions[c[0]]) - max(0, c[1] - CONTEXT)))
-    out = [np.zeros(len(e)) for e in emissions]
-    for at in range(0, len(cuts), 1024):
-        block = cuts[at : at + 1024]
-        spans = [(max(0, i - CONTEXT), min(len(emissions[k]), i + WINDOW + CONTEXT)) for k, i in block]
-        grid = np.full((max(b - a for a, b in spans), len(block)), -50.0)
-        for c, ((k, _), (a, b)) in enumerate(zip(block, spans, strict=True)):
-            grid[: b - a, c] = emissions[k][a:b]
-        p = _chains(grid, change)[2]
-        for c, ((k, i), (a, _)) in enumerate(zip(block, spans, strict=True)):
-            end = min(len(emissions[k]), i + WINDOW)
-            out[k][i:end] = p[i - a : end - a, c]
-    return list(zip(every, out, strict=True))
-
-
-def _score(found, a: np.ndarray) -> np.ndarray:
-    x = np.array([_summary(p) for _, p in found]).reshape(-1, 2)
+    return chain_marginals(emissions, change)
+
+
+def _score(found: list[np.ndarray], a: np.ndarray) -> np.ndarray:
+    x = np.array([_summary(p) for p in found]).reshape(-1, 2)
     return 1 / (1 + np.exp(-np.clip(a[0] + x @ a[1:], -30, 30)))
 
 
 def _spans(text: str, p: np.ndarray) -> list[dict]:
     out: list[dict] = []
-    if len(p) and p.max() >= 0.5 and len(text.lower()) == len(text):
+    if len(p) and p.max() >= 0.5:
         last = -2
-        for k, m in enumerate(TOKEN.finditer(text.lower())):
+        for k, m in enumerate(TOKEN.finditer(text)):
             if p[k] >= 0.5:
                 if last == k - 1:
                     out[-1]["end"] = m.end()
@@ -207,20 +271,16 @@ def _spans(text: str, p: np.ndarray) -> list[dict]:
 
 
 def score(docs: DataFrame, labels: DataFrame, where: Column | None = None, max_rows: int = MAX_ROWS) -> DataFrame:
-    """doc_id, score, spans (code points, end exclusive). where: of the labelled rows, those to learn from.
-
-    Texts whose lower case has another length have a score but no spans."""
+    """doc_id, score, spans (code points, end exclusive). where: of the labelled rows, those to learn from."""
     model = fit(sample(docs, labels, "toxic", max_rows, where))
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
-        cache: dict = {}
+        lexicon = Lexicon(model)
         for batch in batches:
             own = texts(batch)
-            found = marginals(own, model, cache)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(_score(found, model[3])), pa.array([_spans(t, p) for t, (_, p) in zip(own, found, strict=True)], span)], ["doc_id", "score", "spans"]
-            )
+            found = marginals(own, model, lexicon)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_score(found, model[3])), pa.array([_spans(t, p) for t, p in zip(own, found, strict=True)], span)], ["doc_id", "score", "spans"])
 
     return by_batch(ident(docs, "doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, spans array<struct<start:int,end:int>>")
 
