@@ -84,28 +84,49 @@ def test_many_templates_against_sql(spark):
     assert sum(x[2] for x in got) > 50
 
 
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
 def test_pii_is_replaced_consistently(spark):
     texts = [
         None, "", "nothing here", "Write to Jürgen.Müller+x@mail6.example.com, or JÜRGEN.MÜLLER+X@MAIL6.EXAMPLE.COM.", "At 10.0.0.255 and 1.2.3.4.5 and 999.1.1.1.",
-        "+1 (788) 555-2942 and 788-555-2942.", "card 5803870406416778 or 5803 8704 0641 6778", "ssn 123-45-6789", "Emily met Emily Smith and Charles; Светлана Иванова too. Emilyx", "jürgen.müller+x@mail6.example.com",
-        "x" * 200_000 + " 10.0.0.255",
+        "+1 (788) 555-2942 and 788-555-2942.", "card 4845168114407329 or 4845 1681 1440 7329", "ssn 123-45-6789", "Emily met Emily Smith and Charles; Светлана Иванова too. Emilyx", "jürgen.müller+x@mail6.example.com",
+        "x" * 200_000 + " 10.0.0.255", "GB82 WEST 1234 5698 7654 32 and DE89370400440532013000, not DE00370400440532013000",
     ]
     df = spark.createDataFrame([(i, t, 0, "clash") for i, t in enumerate(texts)] + [(7, texts[7], 0, ""), (None, texts[7], 0, "")], DOCS)
     rows = pii.replace(df).collect()
     assert len(rows) == len(texts) + 2
     got = {x.doc_id: x for x in rows}
     assert got[0].text is None and got[1].text == "" and got[2].text == texts[2]
-    assert [got[i].n_entities for i in range(10)] == [0, 0, 0, 2, 1, 2, 2, 1, 4, 1]
+    assert [got[i].n_entities for i in range(12)] == [0, 0, 0, 2, 1, 2, 2, 1, 4, 1, 1, 2]
     a = re.search(r"\S+@\S+net", got[3].text)[0]
     assert a == a.lower() and a.upper() in got[3].text and got[9].text == a
     ip = re.search(r"At (\S+) and", got[4].text)[1]
     assert got[10].text.endswith(" " + ip) and re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}", ip) and ip != "10.0.0.255"
-    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4} and \d{3}-\d{3}-\d{4}\.", got[5].text)
-    assert re.fullmatch(r"card \d{16} or (\d{4} ){3}\d{4}", got[6].text) and got[6].text != texts[6]
+    m = re.fullmatch(r"\+1 \((\d{3})\) (\d{3})-(\d{4}) and (\d{3})-(\d{3})-(\d{4})\.", got[5].text)
+    assert m.groups()[:3] == m.groups()[3:] != ("788", "555", "2942")
+    m = re.fullmatch(r"card (\d{16}) or ((?:\d{4} ){3}\d{4})", got[6].text)
+    assert m[1] == m[2].replace(" ", "") != "4845168114407329" and luhn(m[1])
     assert got[7].text == got[None].text and re.fullmatch(r"ssn \d{3}-\d{2}-\d{4}", got[7].text)
-    m = re.fullmatch(r"(\w+) met (\w+) (\w{5}) and (\w+); (\w+) (\w{7}) too\. Emilyx", got[8].text)
+    m = re.fullmatch(r"(\w+) met (\w+) (\w+) and (\w+); (\w+) (\w+) too\. Emilyx", got[8].text)
     assert m[1] == m[2] in pii.NAMES["female_latin"] and m[4] in pii.NAMES["male_latin"] and m[5] in pii.NAMES["female_cyrillic"]
-    assert re.fullmatch("[А-Я][а-я]+", m[6]) and m[3][0].isupper()
+    assert re.fullmatch("[А-Я][а-я]+а", m[6]) and m[3][0].isupper() and m[1] != "Emily" and m[3] != "Smith"
+    m = re.fullmatch(r"(GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d) and (DE\d{20}), not DE00370400440532013000", got[11].text)
+    for own in m.groups():
+        own = own.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in own[4:] + own[:4])) % 97 == 1
+
+
+def test_names_by_context_and_word(spark):
+    said = "Emily Smith and John Smith, Mr. Okafor, 2001:db8::1, order 1234567890123456, Sarah Smith, Dear Okafor, Dear All, Dr. John Q. Smith at 12:30:45 in std::map"
+    (row,) = pii.replace(spark.createDataFrame([(1, said, 0, "")], DOCS)).collect()
+    w = r"([A-Z][a-z]+)"
+    m = re.fullmatch(rf"{w} {w} and {w} {w}, Mr\. {w}, ([0-9a-f:]+), order 1234567890123456, {w} {w}, Dear {w}, Dear All, Dr\. {w} ([A-Z]\.) {w} at 12:30:45 in std::map", row.text)
+    emily, smith, john, smith2, okafor, v6, sarah, smith3, okafor2, john2, initial, smith4 = m.groups()
+    assert smith == smith2 == smith3 == smith4 != "Smith" and okafor == okafor2 not in ("Okafor", smith) and john == john2
+    assert {emily, sarah} <= set(pii.NAMES["female_latin"]) - {"Emily"} and emily != sarah and john in pii.NAMES["male_latin"] and john != "John"
+    assert initial != "Q." and re.fullmatch(r"\d{4}:[a-f]{2}\d::\d", v6) and v6 != "2001:db8::1" and row.n_entities == 7
 
 
 def test_surrogates_stay_distinct(spark):
