@@ -36,6 +36,8 @@ from emberframe.llm.labelled import sample
 MAX_ROWS = 4000
 SEEDED, LEARNT, RATE, DECAY = 32, 12, 0.3, 1e-4
 AFFIX = 3
+#: Tokens whose step of the fit is worked out at once, but for one longer text.
+STEP_TOKENS = 250_000
 #: A word marks toxic tokens if so many toxic documents have it, and they are such a share of those that have it.
 LEAST_DOCS, LEAST_SHARE = 3, 0.8
 #: Features with weights below this count as not seen.
@@ -127,6 +129,46 @@ def chain_marginals(emissions: list[np.ndarray], change: np.ndarray) -> list[np.
     return chains.unpacked(both / (1 + both))
 
 
+class _Block:
+    """Labelled texts of the fit, as numbers of their tokens."""
+
+    def __init__(self, each: list[np.ndarray], toxic: np.ndarray, marked: np.ndarray):
+        self.chains, self.toxic = Chains(np.array([len(x) for x in each], np.int64)), toxic
+        self.ids = self.chains.packed(each, np.int32)
+        self.text_of = self.chains.packed([np.full(len(x), i, np.int32) for i, x in enumerate(each)], np.int32)
+        self.gold = marked[self.ids] & toxic[self.text_of]
+
+    def add(self, alone, after, before, change, by_marks: bool, by_token, by_before, by_after, by_pair) -> None:
+        """What the field expects more than it should, by token, by neighbour and by pair of states, to the sums given."""
+        ids, text_of, later, earlier, toxic = self.ids, self.text_of, self.chains.later, self.chains.before, self.toxic
+        e = alone[ids]
+        e[later] += after[ids[earlier]]
+        e[earlier] += before[ids[later]]
+        t = np.exp(change)
+        fore, back, odds = self.chains.odds(e, t)
+        p = fore * back
+        p /= 1 + p
+        left, right = fore[earlier], back[later] * odds[later]
+        joint = np.stack([np.full(len(left), t[0, 0]), t[0, 1] * right, t[1, 0] * left, t[1, 1] * left * right])
+        joint /= joint.sum(0)
+        if by_marks:  # the marks; toxic texts without any say nothing yet
+            used = (np.bincount(text_of, self.gold, len(toxic)) > 0) | ~toxic
+            a, b = self.gold[earlier], self.gold[later]
+            target, pairs = self.gold, np.stack([~a & ~b, ~a & b, a & ~b, a & b])
+        else:  # at least one toxic token in toxic texts, none in clean ones
+            used = np.ones(len(toxic), bool)
+            nothing = -np.log1p(np.where(np.isin(np.arange(len(ids)), later, assume_unique=True), t[0, 1] / t[0, 0], 1.0) * odds * back)
+            none = np.exp(np.bincount(text_of, nothing, len(toxic)))  # the probability of no toxic token
+            some = np.where(toxic, 1 / np.maximum(1 - none, 1e-6), 0.0)
+            target, pairs = p * some[text_of], joint * some[text_of[later]]
+            pairs[0] = 1 - pairs[1:].sum(0)
+        delta = (p - target) * used[text_of]
+        by_token += np.bincount(ids, delta, len(by_token))
+        by_before += np.bincount(ids[earlier], delta[later], len(by_token))
+        by_after += np.bincount(ids[later], delta[earlier], len(by_token))
+        by_pair += ((joint - pairs) * used[text_of[later]]).sum(1)
+
+
 def fit(rows: list[tuple[str, int]]):
     """(weights of features, bias, transitions, weights of a document's score)."""
     n_toxic = sum(y for _, y in rows)
@@ -135,63 +177,40 @@ def fit(rows: list[tuple[str, int]]):
         return {}, -8.0, np.ones((2, 2)), np.array([p * 60 - 30, 0.0, 0.0])
     marks = token_labels(rows)
     vocab: dict[str, int] = {}
-    texts_ids = []
+    each = []
     for text, _ in rows:
         own = TOKEN.findall(text)
-        texts_ids.append(np.fromiter((vocab.setdefault(t, len(vocab)) for t in own), np.int64, len(own)))
-    chains = Chains(np.array([len(x) for x in texts_ids], np.int64))
-    ids = chains.packed(texts_ids, np.int64)
-    text_of = chains.packed([np.full(len(x), i) for i, x in enumerate(texts_ids)], np.int64)
+        each.append(np.fromiter((vocab.setdefault(t, len(vocab)) for t in own), np.int32, len(own)))
     # features: four of the token itself, then the word before and the word after
     index: dict[str, int] = {}
     number = lambda f: index.setdefault(f, len(index))
-    own = np.array([[number(f) for f in own_features(t)] for t in vocab], np.int64).reshape(-1, 4)
-    sides = [np.array([number(f"{side} {t.lower()}") for t in vocab], np.int64) for side in "ba"]
-    n, later, before = len(index), chains.later, chains.before
-    toxic = np.array([bool(y) for _, y in rows])
-    gold = np.array([t.lower() in marks for t in vocab], bool)[ids] & toxic[text_of]
-    has_mark = np.bincount(text_of, gold, len(rows)) > 0
-    first = np.arange(chains.alive[0] if len(chains.alive) else 0)
+    own = np.array([[number(f) for f in own_features(t)] for t in vocab], np.int32).reshape(-1, 4)
+    sides = [np.array([number(f"{side} {t.lower()}") for t in vocab], np.int32) for side in "ba"]
+    marked = np.array([t.lower() in marks for t in vocab], bool)
+    blocks, block, size = [], [], 0  # texts of like length side by side, some at a time, which bounds the memory of a step
+    for i in np.argsort([-len(x) for x in each], kind="stable").tolist():
+        if size and size + len(each[i]) > STEP_TOKENS:
+            blocks.append(_Block([each[k] for k in block], np.array([bool(rows[k][1]) for k in block]), marked))
+            block, size = [], 0
+        block.append(i)
+        size += len(each[i])
+    blocks.append(_Block([each[k] for k in block], np.array([bool(rows[k][1]) for k in block]), marked))
+    del each
+    n = len(index)
     w, bias, change = np.zeros(n), -2.0, np.zeros((2, 2))
     m, v = np.zeros(n + 5), np.zeros(n + 5)
-    scale = 1.0 / max(1, gold.sum())
-
-    def pairs(left: np.ndarray, right: np.ndarray, t: np.ndarray) -> np.ndarray:
-        z = t[0, 0] + t[0, 1] * right + t[1, 0] * left + t[1, 1] * left * right
-        return np.stack([t[0, 0] / z, t[0, 1] * right / z, t[1, 0] * left / z, t[1, 1] * left * right / z])
-
+    scale = 1.0 / max(1, sum(int(b.gold.sum()) for b in blocks))
     for step in range(1, SEEDED + LEARNT + 1):
-        e = w[own].sum(1)[ids] + bias
-        e[later] += w[sides[0]][ids[before]]
-        e[before] += w[sides[1]][ids[later]]
-        t = np.exp(change)
-        fore, back, odds = chains.odds(e, t)
-        both = fore * back
-        p = both / (1 + both)
-        joint = pairs(fore[before], back[later] * odds[later], t)
-        if step <= SEEDED:  # the marks; toxic texts without any say nothing yet
-            used = (has_mark | ~toxic)[text_of].astype(float)
-            left, right = gold[before], gold[later]
-            target, pair_target = gold.astype(float), np.stack([~left & ~right, ~left & right, left & ~right, left & right]).astype(float)
-        else:  # at least one toxic token in toxic texts, none in clean ones
-            used = np.ones(len(ids))
-            nothing = np.zeros(len(ids))
-            nothing[first] = -np.log1p(odds[first] * back[first])
-            nothing[later] = -np.log1p(t[0, 1] / t[0, 0] * odds[later] * back[later])
-            none = np.exp(np.bincount(text_of, nothing, len(rows)))  # probability of no toxic token
-            some = np.where(toxic, 1 / np.maximum(1 - none, 1e-6), 0.0)
-            target = p * some[text_of]
-            pair_target = joint * some[text_of[later]]
-            pair_target[0] = 1 - pair_target[1:].sum(0)
-        delta = (p - target) * used
-        by_token = np.bincount(ids, delta, len(vocab))
-        grad_w = np.bincount(own.ravel(), np.repeat(by_token, 4), n)
-        grad_w += np.bincount(sides[0][ids[before]], delta[later], n) + np.bincount(sides[1][ids[later]], delta[before], n)
-        by_pair = ((joint - pair_target) * used[later]).sum(1)
-        grad = np.concatenate([grad_w * scale + DECAY * w, [delta.sum() * scale], by_pair * scale])
+        by_token, by_before, by_after, by_pair = np.zeros(len(vocab)), np.zeros(len(vocab)), np.zeros(len(vocab)), np.zeros(4)
+        alone, after, before = w[own].sum(1) + bias, w[sides[0]], w[sides[1]]
+        for b in blocks:
+            b.add(alone, after, before, change, step <= SEEDED, by_token, by_before, by_after, by_pair)
+        grad_w = np.bincount(own.ravel(), np.repeat(by_token, 4), n) + np.bincount(sides[0], by_before, n) + np.bincount(sides[1], by_after, n)
+        grad = np.concatenate([grad_w * scale + DECAY * w, [by_token.sum() * scale], by_pair * scale])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, bias, change = w - move[:n], bias - move[n], change - move[n + 1 :].reshape(2, 2)
+    del blocks
     model = ({f: float(x) for f, x in zip(index, w, strict=True) if abs(x) >= LEAST_WEIGHT}, float(bias), np.exp(change))
     x = []
     for at in range(0, len(rows), 500):
