@@ -1,7 +1,7 @@
 """Document fingerprints by SpotSigs, with DataFrame functions only.
 
-Words are lower-cased runs of letters and digits. Common words are anchors: each run of them that a content word follows,
-with that and the next content word, is a spot signature. A text without such a spot has the pairs of neighbouring words
+Words are lower-cased runs of letters and digits. Common words are anchors: each of them starts a chain, which with the next two
+content words is a spot signature, of 64 bits. A text without such a spot has the pairs of neighbouring words
 instead, and one without words the whole text. The fingerprint is the sorted set of the signatures' hashes; likeness is the
 Jaccard similarity of two sets, 1 for two empty ones.
 
@@ -49,15 +49,19 @@ def signed(df: DataFrame, **texts: str) -> DataFrame:
     content = lambda o: F.transform(F.slice(F.col(f"{o}_spots"), F.lit(2), every), lambda e: F.substring_index(e, _MARK, -1))
     pairs = lambda o: F.arrays_zip(F.col(f"{o}_spots").alias("e"), content(o).alias("next"))
     found = lambda o: F.filter(pairs(o), lambda z: z["e"].contains(_MARK) & ~z["e"].endswith(_MARK))
-    df = df.withColumns(columns(lambda o, t: {"spot": F.transform(found(o), lambda z: F.hash(z["e"], F.coalesce(z["next"], F.lit(""))))}))
-    plain = lambda w: F.transform(F.arrays_zip(w.alias("e"), F.slice(w, F.lit(2), every).alias("next")), lambda z: F.hash(F.lit(_MARK), z["e"], F.coalesce(z["next"], F.lit(""))))
-    whole = lambda t: F.when(t == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(t, F.lit(_MARK))))
+    # each anchor of a spot with its content word and the next one
+    parts_of = lambda z: F.split(z["e"], _MARK)
+    one = lambda z: F.transform(F.slice(parts_of(z), F.lit(1), F.size(parts_of(z)) - 1), lambda a: F.xxhash64(a, F.element_at(parts_of(z), -1), F.coalesce(z["next"], F.lit(""))))
+    df = df.withColumns(columns(lambda o, t: {"chains": F.transform(found(o), one)}))
+    df = df.withColumns(columns(lambda o, t: {"spot": F.flatten(F.col(f"{o}_chains"))}))
+    plain = lambda w: F.transform(F.arrays_zip(w.alias("e"), F.slice(w, F.lit(2), every).alias("next")), lambda z: F.xxhash64(F.lit(_MARK), z["e"], F.coalesce(z["next"], F.lit(""))))
+    whole = lambda t: F.when(t == "", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(t, F.lit(_MARK))))
     chosen = lambda o, t: F.when(F.size(f"{o}_spot") > 0, F.col(f"{o}_spot")).when(F.size(f"{o}_words") > 0, plain(F.col(f"{o}_words"))).otherwise(whole(t))
     return df.select(*keep, *[F.array_sort(F.array_distinct(chosen(o, F.col(t)))).alias(o) for o, t in texts.items()])
 
 
 def shown(sigs: Column) -> Column:
-    return F.array_join(F.transform(sigs, lambda x: F.lower(F.hex(x.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF))))), " ")
+    return F.array_join(F.transform(sigs, lambda x: F.lower(F.hex(x))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -91,7 +95,7 @@ def report(docs: DataFrame) -> DataFrame:
     ids = scratch.put(ids, "sized")
     repeated = not ids.where("rows > 1").isEmpty()
     # both joins read this very exchange: hence no filter in one that the other doesn't have
-    dealt = signed(base.where("doc_id is not null"), sigs="text").repartition(n, "doc_id")
+    dealt = signed(base.where("doc_id is not null").repartition(n, "doc_id"), sigs="text")
     behind = dealt.join(before(ids.select("doc_id", "n"), scratch), "doc_id").select(
         F.col("prior_id").alias("doc_id"), F.substring("text", F.lit(1), F.floor(F.col("prior_n") / 3).cast("int")).alias("start"), F.col("sigs").alias("next_sigs"),
         *([F.xxhash64("text").alias("h")] if repeated else []),
@@ -100,7 +104,7 @@ def report(docs: DataFrame) -> DataFrame:
         behind = behind.groupBy("doc_id").agg(F.min(F.struct("h", "start", "next_sigs")).alias("x")).select("doc_id", "x.start", "x.next_sigs")
     keep = F.col("n_chars") - F.floor(F.col("n_chars") / 3)
     whole = dealt.select("doc_id", "text", "sigs", F.length("text").cast("long").alias("n_chars")).join(behind, "doc_id", "left")
-    alone = signed(base.where("doc_id is null"), sigs="text").select("doc_id", "text", "sigs", F.length("text").cast("long").alias("n_chars"), F.lit(None).cast("string").alias("start"), F.lit(None).cast("array<int>").alias("next_sigs"))
+    alone = signed(base.where("doc_id is null"), sigs="text").select("doc_id", "text", "sigs", F.length("text").cast("long").alias("n_chars"), F.lit(None).cast("string").alias("start"), F.lit(None).cast("array<bigint>").alias("next_sigs"))
     whole = whole.select(alone.columns).unionByName(alone)
     edited = whole.select(
         "doc_id", "n_chars", "sigs", "next_sigs",
