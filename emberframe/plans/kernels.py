@@ -48,7 +48,23 @@ def read_pipeline(spark, d):
 
 @query("z1_lossy")
 def lossy(spark, d):
-    return _hashed(folds.lossy(_frames(spark, d), high_error=300, low_error=600, std_factor=0.0, average=8), "low_error", "high_error")
+    return _hashed(folds.lossy(_frames(spark, d), high_error=300, low_error=600, std_factor=0.5, average=8), "low_error", "high_error")
+
+
+def half(levels: np.ndarray) -> np.ndarray:
+    """A calibration for the given frames: half a level, from 1000 on."""
+    return ((levels & 8191) // 2 + 1000).astype(levels.dtype)
+
+
+@query("z2_lossy_with_camera")
+def lossy_with_camera(spark, d):
+    out = folds.lossy(_frames(spark, d), high_error=150, low_error=300, std_factor=0.5, average=4, lossy_height=6, calibrate=half, local_min=True)
+    return _hashed(out, "low_error", "high_error", "min_t", F.md5("times").alias("times_md5"))
+
+
+@query("z3_add_loss")
+def add_loss(spark, d):
+    return _hashed(folds.lossy(_frames(spark, d), high_error=300, low_error=600, std_factor=0.5, reduce_only=True), "low_error", "high_error")
 
 
 @query("z5_downsample")

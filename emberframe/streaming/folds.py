@@ -1,27 +1,47 @@
 """Operators that follow a movie frame by frame: one step function each, for batches and for streams.
 
-A movie is a fold, so it is one task; parallelism is across movies. State is a few images, whatever the movie's length."""
+A movie is a fold, so it is one task; parallelism is across movies. Batches come as an iterator of Arrow batches sorted by
+position, so a task holds the fold's state, which is a few images, and a batch of frames, whatever the movie's length."""
 
 from __future__ import annotations
 
 import pickle
 from collections import deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: Frames that leave a task at once.
+BATCH = 64
+
 
 class Loss:
     """Bounded-error smoothing: pixels stay at the mean of their history while they are within an error of a reference.
 
-    The errors shrink by the distance of a frame's deviation from the mean deviation, times std_factor."""
+    The errors shrink by the distance of a frame's deviation from the mean of the first deviation and the last HISTORY ones,
+    times std_factor, rounded. A pixel whose integration time (its upper three bits) changes starts anew. Rows from
+    lossy_height on stay as they are.
+
+    subtract_min takes the first frame's minimum off all frames, local_min the least so far; frames then say min_t.
+    calibrate turns digital levels into temperatures, which are smoothed in their stead; background and integration times are
+    still those of the levels, and frames come with the integration times. reduce_only (loss without recording) shrinks errors
+    only for deviations above the mean, and integration times don't count.
+    remove_bad_pixels corrects what is a bad pixel of the first frame."""
+
+    HISTORY = 40
 
-    def __init__(self, high_error: int = 2, low_error: int = 6, std_factor: float = 5.0, average: int = 0, lossy_height: int | None = None):
+    def __init__(
+        self, high_error: int = 2, low_error: int = 6, std_factor: float = 5.0, average: int = 0, lossy_height: int | None = None, subtract_min: bool = False, local_min: bool = False,
+        calibrate: Callable[[np.ndarray], np.ndarray] | None = None, reduce_only: bool = False, remove_bad_pixels: bool = False,
+    ):
         self.high, self.low, self.std_factor, self.average, self.lossy_height = high_error, low_error, std_factor, min(average, 64), lossy_height
-        self.reference = self.previous = None
-        self.first: list = []
-        self.last: deque = deque(maxlen=40)
+        self.subtract_min, self.local_min, self.calibrate, self.reduce_only, self.remove_bad_pixels = subtract_min, local_min, calibrate, reduce_only, remove_bad_pixels
+        self.reference = self.previous = self.level = self.bad = self.min_t = self.times = None
+        self.first: tuple[float, float] | None = None
+        self.last: deque = deque(maxlen=self.HISTORY)
         self.held = RunningAverage(max(1, self.average))
 
     @staticmethod
@@ -35,34 +55,53 @@ class Loss:
         s = d.sum()
         return float(np.sqrt(max(0.0, s * s - (d * d).sum())) / len(d))
 
+    def _prepared(self, img: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Levels and what is smoothed, of the lossy rows."""
+        from emberframe.functions.images import bad_pixels, correct_bad_pixels
+
+        level = img[: self.lossy_height]
+        if self.remove_bad_pixels:
+            self.bad = bad_pixels(level) if self.bad is None else self.bad
+            level = correct_bad_pixels(level, self.bad)
+        value = self.calibrate(level) if self.calibrate is not None else level
+        self.times = level >> 13 if self.calibrate is not None else None
+        if self.subtract_min or self.local_min:
+            least = int(value.min())
+            self.min_t = least if self.min_t is None else min(self.min_t, least) if self.local_min else self.min_t
+            value = np.maximum(value.astype(np.int64) - self.min_t, 0).astype(img.dtype)
+        return level, value
+
+    def _errors(self, level: np.ndarray, value: np.ndarray, background: int) -> tuple[int, int]:
+        d, fore = np.abs(value.astype(np.float64) - self.previous).ravel(), level.ravel() > background
+        whole = self.deviation(d)
+        own = (self.deviation(d[~fore]), self.deviation(d[fore])) if len(self.last) == self.HISTORY else (whole, whole)
+        self.first = self.first or own
+        self.last.append(own)
+        mean = np.mean([self.first, *self.last], 0)
+        off = [max(0.0, s - m) if self.reduce_only else abs(s - m) for s, m in zip(own, mean, strict=True)]
+        low, high = (e - int(np.floor(o * self.std_factor + 0.5)) for e, o in zip((self.low, self.high), off, strict=True))
+        high = max(0, high)
+        return max(low, high), high
+
     def step(self, img: np.ndarray) -> tuple[np.ndarray, int, int]:
         """The frame to keep, and the errors of background and foreground."""
-        rows = slice(0, self.lossy_height)
+        level, value = self._prepared(img)
         if self.reference is None:
-            self.reference, self.previous = img.copy(), img.copy()
-            self.held.add(img)
-            return img.copy(), self.low, self.high
-        bg = self.background(img[rows])
-        d, fore = np.abs(img[rows].astype(np.float64) - self.previous[rows]).ravel(), img[rows].ravel() > bg
-        whole = self.deviation(d)
-        n = len(self.first) + len(self.last)
-        pair = (self.deviation(d[~fore]), self.deviation(d[fore])) if n >= 40 else (whole, whole)
-        (self.first if len(self.first) < 40 else self.last).append(pair)
-        mean = np.mean([*self.first, *self.last], 0)
-        low, high = (max(0, e - int(np.floor(abs(s - m) * self.std_factor + 0.5))) for e, s, m in ((self.low, pair[0], mean[0]), (self.high, pair[1], mean[1])))
-        low = max(low, high)
-        self.held.add(img)
-        near = np.abs(img.astype(np.int64) - self.reference) <= np.where(img > bg, high, low)
-        self.reference = np.where(near, self.reference, img)
-        if self.average:
-            self.held.reset(~near, img)
-            out = self.held.mean().astype(img.dtype)
+            self.reference, self.previous, self.level, low, high, out = value.copy(), value.copy(), level.copy(), self.low, self.high, value
         else:
-            out = self.reference.copy()
-        if self.lossy_height is not None:
-            out[self.lossy_height :] = img[self.lossy_height :]
-        self.previous = out
-        return out, low, high
+            background = self.background(level)
+            low, high = self._errors(level, value, background)
+            near = np.abs(value.astype(np.int64) - self.reference) <= np.where(level > background, high, low)
+            if not self.reduce_only:
+                near &= self.level >> 13 == level >> 13
+            self.reference = np.where(near, self.reference, value)
+            out = self.reference
+            if self.average:
+                self.held.add(value)
+                self.held.reset(~near, value)
+                out = np.where(near, self.held.mean(), value).astype(img.dtype)
+            self.previous, self.level = out.copy(), level.copy()
+        return np.concatenate([out.astype(img.dtype), img[len(out) :]]), low, high
 
 
 class Downsampler:
@@ -161,35 +200,70 @@ class RunningAverage:
         return sum(self.held) // len(self.held)
 
 
-LOSSY = "movie_id {}, pos int, h int, w int, px binary, low_error int, high_error int"
+LOSSY = "movie_id {}, pos int, h int, w int, px binary, low_error int, high_error int, min_t int, times binary"
 SAMPLED = "movie_id {}, pos int, ts_ns long, h int, w int, px binary"
+#: Columns of both, in order.
+_LOSSY, _SAMPLED = ["movie_id", "pos", "h", "w", "px", "low_error", "high_error", "min_t", "times"], ["movie_id", "pos", "ts_ns", "h", "w", "px"]
+
+
+def image_of(r) -> np.ndarray:
+    return np.frombuffer(r.px, "<u2").reshape(r.h, r.w)
+
 
+def _lossy_row(fold: Loss, r) -> tuple:
+    out, low, high = fold.step(image_of(r))
+    return r.movie_id, r.pos, r.h, r.w, out.astype("<u2").tobytes(), low, high, fold.min_t, None if fold.times is None else fold.times.astype("u1").tobytes()
 
-def _images(pdf: pd.DataFrame):
-    for r in pdf.sort_values("pos").itertuples(index=False):
-        yield r, np.frombuffer(r.px, "<u2").reshape(r.h, r.w)
+
+def _sampled_row(fold: Downsampler, r) -> tuple | None:
+    out = fold.step(image_of(r), r.ts_ns)
+    return None if out is None else (r.movie_id, r.pos, r.ts_ns, r.h, r.w, out.astype("<u2").tobytes())
 
 
 def _lossy_rows(fold: Loss, pdf: pd.DataFrame) -> pd.DataFrame:
-    out = [(r.movie_id, r.pos, r.h, r.w, *(lambda o: (o[0].astype("<u2").tobytes(), o[1], o[2]))(fold.step(img))) for r, img in _images(pdf)]
-    return pd.DataFrame(out, columns=["movie_id", "pos", "h", "w", "px", "low_error", "high_error"])
+    return pd.DataFrame([_lossy_row(fold, r) for r in pdf.sort_values("pos").itertuples(index=False)], columns=_LOSSY)
 
 
 def _sampled_rows(fold: Downsampler, pdf: pd.DataFrame) -> pd.DataFrame:
-    out = [(r.movie_id, r.pos, r.ts_ns, r.h, r.w, o.astype("<u2").tobytes()) for r, img in _images(pdf) if (o := fold.step(img, r.ts_ns)) is not None]
-    return pd.DataFrame(out, columns=["movie_id", "pos", "ts_ns", "h", "w", "px"])
+    return pd.DataFrame([o for r in pdf.sort_values("pos").itertuples(index=False) if (o := _sampled_row(fold, r)) is not None], columns=_SAMPLED)
+
+
+def by_movie(frames: DataFrame, make: Callable[[], object], row: Callable[[object, object], tuple | None], schema: str) -> DataFrame:
+    """A new fold for each movie; row(fold, frame) gives a row or None. Frames come in the order of their positions."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, out = make(), []
+        for batch in batches:
+            for r in batch.to_pandas().itertuples(index=False):
+                if (own := row(fold, r)) is not None:
+                    out.append(own)
+                if len(out) == BATCH:
+                    yield _batch(out, target)
+                    out = []
+        if out:
+            yield _batch(out, target)
+
+    run.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return frames.repartition("movie_id").sortWithinPartitions("movie_id", "pos").groupBy("movie_id").applyInArrow(run, schema)
+
+
+def _batch(rows: list[tuple], target: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), target, strict=True)], schema=target)
 
 
 def lossy(frames: DataFrame, **options) -> DataFrame:
-    """frames (movie_id, pos, h, w, px) with bounded errors, and the errors of each frame."""
-    kind = dict(frames.dtypes)["movie_id"]
-    return frames.groupBy("movie_id").applyInPandas(lambda pdf: _lossy_rows(Loss(**options), pdf), LOSSY.format(kind))
+    """frames (movie_id, pos, h, w, px) with bounded errors, and the errors of each frame; options as of Loss."""
+    return by_movie(frames, lambda: Loss(**options), _lossy_row, LOSSY.format(dict(frames.dtypes)["movie_id"]))
 
 
 def downsample(frames: DataFrame, factor: int, steady: bool = False, **options) -> DataFrame:
     """frames (movie_id, pos, ts_ns, h, w, px) that the adaptive decimation keeps; steady: by its second variant."""
-    kind, fold = dict(frames.dtypes)["movie_id"], SteadyDownsampler if steady else Downsampler
-    return frames.groupBy("movie_id").applyInPandas(lambda pdf: _sampled_rows(fold(factor, **options), pdf), SAMPLED.format(kind))
+    fold = SteadyDownsampler if steady else Downsampler
+    return by_movie(frames, lambda: fold(factor, **options), _sampled_row, SAMPLED.format(dict(frames.dtypes)["movie_id"]))
 
 
 def _stream(frames: DataFrame, make, rows, schema: str) -> DataFrame:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from emberframe.functions.images import gaussian, translate
+from emberframe.streaming import folds
 
 
 class NotConverged(RuntimeError):
@@ -26,15 +27,17 @@ def _sample(img: np.ndarray, tx: float, ty: float) -> tuple[np.ndarray, np.ndarr
     return out, ok
 
 
-def ecc_translation(template: np.ndarray, img: np.ndarray, start: tuple[float, float] = (0.0, 0.0), steps: int = 500, eps: float = 1e-3) -> tuple[float, float, float]:
+def ecc_translation(template: np.ndarray, img: np.ndarray, start: tuple[float, float] = (0.0, 0.0), steps: int = 500, eps: float = 1e-3, mask: np.ndarray | None = None) -> tuple[float, float, float]:
     """(x, y, correlation): the shift at which img correlates best with template, by forward additive steps that maximise
-    the enhanced correlation coefficient."""
+    the enhanced correlation coefficient. mask: the pixels of img that take part."""
     t, i = template.astype(float), img.astype(float)
     gy, gx = np.gradient(i)
     p, last = np.array(start, float), -2.0
     rho = -1.0
     for _ in range(steps):
         (w, ok), (wx, _), (wy, _) = _sample(i, *p), _sample(gx, *p), _sample(gy, *p)
+        if mask is not None:
+            ok = ok & (_sample(mask.astype(float), *p)[0] >= 0.5)
         if ok.sum() < 9:
             raise NotConverged("no overlap is left")
         iw, tz, g = w[ok] - w[ok].mean(), t[ok] - t[ok].mean(), np.stack([wx[ok], wy[ok]])
@@ -58,18 +61,24 @@ def ecc_translation(template: np.ndarray, img: np.ndarray, start: tuple[float, f
 
 
 class Registrator:
-    """Follows a movie: shift and confidence of each frame against a reference, with up to five tries a frame."""
+    """Follows a movie: shift and confidence of each frame against a reference, with up to five tries a frame.
 
-    def __init__(self, factor: float = 1.0, sigma: float = 1.0, median: float = 1.0):
-        self.factor, self.sigma, self.median = factor, sigma, median
+    mask (h, w): where it is not 0, pixels take part; pre_process: what is done to a frame before all else."""
+
+    def __init__(self, factor: float = 1.0, sigma: float = 1.0, median: float = 1.0, mask: np.ndarray | None = None, pre_process=None):
+        self.factor, self.sigma, self.median, self.pre_process = factor, sigma, median, pre_process
+        self.mask = None if mask is None else self._centre(np.asarray(mask)) > 0
         self.reference = self.threshold = None
         self.warp, self.base = (0.0, 0.0), (0.0, 0.0)
         self.found: list[tuple[float, float, float]] = []
 
-    def _crop(self, img: np.ndarray) -> np.ndarray:
+    def _centre(self, img: np.ndarray) -> np.ndarray:
         h, w = img.shape
         ch, cw = int(h * self.factor), int(w * self.factor)
-        own = img[(h - ch) // 2 : (h - ch) // 2 + ch, (w - cw) // 2 : (w - cw) // 2 + cw].astype(np.float32)
+        return img[(h - ch) // 2 : (h - ch) // 2 + ch, (w - cw) // 2 : (w - cw) // 2 + cw]
+
+    def _crop(self, img: np.ndarray) -> np.ndarray:
+        own = self._centre(self.pre_process(img) if self.pre_process is not None else img).astype(np.float32)
         return gaussian(own, self.sigma).astype(float) if self.sigma > 0 else own.astype(float)
 
     @staticmethod
@@ -88,7 +97,7 @@ class Registrator:
         for _ in range(5):
             most = max(np.quantile(own, median), np.quantile(self.reference, median)) if median < 1 else None
             try:
-                x, y, rho = ecc_translation(self._scaled(self.reference, most), self._scaled(own, most), self.warp)
+                x, y, rho = ecc_translation(self._scaled(self.reference, most), self._scaled(own, most), self.warp, mask=self.mask)
                 break
             except NotConverged:
                 median -= 0.01
@@ -106,12 +115,22 @@ class Registrator:
         return out
 
 
+REGISTERED = "movie_id {}, pos int, dx double, dy double, confidence double"
+
+
+def _registered_row(fold: Registrator, r) -> tuple:
+    return (r.movie_id, r.pos, *map(float, fold.step(folds.image_of(r))))
+
+
 def register(frames: DataFrame, **options) -> DataFrame:
-    """movie_id, pos, dx, dy, confidence. A movie is a fold; movies run in parallel."""
+    """movie_id, pos, dx, dy, confidence. A movie is a fold; movies run in parallel. Options as of Registrator."""
+    return folds.by_movie(frames, lambda: Registrator(**options), _registered_row, REGISTERED.format(dict(frames.dtypes)["movie_id"]))
+
+
+def register_stream(frames: DataFrame, **options) -> DataFrame:
+    """The same over a stream; the state is the registrator of each movie."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fold = Registrator(**options)
-        out = [(r.movie_id, r.pos, *fold.step(np.frombuffer(r.px, "<u2").reshape(r.h, r.w))) for r in pdf.sort_values("pos").itertuples(index=False)]
-        return pd.DataFrame(out, columns=["movie_id", "pos", "dx", "dy", "confidence"])
+    def rows(fold: Registrator, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([_registered_row(fold, r) for r in pdf.sort_values("pos").itertuples(index=False)], columns=["movie_id", "pos", "dx", "dy", "confidence"])
 
-    return frames.groupBy("movie_id").applyInPandas(run, f"movie_id {dict(frames.dtypes)['movie_id']}, pos int, dx double, dy double, confidence double")
+    return folds._stream(frames, lambda: Registrator(**options), rows, REGISTERED)
