@@ -10,7 +10,7 @@ from emberframe.functions import images
 from emberframe.operators import frames as fr
 from emberframe.operators import labels
 from emberframe.plans.registry import query
-from emberframe.plans.tables import PX, packed, pixels
+from emberframe.plans.tables import BAD, PX, packed, pixels
 
 W = f"WITH {PX} "
 
@@ -73,12 +73,7 @@ def clamp(spark, d):
     return pixels(spark, d).select("frame", "y", "x", c.clamp_min(F.col("px"), 4000).alias("px"))
 
 
-@query("k6_bad_pixels", W + """, g AS (SELECT frame, list_sort(list(px)) AS s FROM px GROUP BY frame), m AS (SELECT frame, s[len(s) // 2 + 1] AS m, s FROM g),
-f AS (SELECT frame, greatest(0, m - trunc(1.5 * sqrt(list_avg(list_transform(s, lambda v: ((v - m) ** 2)::DOUBLE))))::INTEGER) AS floor FROM m),
-n AS (SELECT a.frame, a.y, a.x, a.px, list_sort(list(b.px)) AS v FROM px a JOIN px b ON a.frame = b.frame AND b.y BETWEEN a.y - 2 AND a.y + 2 AND b.x BETWEEN a.x - 2 AND a.x + 2 GROUP BY a.frame, a.y, a.x, a.px),
-s AS (SELECT frame, y, x, px, v[len(v) // 2 + 1] AS med, v[len(v) // 5 + 1 : len(v) * 4 // 5] AS inner_v FROM n),
-d AS (SELECT *, sqrt(list_avg(list_transform(inner_v, lambda q: ((q - med) ** 2)::DOUBLE))) AS dev FROM s)
-SELECT frame, y, x FROM d JOIN f USING (frame) WHERE px < med - 1.5 * dev OR px > med + 1.5 * dev OR px < floor""")
+@query("k6_bad_pixels", BAD.format(k=1.5) + "SELECT * FROM bad")
 def bad_pixels(spark, d):
     return images.bad_pixels_of(packed(spark, d), 1.5)
 

@@ -27,16 +27,27 @@ def _hashed(frames, *more):
     return frames.select("movie_id", "pos", *more, F.md5("px").alias("px_md5"))
 
 
-def _image(name, kernel):
-    @query(name)
+def _image(name, kernel, sql):
+    @query(name, sql)
     def run(spark, d):
-        return _hashed(images.map_frames(_frames(spark, d), kernel))
-
-
-_image("k1_translate_bilinear", lambda img, row: images.translate(img, 1.25, -0.5, "nearest"))
-_image("k1_translate_wrap", lambda img, row: images.translate(img, 2.5, 0.5, "wrap"))
-_image("k3_median_filter_packed", lambda img, row: images.median3(img))
-_image("c14_correct_bad_pixels", lambda img, row: images.correct_bad_pixels(img, images.bad_pixels(img, 2.0)))
+        return images.pixels_of(tables.packed(spark, d), kernel)
+
+
+#: Pixel (y, x) of a frame moved by (dx, dy): its place in the source, and bilinear values there; `wrap` takes places as periods.
+_MOVED = """WITH {px}, t AS (SELECT frame, y, x, px, x - ({dx}) AS u, y - ({dy}) AS v FROM px),
+f AS (SELECT *, {place} FROM t), g AS (SELECT *, floor(p)::INTEGER AS x0, floor(q)::INTEGER AS y0, p - floor(p) AS a, q - floor(q) AS b FROM f),
+k AS (SELECT g.*, (c.px * (1 - b) + d.px * b) * (1 - a) + (e.px * (1 - b) + h.px * b) * a AS value FROM g
+  JOIN px c ON c.frame = g.frame AND c.x = x0 AND c.y = y0 JOIN px d ON d.frame = g.frame AND d.x = x0 AND d.y = {y1}
+  JOIN px e ON e.frame = g.frame AND e.x = {x1} AND e.y = y0 JOIN px h ON h.frame = g.frame AND h.x = {x1} AND h.y = {y1}) """
+_NEAREST = _MOVED.format(px=tables.PX, dx=1.25, dy=-0.5, place="least(greatest(u, 0), 7) AS p, least(greatest(v, 0), 7) AS q", x1="least(x0 + 1, 7)", y1="least(y0 + 1, 7)")
+_WRAPPED = _MOVED.format(px=tables.PX, dx=2.5, dy=0.5, place="(u + 8) % 8 AS p, (v + 8) % 8 AS q", x1="(x0 + 1) % 8", y1="(y0 + 1) % 8")
+_image("k1_translate_bilinear", lambda img: images.translate(img, 1.25, -0.5, "nearest"), _NEAREST + """
+SELECT k.frame, k.y, k.x, CASE WHEN u >= 0 AND u < 8 AND v >= 0 AND v < 8 THEN trunc(value)::INTEGER ELSE o.px END AS px FROM k JOIN px o ON o.frame = k.frame AND o.x = trunc(p)::INTEGER AND o.y = trunc(q)::INTEGER""")
+_image("k1_translate_wrap", lambda img: images.translate(img, 2.5, 0.5, "wrap"), _WRAPPED + "SELECT frame, y, x, trunc(value)::INTEGER AS px FROM k")
+_image("c14_correct_bad_pixels", lambda img: images.correct_bad_pixels(img, images.bad_pixels(img, 2.0)), tables.BAD.format(k=2.0) + """, r AS (
+  SELECT a.frame, a.y, a.x, list_sort(list(b.px)) AS v FROM bad a JOIN px b ON a.frame = b.frame AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 GROUP BY a.frame, a.y, a.x),
+w AS (SELECT frame, m - trunc(2 * sqrt(list_avg(list_transform(s, lambda v: ((v - m) ** 2)::DOUBLE))))::INTEGER AS low FROM m)
+SELECT p.frame, p.y, p.x, greatest(coalesce(r.v[len(r.v) // 2 + 1], p.px), greatest(w.low, 0)) AS px FROM px p JOIN w USING (frame) LEFT JOIN r ON r.frame = p.frame AND r.y = p.y AND r.x = p.x""")
 
 
 @query("c1_read_pipeline")
@@ -89,8 +100,8 @@ def register(spark, d):
     return registration.register(_frames(spark, d), sigma=0.8).select("movie_id", "pos", F.round("dx", 4).alias("dx"), F.round("dy", 4).alias("dy"), F.round("confidence", 4).alias("confidence"))
 
 
-def _poly(name, schema, f):
-    @query(name)
+def _poly(name, schema, f, sql=None):
+    @query(name, sql)
     def run(spark, d):
         def each(batches):
             for b in batches:
@@ -100,30 +111,50 @@ def _poly(name, schema, f):
         return tables.polygons(spark, d).mapInPandas(each, f"poly_id long, {schema}")
 
 
-def _area(p):
-    q = np.roll(p, -1, 0)
-    return round(abs(float((p[:, 0] * q[:, 1] - p[:, 1] * q[:, 0]).sum())) / 2, 6) if len(p) else 0.0
+def _shape(points) -> str:
+    return ";".join(f"{round(float(x), 6) + 0.0:g},{round(float(y), 6) + 0.0:g}" for x, y in points)
+
+
+_poly("g1_interpolate", "points string", lambda p: (_shape(polygons.interpolate(p, p[::-1] * 1.5, 0.4)),))
+_poly("g2_enclosing_simplification", "points string", lambda p: (_shape(polygons.enclosing_simplification(p, 5.0)),))
+_poly("g3_simplify_to", "points string", lambda p: (_shape(polygons.simplify_to(p, 6)),))
+_poly("g7_triangle_pixels", "n int", lambda p: (len(polygons.fill_triangle(*p[[0, len(p) // 3, 2 * len(p) // 3]], 100, 100)),))
+_poly("g8_extract_polygon", "points string", lambda p: (_shape(polygons.extract_polygon(polygons.draw(np.zeros((100, 100), np.int32), p, 1), 1)),))
+_poly("g9_extract_polygons", "shapes string", lambda p: ("|".join(f"{v}:{_shape(r)}" for v, r in polygons.extract_polygons(polygons.draw(polygons.draw(np.zeros((100, 100), np.int32), p, 1), p / 2, 2)).items()),))
+_poly("g11_minimum_area_box", "cx double, cy double, width double, height double", lambda p: tuple(round(polygons.minimum_area_box(p)[k], 6) for k in ("cx", "cy", "width", "height")))
+_POINTS = f"WITH {tables.POINTS} "
+_poly("g4_fill_pixels", "n long", lambda p: (len(polygons.fill_pixels(p, 100, 100)),), _POINTS + tables.COVERED + "SELECT poly_id, count(*) AS n FROM covered GROUP BY poly_id")
+_poly("g16_without_collinear", "points string", lambda p: (_shape(polygons.without_collinear(p)),), _POINTS + """, k AS (
+  SELECT e.poly_id, e.pos, e.x, e.y, (e.x - p.x) * (e.ny - e.y) - (e.y - p.y) * (e.nx - e.x) AS turn FROM edges e JOIN edges p ON p.poly_id = e.poly_id AND p.pos = (e.pos + e.n - 1) % e.n)
+SELECT poly_id, coalesce(string_agg(x::INTEGER || ',' || y::INTEGER, ';' ORDER BY pos) FILTER (turn <> 0), '') AS points FROM k GROUP BY poly_id""")
+_poly("g20_is_non_concave", "convex boolean", lambda p: (polygons.is_non_concave(p),), _POINTS + """, d AS (
+  SELECT poly_id, nx - x AS dx, ny - y AS dy, row_number() OVER (PARTITION BY poly_id ORDER BY pos) AS i, count(*) OVER (PARTITION BY poly_id) AS m FROM edges WHERE nx <> x OR ny <> y),
+t AS (SELECT a.poly_id, atan2(a.dx * b.dy - a.dy * b.dx, a.dx * b.dx + a.dy * b.dy) AS turn FROM d a JOIN d b ON a.poly_id = b.poly_id AND b.i = a.i % a.m + 1)
+SELECT poly_id, (bool_and(turn >= -1e-12) OR bool_and(turn <= 1e-12)) AND abs(abs(sum(turn)) - 2 * pi()) < 1e-6 AS convex FROM t GROUP BY poly_id""")
+
 
+@query("g10_convex_hull", _POINTS + """, u AS (SELECT DISTINCT poly_id, x, y FROM pts), a AS (
+  SELECT p.poly_id, p.x, p.y, atan2(q.y - p.y, q.x - p.x) AS angle FROM u p JOIN u q ON p.poly_id = q.poly_id AND (p.x <> q.x OR p.y <> q.y)),
+g AS (SELECT poly_id, x, y, coalesce(lead(angle) OVER w, first(angle) OVER w + 2 * pi()) - angle AS gap FROM a WINDOW w AS (PARTITION BY poly_id, x, y ORDER BY angle ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT poly_id, x, y FROM g GROUP BY poly_id, x, y HAVING max(gap) > pi() + 1e-9""")
+def hull(spark, d):
+    def each(batches):
+        for b in batches:
+            for i, pts in zip(b["poly_id"], b["pts"], strict=True):
+                own = polygons.convex_hull([(p["x"], p["y"]) for p in pts])[:-1]
+                yield pd.DataFrame({"poly_id": i, "x": own[:, 0], "y": own[:, 1]})
 
-_poly("g10_convex_hull", "n int, area double", lambda p: (len(polygons.convex_hull(p)), _area(polygons.convex_hull(p))))
-_poly("g11_minimum_area_box", "width double, height double", lambda p: tuple(round(polygons.minimum_area_box(p)[k], 6) for k in ("width", "height")))
-_poly("g1_interpolate", "n int, area double", lambda p: (lambda q: (len(q), _area(q)))(polygons.interpolate(p, p[::-1] * 1.5, 0.4)))
-_poly("g2_enclosing_simplification", "n int", lambda p: (len(polygons.enclosing_simplification(p, 5.0)),))
-_poly("g3_simplify_to", "n int, area double", lambda p: (lambda q: (len(q), _area(q)))(polygons.simplify_to(p, 6)))
-_poly("g4_fill_pixels", "n long", lambda p: (len(polygons.fill_pixels(p, 100, 100)),))
-_poly("g8_extract_polygon", "n int", lambda p: (len(polygons.extract_polygon(polygons.draw(np.zeros((100, 100), np.int32), p, 1), 1)),))
-_poly("g16_without_collinear", "n int", lambda p: (len(polygons.without_collinear(p)),))
-_poly("g20_is_non_concave", "convex boolean", lambda p: (polygons.is_non_concave(p),))
+    return tables.polygons(spark, d).mapInPandas(each, "poly_id long, x double, y double")
 
 
-@query("g5_covered_pixels")
+@query("g5_covered_pixels", _POINTS + tables.COVERED + "SELECT poly_id, y, x FROM covered")
 def covered(spark, d):
     from emberframe.operators import raster
 
     return raster.covered(tables.polygons(spark, d), 100, 100)
 
 
-@query("g6_pixel_counts")
+@query("g6_pixel_counts", _POINTS + tables.COVERED + "SELECT poly_id, count(*) AS n FROM covered GROUP BY poly_id")
 def pixel_counts(spark, d):
     from emberframe.operators import raster
 

@@ -33,6 +33,15 @@ PX = """px AS (
 )"""
 
 
+#: Bad pixels beyond k deviations, with the medians m of frames.
+BAD = "WITH " + PX + """, g AS (SELECT frame, list_sort(list(px)) AS s FROM px GROUP BY frame), m AS (SELECT frame, s[len(s) // 2 + 1] AS m, s FROM g),
+f AS (SELECT frame, greatest(0, m - trunc({k} * sqrt(list_avg(list_transform(s, lambda v: ((v - m) ** 2)::DOUBLE))))::INTEGER) AS floor FROM m),
+n AS (SELECT a.frame, a.y, a.x, a.px, list_sort(list(b.px)) AS v FROM px a JOIN px b ON a.frame = b.frame AND b.y BETWEEN a.y - 2 AND a.y + 2 AND b.x BETWEEN a.x - 2 AND a.x + 2 GROUP BY a.frame, a.y, a.x, a.px),
+s AS (SELECT frame, y, x, px, v[len(v) // 2 + 1] AS med, v[len(v) // 5 + 1 : len(v) * 4 // 5] AS inner_v FROM n),
+d AS (SELECT *, sqrt(list_avg(list_transform(inner_v, lambda q: ((q - med) ** 2)::DOUBLE))) AS dev FROM s),
+bad AS (SELECT frame, y, x FROM d JOIN f USING (frame) WHERE px < med - {k} * dev OR px > med + {k} * dev OR px < floor) """
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as frames: a movie for each user, positions by time."""
     from pyspark.sql import Window
@@ -64,6 +73,16 @@ POINTS = f"""{EV}, pts AS (
 )"""
 
 
+#: Pixels of 100 x 100 that polygons of three points or more cover: crossings by row, in pairs; each once on the first row.
+COVERED = """, box AS (SELECT poly_id, min(x)::INTEGER AS l, max(x)::INTEGER AS r, min(y)::INTEGER AS t, max(y)::INTEGER AS b FROM pts GROUP BY poly_id),
+rows AS (SELECT poly_id, l, r, greatest(0, t) AS low, unnest(range(greatest(0, t), least(99, b) + 1)) AS row FROM box),
+crossing AS (SELECT poly_id, row, low, l, r, floor(x + (row - y) * (nx - x) / (ny - y) + 0.5)::INTEGER AS c FROM rows JOIN edges USING (poly_id)
+  WHERE y <> ny AND row <= greatest(y, ny) AND (least(y, ny) < row OR (row = low AND least(y, ny) <= row))),
+single AS (SELECT * FROM crossing WHERE row > low UNION ALL SELECT DISTINCT * FROM crossing WHERE row = low),
+paired AS (SELECT *, row_number() OVER w AS i, lead(c) OVER w AS d, count(*) OVER (PARTITION BY poly_id, row) AS k FROM single WINDOW w AS (PARTITION BY poly_id, row ORDER BY c)),
+covered AS (SELECT DISTINCT poly_id, row::INTEGER AS y, unnest(range(greatest(c, l, 0), least(coalesce(d, c), r, 99) + 1))::INTEGER AS x FROM paired WHERE i % 2 = 1 AND (d IS NOT NULL OR (row = low AND k = 1))) """
+
+
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A series for each event type, of whole seconds and the mean value there."""
     e = events(spark, sf_dir).select(F.col("event_type").alias("series_id"), F.floor(F.col("t") / 1_000_000).cast("double").alias("t"), "event_id")
