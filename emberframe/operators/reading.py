@@ -35,11 +35,27 @@ class Calibration(ABC):
     def apply(self, img: np.ndarray, inv_emissivity: np.ndarray | float = 1.0) -> np.ndarray: ...
 
     def tables(self) -> dict[str, np.ndarray]:
+        """Tables by name."""
         return {}
 
     def files(self) -> list[str]:
+        """Files that the calibration was read from."""
         return []
 
+    def supports_emissivity(self) -> bool:
+        return False
+
+    def prepare(self, attrs: dict) -> Calibration:
+        """The calibration for a movie of these attributes."""
+        return self
+
+    def flip_transmissions(self, left_right: bool, up_down: bool) -> None:
+        """Turns per-pixel transmissions, where there are any."""
+
+    def apply_float(self, img: np.ndarray, inv_emissivity: np.ndarray | float = 1.0) -> np.ndarray:
+        """Temperatures that are not rounded; those of apply, where a calibration has no finer ones."""
+        return self.apply(img, inv_emissivity).astype(np.float32)
+
 
 _BUILDERS: list[tuple[str, Callable[[dict], bool], Callable[[dict], Calibration]]] = []
 
@@ -63,6 +79,38 @@ def choose(name: str | int, calibration: Calibration | None) -> Calibration | No
     raise CalibrationNotFound(str(name))
 
 
+def table_names(calibration: Calibration | None) -> list[str]:
+    return sorted(calibration.tables()) if calibration is not None else []
+
+
+def table(calibration: Calibration | None, name: str) -> np.ndarray:
+    if calibration is None or name not in calibration.tables():
+        raise CalibrationNotFound(name)
+    return np.asarray(calibration.tables()[name])
+
+
+def features(calibration: Calibration | None) -> dict:
+    """What a movie with this calibration supports, and the files it comes from."""
+    return {"calibrations": ["Digital Level"] + ([calibration.name] if calibration else []), "emissivity": bool(calibration and calibration.supports_emissivity()), "files": calibration.files() if calibration else []}
+
+
+def saturated(levels: Column) -> Column:
+    """Whether a pixel word holds the greatest digital level."""
+    from pyspark.sql import functions as F
+
+    return levels.bitwiseAND(F.lit(8191)) == 8191
+
+
+def raw_values(frames: DataFrame, y: int, x: int) -> DataFrame:
+    """movie_id, pos, value: the word of one pixel of packed frames as it was read, before any calibration; none outside."""
+    from pyspark.sql import functions as F
+
+    at = (F.lit(y) * F.col("w") + x) * 2 + 1
+    byte = lambda i: F.conv(F.hex(F.substring("px", i, F.lit(1))), 16, 10).cast("int")
+    own = frames.where((F.col("h") > y) & (F.col("w") > x) & F.lit(y >= 0 and x >= 0))
+    return own.select("movie_id", "pos", (byte(at) + byte(at + 1) * 256).alias("value"))
+
+
 def checked_emissivity(e: float) -> float:
     if not 0 <= e <= 1:
         raise ValueError("an emissivity is between 0 and 1")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,6 +11,10 @@ import numpy as np
 # Fixed values of the formats.
 PCR_SIZE, BIN_SIZE, ENCAPSULATED_AT = 1024, 128, 133
 TRAILER = b"H264ATTRIBUTES"
+#: Width, height and frequency of the laboratory's movies; sides of a PCR movie, plain and encapsulated, are below MOST_PIXELS.
+LAB, MOST_PIXELS = (640, 512, 50), (2000, 1000)
+#: What the pixels of an HCC movie are, and their unit, by calibration mode.
+HCC_DATA = {0: ("Raw0", "DL"), 1: ("NUC", "DL"), 2: ("RT", "Radiometric Temperature (C)"), 3: ("IBR", "W/(m2 sr)"), 4: ("IBI", "W/(m2 sr)"), 5: ("Raw", "DL")}
 COMPRESS_FROM = 1000
 #: Offset and type of the header fields of an HCC frame.
 HCC_FIELDS = {
@@ -57,9 +61,11 @@ def sniff(head: bytes, size: int) -> Movie | None:
         for name, at in (("PCR", 0), ("PCR_ENCAPSULATED", ENCAPSULATED_AT)):
             if len(head) >= at + 48:
                 _, count, x, y, _, bits, _, frequency, _, transfer, *_ = _pcr(head, at)
-                if bits == 16 and 0 < x < 1000 and 0 < y < 1000 and abs(transfer - x * y * 2) < 2000:
+                lab = not at and (bits, x, y, frequency) == (16, *LAB)  # whatever their transfer size says
+                transfer = 2 * x * y if lab else transfer
+                if bits == 16 and 0 < x < MOST_PIXELS[at > 0] and 0 < y < MOST_PIXELS[at > 0] and abs(transfer - x * y * 2) < 2000:
                     start = PCR_SIZE + at
-                    n = count if at else (size - start) // max(1, transfer)
+                    n = count if at or lab else (size - start) // max(1, transfer)
                     return Movie(name, x, y, min(n, (size - start) // max(1, transfer)), start, transfer, frequency)
     if len(head) >= 2 * BIN_SIZE:
         version, triggers, compression, (date, rate, samples, *_, x, y) = _bin(head)
@@ -73,15 +79,13 @@ def sniff(head: bytes, size: int) -> Movie | None:
         h = np.frombuffer(head, HCC_DTYPE, 1)[0]
         length, x, y = int(h["ImageHeaderLength"]), int(h["Width"]), int(h["Height"])
         if length <= 6000 and x and y:
-            return Movie("HCC", x, y, size // (length + 2 * x * y), 0, length + 2 * x * y, int(h["AcquisitionFrameRate"]), attrs={"Type": b"HCC"})
+            n = size // (length + 2 * x * y)
+            kind, unit = HCC_DATA.get(int(h["CalibrationMode"]), ("", ""))
+            own = {"Type": "HCC", "Size": str(n), "DataType": kind, "DataUnit": unit}
+            return Movie("HCC", x, y, n, 0, length + 2 * x * y, int(h["AcquisitionFrameRate"]), attrs={k: v.encode() for k, v in own.items()})
     return None
 
 
-def synthesised(n: int, frequency: int) -> list[int]:
-    step = 1e9 / (frequency if frequency > 0 else 50)
-    return [int(i * step) for i in range(n)]
-
-
 def in_nanoseconds(times: list[int]) -> list[int]:
     """Milliseconds or nanoseconds to nanoseconds, without a trigger's 32 s."""
     if not times:
@@ -96,30 +100,60 @@ def frames(data: bytes) -> Iterator[tuple[int, int, np.ndarray, dict[str, bytes]
     m = sniff(data[:4096], len(data))
     if m is None or m.format == "H264":
         raise ValueError("not a movie that can be decoded here")
+    return frames_between(lambda at, n: data[at : at + n], m, 0, m.n - 1)
+
+
+def frames_between(read: Callable[[int, int], bytes], m: Movie, first: int, last: int) -> Iterator[tuple[int, int, np.ndarray, dict[str, bytes]]]:
+    """Frames first to last of a movie of which read(offset, size) gives any piece. A piece that ends early is an EOFError."""
     size = 2 * m.width * m.height
+
+    def piece(at: int, n: int) -> bytes:
+        out = read(at, n)
+        if len(out) < n:
+            raise EOFError(f"the movie ends within a frame, at {at + len(out)}")
+        return out
+
+    def image(raw: bytes) -> np.ndarray:
+        return np.frombuffer(raw, "<u2", m.width * m.height).reshape(m.height, m.width)
+
     if m.format == "ZSTD":
         import zstandard
 
         at = m.start
-        for i in range(m.n):
-            ts, n = struct.unpack_from("<qI", data, at)
-            raw = zstandard.ZstdDecompressor().decompress(data[at + 12 : at + 12 + n], max_output_size=size)
+        for i in range(last + 1):
+            ts, n = struct.unpack("<qI", piece(at, 12))
+            if i >= first:
+                yield i, ts, image(zstandard.ZstdDecompressor().decompress(piece(at + 12, n), max_output_size=size)), {}
             at += 12 + n
-            yield i, ts, np.frombuffer(raw, "<u2").reshape(m.height, m.width), {}
         return
-    starts = [m.start + i * m.stride for i in range(m.n)]
     if m.format == "HCC":
-        heads = [np.frombuffer(data, HCC_DTYPE, 1, s)[0] for s in starts]
         step = 1e12 / m.frequency if m.frequency else 0.0
-        for i, (s, h) in enumerate(zip(starts, heads, strict=True)):
-            length = int(h["ImageHeaderLength"])
-            attrs = {k: str(h[k].item()).encode() for k in HCC_FIELDS} | {"Header": data[s : s + HCC_DTYPE.itemsize]}
-            yield i, int(i * step), np.frombuffer(data, "<u2", m.width * m.height, s + length).reshape(m.height, m.width), attrs
+        for i in range(first, last + 1):
+            raw = piece(m.start + i * m.stride, m.stride)
+            h = np.frombuffer(raw, HCC_DTYPE, 1)[0]
+            attrs = {k: str(h[k].item()).encode() for k in HCC_FIELDS} | {"Header": raw[: HCC_DTYPE.itemsize]}
+            yield i, int(i * step), image(raw[int(h["ImageHeaderLength"]) :]), attrs
         return
-    times = [struct.unpack_from("<q", data, s + m.stride - 8)[0] for s in starts] if m.format.startswith("PCR") and m.stride >= 8 else []
-    times = in_nanoseconds(times) if times and times[0] >= 0 and all(a < b for a, b in zip(times, times[1:], strict=False)) and max(times) < 1 << 62 else synthesised(m.n, m.frequency)
-    for i, s in enumerate(starts):
-        yield i, times[i], np.frombuffer(data, "<u2", m.width * m.height, s).reshape(m.height, m.width), {}
+
+    def stamp(i: int) -> int:
+        return struct.unpack("<q", piece(m.start + (i + 1) * m.stride - 8, 8))[0]
+
+    times: list[int] = []
+    if m.format.startswith("PCR") and m.stride >= 8 and m.n:
+        own, ends = [stamp(i) for i in range(first, last + 1)], [stamp(i) for i in sorted({0, min(1, m.n - 1), m.n - 1})]
+        if all(a < b for x in (own, ends) for a, b in zip(x, x[1:], strict=False)) and ends[0] >= 0 and ends[-1] < 1 << 62:
+            times = in_nanoseconds([*ends, *own])[len(ends) :]
+    step = 1e9 / (m.frequency if m.frequency > 0 else 50)
+    for i in range(first, last + 1):
+        yield i, times[i - first] if times else int(i * step), image(piece(m.start + i * m.stride, size)), {}
+
+
+def movie_of(images: list[np.ndarray], times: list[int], codec: str, frequency: int = 50, level: int = 3) -> bytes:
+    """A movie's file without a trailer, by codec ("zstd" or "pcr")."""
+    if codec == "zstd":
+        return zstd_movie(images, times, frequency, level)
+    h, w = images[0].shape
+    return pcr_header(w, h, len(images), frequency) + b"".join(np.ascontiguousarray(i, "<u2").tobytes() for i in images)
 
 
 def pcr_header(w: int, h: int, n: int, frequency: int, stride: int | None = None) -> bytes:

@@ -17,17 +17,22 @@ def register_loader(name: str, probe: Callable[[bytes, int], bool], load: Callab
     _LOADERS.insert(0, (name, probe, load))
 
 
-def find_loader(head: bytes, size: int) -> str | None:
+def registered() -> list:
+    """The loaders as they are now; queries take them along to the workers."""
+    return list(_LOADERS)
+
+
+def find_loader(head: bytes, size: int, own: list | None = None) -> str | None:
     """The name of the loader for a file, registered or built in."""
-    for name, probe, _ in _LOADERS:
+    for name, probe, _ in _LOADERS if own is None else own:
         if probe(head, size):
             return name
     m = formats.sniff(head, size)
     return m.format if m else None
 
 
-def load(data: bytes) -> Frames:
-    for _, probe, own in _LOADERS:
+def load(data: bytes, own: list | None = None) -> Frames:
+    for _, probe, load_own in _LOADERS if own is None else own:
         if probe(data[:4096], len(data)):
-            return own(data)
+            return load_own(data)
     return formats.frames(data)
