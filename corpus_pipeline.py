@@ -1,7 +1,12 @@
 """A pipeline over documents: quality, line dedup, near-duplicates, decontamination, token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns the rows that it keeps with the columns of documents; the last one returns
-doc_id, n_tokens, ids_sha256 and decoded_sha256 of what is left."""
+doc_id, n_tokens, ids_sha256 and decoded_sha256 of what is left.
+
+Null texts are empty and rows without doc_id go through like others: of all rows that are near duplicates of each other, texts
+without words included, the one with the least doc_id stays, nulls last. Rows with equal doc_id and different texts are
+different documents. Without labels the first stage keeps all; an empty benchmark contaminates nothing; no rows give no rows.
+Further columns of documents are kept by all stages but the last."""
 
 from __future__ import annotations
 
