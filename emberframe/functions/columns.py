@@ -145,10 +145,10 @@ def is_rect(p: Column) -> Column:
 
 
 def centroid(p: Column) -> Column:
-    """Weighted by the unsigned area."""
+    """Weighted by the unsigned area; null where that is zero."""
     both = F.zip_with(p, _next(p), lambda a, b: F.struct(((a["x"] + b["x"]) * (a["x"] * b["y"] - a["y"] * b["x"])).alias("x"), ((a["y"] + b["y"]) * (a["x"] * b["y"] - a["y"] * b["x"])).alias("y")))
     total = F.aggregate(both, F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), lambda s, v: F.struct((s["x"] + v["x"]).alias("x"), (s["y"] + v["y"]).alias("y")))
-    return F.struct((total["x"] / (6 * area(p))).alias("x"), (total["y"] / (6 * area(p))).alias("y"))
+    return F.struct(F.try_divide(total["x"], 6 * area(p)).alias("x"), F.try_divide(total["y"], 6 * area(p)).alias("y"))
 
 
 def bounding_rect(p: Column) -> Column:
@@ -171,3 +171,41 @@ def line_angle(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 
 def fuzzy_compare(a: Column, b: Column) -> Column:
     return F.abs(a - b) * 1e12 <= F.least(F.abs(a), F.abs(b))
+
+
+def tolerance_compare(a: Column, b: Column, tolerance: float) -> Column:
+    """Whether two numbers differ by no more than a share of the greater one."""
+    return F.abs(a - b) <= F.greatest(F.abs(a), F.abs(b)) * tolerance
+
+
+def angle_to(first: Column, second: Column) -> Column:
+    """Degrees counter-clockwise in [0, 360) to add to the first line's angle for the second one's; lines are (x1, y1, x2, y2), and
+    0 for one without length."""
+    flat = lambda s: (s["x1"] == s["x2"]) & (s["y1"] == s["y2"])
+    d = line_angle(second["x1"], second["y1"], second["x2"], second["y2"]) - line_angle(first["x1"], first["y1"], first["x2"], first["y2"])
+    d = F.when(d < 0, d + 360).otherwise(d)
+    return F.when(flat(first) | flat(second) | (d >= 360), F.lit(0.0)).otherwise(d)
+
+
+def rect_contains(r: Column, x: Column, y: Column) -> Column:
+    """Left and top belong to a rectangle, right and bottom don't."""
+    return (x >= r["left"]) & (x < r["right"]) & (y >= r["top"]) & (y < r["bottom"])
+
+
+def rect_intersection(a: Column, b: Column) -> Column:
+    """What both cover; null where they don't meet."""
+    out = F.struct(*[f(a[c], b[c]).alias(c) for f, c in ((F.greatest, "left"), (F.greatest, "top"), (F.least, "right"), (F.least, "bottom"))])
+    return F.when((out["left"] < out["right"]) & (out["top"] < out["bottom"]), out)
+
+
+def rect_union(a: Column, b: Column) -> Column:
+    """The least rectangle around both; an empty one doesn't count."""
+    empty = lambda r: (r["right"] <= r["left"]) | (r["bottom"] <= r["top"])
+    out = F.struct(*[f(a[c], b[c]).alias(c) for f, c in ((F.least, "left"), (F.least, "top"), (F.greatest, "right"), (F.greatest, "bottom"))])
+    return F.when(empty(a), b).when(empty(b), a).otherwise(out)
+
+
+def matrix_inverse(m: Column) -> Column:
+    """Of 2 x 2 matrices (m11, m12, m21, m22); null where the determinant is 1e-12 at most."""
+    det = m["m11"] * m["m22"] - m["m12"] * m["m21"]
+    return F.when(F.abs(det) > 1e-12, F.struct((m["m22"] / det).alias("m11"), (-m["m12"] / det).alias("m12"), (-m["m21"] / det).alias("m21"), (m["m11"] / det).alias("m22")))

@@ -22,6 +22,13 @@ def slice_frames(frames: DataFrame, n: int, start: int = 0, stop: int = 0, step:
     return out if s == 1 else out.where((F.col("pos") - a) % s == 0)
 
 
+def at_position(frames: DataFrame, pos: int, n: int) -> DataFrame:
+    """The frame at a position of movies of n frames; negative ones count from the end, others beyond are an IndexError."""
+    if not -n <= pos < n:
+        raise IndexError(f"no frame {pos} among {n}")
+    return frames.where(F.col("pos") == (pos + n if pos < 0 else pos))
+
+
 def at_positions(frames: DataFrame, positions: list[int]) -> DataFrame:
     """Rows at positions, in their order and as often as they are given (column `nr`)."""
     wanted = frames.sparkSession.createDataFrame(list(enumerate(positions)), "nr int, pos int")
@@ -98,8 +105,9 @@ def histogram(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("frame", "px").agg(F.count("*").alias("n"))
 
 
-def median_pixel(pixels: DataFrame, percent: float) -> DataFrame:
-    """Least value whose cumulative count reaches round(n * percent); 0 for none."""
+def median_pixel(pixels: DataFrame, percent: float, mask: DataFrame | None = None) -> DataFrame:
+    """Least value whose cumulative count reaches round(n * percent); 0 for none. mask: the (y, x) that count, of all frames."""
+    pixels = pixels if mask is None else pixels.join(mask.select("y", "x"), ["y", "x"], "left_semi")
     upto = F.sum("n").over(Window.partitionBy("frame").orderBy("px"))
     total = F.sum("n").over(Window.partitionBy("frame"))
     h = histogram(pixels).select("frame", "px", upto.alias("upto"), total.alias("total"))

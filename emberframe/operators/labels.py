@@ -8,16 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def label(mask: np.ndarray) -> np.ndarray:
-    """Labels of 4-neighbour regions of a frame, from 1 in the raster order of their first pixels; 0 outside.
+def label(img: np.ndarray, background=0, compat: bool = False) -> np.ndarray:
+    """Labels of regions of 4-neighbours of one value in a frame, from 1 in the raster order of their first pixels; 0 where the
+    background is. compat: pixels above each other are linked whenever both are not background.
 
     Runs of each row are linked with the runs that they touch in the row above, by union of their least numbers."""
-    h, w = mask.shape
-    padded = np.zeros((h, w + 2), np.int8)
-    padded[:, 1:-1] = mask
-    step = np.diff(padded, axis=1)
-    ys, starts = np.nonzero(step == 1)
-    _, stops = np.nonzero(step == -1)
+    img = np.asarray(img)
+    h, w = img.shape
+    fore = img != background
+    begins, ends = fore.copy(), fore.copy()
+    begins[:, 1:] &= ~fore[:, :-1] | (img[:, 1:] != img[:, :-1])
+    ends[:, :-1] &= ~fore[:, 1:] | (img[:, 1:] != img[:, :-1])
+    ys, starts = np.nonzero(begins)
+    stops = np.nonzero(ends)[1] + 1
+    value = img[ys, starts].tolist()
     root = list(range(len(ys)))
 
     def find(i: int) -> int:
@@ -31,7 +35,7 @@ def label(mask: np.ndarray) -> np.ndarray:
     for y in range(1, h):
         i, j = first[y - 1], first[y]
         while i < first[y] and j < first[y + 1]:
-            if a[i] < b[j] and a[j] < b[i]:
+            if a[i] < b[j] and a[j] < b[i] and (compat or value[i] == value[j]):
                 p, q = find(i), find(j)
                 root[max(p, q)] = min(p, q)
             if b[i] < b[j]:
@@ -70,6 +74,20 @@ def regions(pixels: DataFrame, w: int, h: int, threshold: int) -> DataFrame:
     return _packed(pixels).mapInPandas(run, f"frame {kind}, label int, first_x int, first_y int, area long")
 
 
+def value_regions(pixels: DataFrame, w: int, h: int, background: int = 0, compat: bool = False) -> DataFrame:
+    """frame, label, value, first_x, first_y, area of regions of one value; the value is that of a region's first pixel."""
+
+    def run(batches):
+        for batch in batches:
+            for frame, px in zip(batch["frame"], batch["px"], strict=True):
+                img = np.asarray(px).reshape(h, w)
+                ids, first, area = np.unique(label(img, background, compat).ravel(), return_index=True, return_counts=True)
+                keep = ids > 0
+                yield pd.DataFrame({"frame": frame, "label": ids[keep], "value": img.ravel()[first[keep]], "first_x": first[keep] % w, "first_y": first[keep] // w, "area": area[keep]})
+
+    return _packed(pixels).mapInPandas(run, f"frame {dict(pixels.dtypes)['frame']}, label int, value int, first_x int, first_y int, area long")
+
+
 def largest(pixels: DataFrame, w: int, h: int, threshold: int, background: int, foreground: int) -> DataFrame:
     """frame, y, x, px: the largest region, of equals the first, in one value and the rest in another."""
 

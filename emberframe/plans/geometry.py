@@ -37,10 +37,10 @@ SELECT poly_id, string_agg(x || ',0', ';' ORDER BY pos) AS points FROM k WHERE b
 _q("g18_is_rect", "SELECT poly_id, count(DISTINCT x) <= 2 AND count(DISTINCT y) <= 2 AS rect FROM pts GROUP BY poly_id", rect=c.is_rect)
 
 
-@query("g19_centroid", W + "SELECT poly_id, round(sum((x + nx) * (x * ny - y * nx)) / (6 * (abs(sum(x * ny - y * nx)) / 2)), 6) AS cx, round(sum((y + ny) * (x * ny - y * nx)) / (6 * (abs(sum(x * ny - y * nx)) / 2)), 6) AS cy FROM edges GROUP BY poly_id HAVING sum(x * ny - y * nx) <> 0")
+@query("g19_centroid", W + "SELECT poly_id, round(sum((x + nx) * (x * ny - y * nx)) / nullif(6 * (abs(sum(x * ny - y * nx)) / 2), 0), 6) AS cx, round(sum((y + ny) * (x * ny - y * nx)) / nullif(6 * (abs(sum(x * ny - y * nx)) / 2), 0), 6) AS cy FROM edges GROUP BY poly_id")
 def centroid(spark, d):
     m = c.centroid(P("pts"))
-    return polygons(spark, d).where(c.area(P("pts")) != 0).select("poly_id", F.round(m["x"], 6).alias("cx"), F.round(m["y"], 6).alias("cy"))
+    return polygons(spark, d).select("poly_id", F.round(m["x"], 6).alias("cx"), F.round(m["y"], 6).alias("cy"))
 
 
 @query("g21_distance_to_segment", W + """, s AS (SELECT *, (nx - x) ** 2 + (ny - y) ** 2 AS q FROM edges), t AS (SELECT *, CASE WHEN q = 0 THEN 0 ELSE greatest(0, least(1, ((40 - x) * (nx - x) + (30 - y) * (ny - y)) / q)) END AS k FROM s)
@@ -64,3 +64,39 @@ def line_angle(spark, d):
     ring = F.concat(F.slice(P("pts"), F.lit(2), F.size("pts")), F.slice(P("pts"), 1, 1))
     e = p.select("poly_id", F.posexplode(F.arrays_zip(F.col("pts").alias("a"), ring.alias("b"))).alias("pos", "e"))
     return e.select("poly_id", "pos", F.round(c.line_angle(P("e.a.x"), P("e.a.y"), P("e.b.x"), P("e.b.y")), 6).alias("angle"))
+
+
+@query("g22_rect_operations", W + """, r AS (SELECT poly_id, min(x) AS l, min(y) AS t, max(x) AS r, max(y) AS b FROM pts GROUP BY poly_id)
+SELECT poly_id, l <= 48 AND r > 48 AND t <= 44 AND b > 44 AS has_middle, CASE WHEN greatest(l, 20) < least(r, 60) AND greatest(t, 30) < least(b, 50) THEN (least(r, 60) - greatest(l, 20)) * (least(b, 50) - greatest(t, 30)) END AS shared,
+  CASE WHEN r <= l OR b <= t THEN 800.0 ELSE (greatest(r, 60) - least(l, 20)) * (greatest(b, 50) - least(t, 30)) END AS around FROM r""")
+def rect_operations(spark, d):
+    own = c.bounding_rect(P("pts"))
+    other = F.struct(*[F.lit(float(v)).alias(k) for k, v in (("left", 20), ("top", 30), ("right", 60), ("bottom", 50))])
+    size = lambda r: (r["right"] - r["left"]) * (r["bottom"] - r["top"])
+    return polygons(spark, d).select("poly_id", c.rect_contains(own, F.lit(48.0), F.lit(44.0)).alias("has_middle"), size(c.rect_intersection(own, other)).alias("shared"), size(c.rect_union(own, other)).alias("around"))
+
+
+@query("g22_angle_to", W + """, a AS (SELECT a.poly_id, a.pos, a.nx = a.x AND a.ny = a.y OR b.nx = b.x AND b.ny = b.y AS flat, degrees(atan2(-(a.ny - a.y), a.nx - a.x)) AS p, degrees(atan2(-(b.ny - b.y), b.nx - b.x)) AS q
+  FROM edges a JOIN edges b ON b.poly_id = a.poly_id AND b.pos = (a.pos + 1) % a.n), n AS (SELECT *, CASE WHEN p < 0 THEN p + 360 ELSE p END AS u, CASE WHEN q < 0 THEN q + 360 ELSE q END AS v FROM a)
+SELECT poly_id, pos, round(CASE WHEN flat THEN 0 WHEN v < u THEN v - u + 360 ELSE v - u END, 6) AS angle FROM n""")
+def angle_between(spark, d):
+    turned = lambda k: F.concat(F.slice(P("pts"), F.lit(1) + F.least(F.lit(k), F.size("pts")), F.size("pts")), F.slice(P("pts"), 1, k), F.slice(P("pts"), 1, k))
+    e = polygons(spark, d).select("poly_id", F.size("pts").alias("n"), F.posexplode(F.arrays_zip(F.col("pts").alias("a"), turned(1).alias("b"), turned(2).alias("e"))).alias("pos", "p")).where("pos < n")
+    line = lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))
+    return e.select("poly_id", "pos", F.round(c.angle_to(line(P("p.a"), P("p.b")), line(P("p.b"), P("p.e"))), 6).alias("angle"))
+
+
+@query("g22_matrix_inverse", W + """, m AS (SELECT poly_id, pos, x, y, nx, ny, x * ny - y * nx AS d FROM edges) SELECT poly_id, pos, round(ny / nullif(d, 0), 6) AS m11, round(-y / nullif(d, 0), 6) AS m12, round(-nx / nullif(d, 0), 6) AS m21, round(x / nullif(d, 0), 6) AS m22 FROM m""")
+def matrix_inverse(spark, d):
+    ring = F.concat(F.slice(P("pts"), F.lit(2), F.size("pts")), F.slice(P("pts"), 1, 1))
+    e = polygons(spark, d).select("poly_id", F.posexplode(F.arrays_zip(F.col("pts").alias("a"), ring.alias("b"))).alias("pos", "e"))
+    m = c.matrix_inverse(F.struct(P("e.a.x").alias("m11"), P("e.a.y").alias("m12"), P("e.b.x").alias("m21"), P("e.b.y").alias("m22")))
+    return e.select("poly_id", "pos", *[F.round(m[k], 6).alias(k) for k in ("m11", "m12", "m21", "m22")])
+
+
+@query("g23_compare", "SELECT o_orderkey, abs(o_totalprice - o_custkey * 100.0) <= greatest(abs(o_totalprice), abs(o_custkey * 100.0)) * 0.25 AS near, abs(o_totalprice - (o_totalprice + 1e-9)) * 1e12 <= least(abs(o_totalprice), abs(o_totalprice + 1e-9)) AS same FROM orders")
+def compare(spark, d):
+    from emberframe.plans.tables import read
+
+    t = read(spark, d, "orders")
+    return t.select("o_orderkey", c.tolerance_compare(P("o_totalprice"), P("o_custkey") * 100.0, 0.25).alias("near"), c.fuzzy_compare(P("o_totalprice"), P("o_totalprice") + 1e-9).alias("same"))

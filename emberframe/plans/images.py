@@ -68,6 +68,15 @@ def median_pixel(spark, d):
     return fr.median_pixel(pixels(spark, d), 0.3)
 
 
+@query("k4_find_median_pixel_masked", W + """, h AS (SELECT frame, px, count(*) AS n FROM px WHERE (y + x) % 2 = 0 GROUP BY 1, 2),
+u AS (SELECT frame, px, sum(n) OVER (PARTITION BY frame ORDER BY px) AS upto, sum(n) OVER (PARTITION BY frame) AS total FROM h)
+SELECT frame, min(px) AS median FROM u WHERE upto >= round(total * 0.5) GROUP BY frame""")
+def median_pixel_masked(spark, d):
+    p = pixels(spark, d)
+    mask = spark.range(64).select(F.floor(F.col("id") / 8).cast("int").alias("y"), (F.col("id") % 8).cast("int").alias("x")).where((F.col("y") + F.col("x")) % 2 == 0)
+    return fr.median_pixel(p, 0.5, F.broadcast(mask))  # as many rows as a frame has pixels
+
+
 @query("k5_clamp_min", W + "SELECT frame, y, x, greatest(px, 4000) AS px FROM px")
 def clamp(spark, d):
     return pixels(spark, d).select("frame", "y", "x", c.clamp_min(F.col("px"), 4000).alias("px"))
@@ -92,6 +101,19 @@ def label_regions(spark, d):
     return labels.regions(pixels(spark, d), 8, 8, 4200)
 
 
+@query("k7_label_values", "WITH RECURSIVE " + PX + """, fg AS (SELECT frame, y, x, y * 8 + x AS id, px // 200 - 18 AS v FROM px WHERE px >= 3800),
+r(frame, id, root) AS (
+  SELECT frame, id, id FROM fg
+  UNION
+  SELECT r.frame, b.id, r.root FROM r JOIN fg a ON a.frame = r.frame AND a.id = r.id JOIN fg b ON b.frame = a.frame AND b.v = a.v AND abs(a.y - b.y) + abs(a.x - b.x) = 1
+), c AS (SELECT frame, id, min(root) AS root FROM r GROUP BY 1, 2),
+l AS (SELECT frame, root, count(*) AS area, (row_number() OVER (PARTITION BY frame ORDER BY root))::INTEGER AS label FROM c GROUP BY 1, 2)
+SELECT l.frame, label, fg.v::INTEGER AS value, (root % 8)::INTEGER AS first_x, (root // 8)::INTEGER AS first_y, area FROM l JOIN fg ON fg.frame = l.frame AND fg.id = l.root""")
+def label_values(spark, d):
+    p = pixels(spark, d).select("frame", "y", "x", F.greatest(F.lit(0), F.floor(F.col("px") / 200) - 18).cast("int").alias("px"))
+    return labels.value_regions(p, 8, 8)
+
+
 @query("k8_keep_largest_area", _LABEL_SQL + """, b AS (SELECT frame, root FROM l QUALIFY row_number() OVER (PARTITION BY frame ORDER BY area DESC, label) = 1)
 SELECT p.frame, p.y, p.x, CASE WHEN c.id IS NULL THEN 0 ELSE 7 END AS px FROM px p LEFT JOIN (SELECT c.* FROM c JOIN b USING (frame, root)) c ON c.frame = p.frame AND c.id = p.y * 8 + p.x""")
 def keep_largest(spark, d):

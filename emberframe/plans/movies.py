@@ -14,7 +14,7 @@ W = f"WITH {EV} "
 
 @query("p1_load_pos", W + "SELECT movie_id, pos, event_id FROM ev WHERE pos = 5")
 def load_pos(spark, d):
-    return events(spark, d).where("pos = 5").select("movie_id", "pos", "event_id")
+    return fr.at_position(events(spark, d), 5, 1 << 31).select("movie_id", "pos", "event_id")
 
 
 @query("p2_frame_slice", W + "SELECT movie_id, pos, event_id FROM ev WHERE pos >= 3 AND pos < 40 AND (pos - 3) % 4 = 0")
@@ -78,9 +78,11 @@ def uncompressed(spark, d):
     return t.select("l_orderkey", "l_linenumber", c.is_uncompressed(size, F.col("l_partkey"), F.lit(1), F.lit(1)).alias("plain"))
 
 
-@query("p15_attribute_cleanup", "SELECT event_id, event_type AS cleaned FROM events")
+@query("p15_attribute_cleanup", """WITH s AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'b''' || event_type || '''' WHEN 1 THEN event_type ELSE 'b' || event_type END AS said FROM events)
+SELECT event_id, CASE WHEN starts_with(said, 'b''') AND ends_with(said, '''') THEN said[3:-2] ELSE said END AS cleaned FROM s""")
 def cleanup(spark, d):
-    return read(spark, d, "events").select("event_id", c.unwrap_bytes_literal(F.concat(F.lit("b'"), "event_type", F.lit("'"))).alias("cleaned"))
+    said = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("b'"), "event_type", F.lit("'"))).when(F.col("event_id") % 3 == 1, F.col("event_type")).otherwise(F.concat(F.lit("b"), "event_type"))
+    return read(spark, d, "events").select("event_id", c.unwrap_bytes_literal(said).alias("cleaned"))
 
 
 @query("io8_time_units", """WITH t AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 29000 WHEN o_orderkey % 3 = 1 THEN 29000000000 ELSE 5000000000 END AS t0 FROM orders)

@@ -32,6 +32,8 @@ p AS (SELECT g.series_id, g.t, s.t AS pt, s.v AS pv FROM grid g ASOF LEFT JOIN s
 n AS (SELECT g.series_id, g.t, s.t AS nt, s.v AS nv FROM grid g ASOF LEFT JOIN series s ON g.series_id = s.series_id AND g.t <= s.t), b AS (SELECT * FROM p JOIN n USING (series_id, t)) """
 
 
+#: Series that a grid of all their times is made for at most; the result has a row for each time and series.
+MOST_SERIES = 1000
 #: Seconds of a series that go to one task.
 RANGE = 30 * 86_400.0
 
@@ -39,7 +41,10 @@ RANGE = 30 * 86_400.0
 def _grid(spark, d):
     s = series(spark, d)
     t = s.select((F.floor(F.col("t") / 10000) * 10000).cast("double").alias("t")).distinct()
-    return t.join(F.broadcast(s.select("series_id").distinct()))  # a row for each of the few series
+    ids = [r.series_id for r in s.select("series_id").distinct().limit(MOST_SERIES + 1).collect()]
+    if len(ids) > MOST_SERIES:
+        raise ValueError(f"the grid is of at most {MOST_SERIES} series")
+    return t.select(F.explode(F.array(*map(F.lit, ids))).alias("series_id"), "t")
 
 
 @query("t4_resample_linear", _NEAR + "SELECT series_id, t, round(CASE WHEN pt IS NULL OR nt IS NULL THEN coalesce(pv, nv) WHEN pt = t THEN pv ELSE nv * ((t - pt) / (nt - pt)) + (1 - (t - pt) / (nt - pt)) * pv END, 6) AS v FROM b")

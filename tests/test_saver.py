@@ -42,4 +42,8 @@ def test_slices(spark):
     df = spark.createDataFrame([(p,) for p in range(20)], "pos int")
     got = lambda *a: sorted(r.pos for r in fr.slice_frames(df, 20, *a).collect())
     assert got() == list(range(20)) and got(3, 0, 5) == [3, 8, 13, 18] and got(-4, -1) == [16, 17, 18] and got(5, 5) == []
+    assert [r.pos for r in fr.at_position(df, -1, 20).collect()] == [19] and [r.pos for r in fr.at_position(df, 3, 20).collect()] == [3]
+    for bad in (20, -21):
+        with pytest.raises(IndexError):
+            fr.at_position(df, bad, 20)
     assert [r.pos for r in fr.at_positions(df, [7, 2, 2]).orderBy("nr").collect()] == [7, 2, 2]
