@@ -122,10 +122,9 @@ def read_back(formatted: Column) -> Column:
 
 
 def report(rows: DataFrame) -> DataFrame:
-    """The digest columns of op10, of (conv_id, turn, role, text): each turn replies to the one before."""
-    spark = rows.sparkSession
-    odd = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, ASSISTANT, odd)], "conv_id long, turn long, role string, text string")
+    """The digest columns of op10, of (conv_id, turn, role, text) and of conversation -1: each turn replies to the one before."""
+    roles = F.array(F.lit("user"), F.lit(ASSISTANT))
+    more = rows.sparkSession.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.get(roles, F.col("id").cast("int")).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     every = rows.select("conv_id", "turn", "role", "text").unionByName(more)
     number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
     nodes = every.select(F.col("conv_id").alias("tree_id"), number.alias("node_id"), "role", "text", F.lit(0.0).alias("score")).withColumn(
