@@ -119,3 +119,10 @@ def test_toxicity_on_held_out_rows(spark):
     words = {text[i][s.start : s.end] for i, own in spans.items() for s in own}
     assert {w.lower() for x in words for w in x.split()} <= {"vile", "dreck"} or {"vile", "dreck"} <= {x.lower() for x in words}
     assert len(spans[1003]) >= 1 and "dreck" in text[1003][spans[1003][0].start : spans[1003][0].end] and spans[1000] == spans[1002] == []
+
+
+def test_labels_that_repeat_and_texts_that_repeat(spark):
+    docs, labels, *_ = frames(spark)
+    twice = docs.unionByName(docs.where("doc_id = 7").withColumn("text", F.lit("another text of seven")))
+    more = labels.unionByName(labels.where("doc_id < 20"))
+    assert quality.score(twice, more).count() == twice.count() and toxicity.report(twice, more).count() == twice.count()

@@ -133,3 +133,19 @@ def test_rows_stay_apart_however_many_blocks(spark):
         finally:
             decontaminate.BLOCK_BYTES = before
     assert len(found[0]) == 6 and found[0] == found[1]
+
+
+def test_no_rows_give_no_rows(spark):
+    none = spark.createDataFrame([], DOCS)
+    items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    assert secrets.report(none).count() == 0 and decontaminate.report(none, items).count() == 0 and decontaminate.decontaminate(none, items).count() == 0
+    some = frame(spark, ["one two three", None])
+    for bench in (items.where("false"), spark.createDataFrame([(None, None), (2, "")], "item_id long, text string")):
+        assert [r.n_hit for r in decontaminate.report(some, bench).collect()] == [0, 0, 0] and decontaminate.decontaminate(some, bench).count() == 3
+
+
+def test_an_item_without_an_id_is_an_empty_string(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "b"), (7, "c")], "item_id long, text string")
+    (row,) = decontaminate.hits(docs, bench).collect()
+    assert row["items"] == ["", "7"]
