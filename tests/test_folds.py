@@ -169,3 +169,37 @@ def test_registration_with_a_mask_ignores_what_it_hides():
     fold = registration.Registrator(mask=mask, pre_process=lambda img: img.astype(np.float32) / 2)
     found = [fold.step(f) for f in frames]
     assert all(abs(dx - i) < 0.1 and abs(dy) < 0.1 for i, (dx, dy, _) in enumerate(found))
+
+
+def plain_steady(frames, factor):
+    """(position, image) that the variant for steady movies keeps."""
+    diffs, top, out = [], None, [(0, frames[0])]
+    for i in range(1, len(frames)):
+        d = np.abs(frames[i].astype(float) - frames[i - 1]).ravel()
+        d = float(((d * d).sum() - d.sum() ** 2 / len(d)) / (len(d) - 1)) ** 0.5
+        top = frames[i] if top is None else np.maximum(top, frames[i])
+        keep = i % factor == 0
+        if len(diffs) < 10:
+            diffs.append(d)
+        else:
+            mean = sum(diffs) / len(diffs)
+            std = (sum((x - mean) ** 2 for x in diffs) / (len(diffs) - 1)) ** 0.5
+            steady = std / mean < 0.1 and d < mean + 2 * std
+            if keep or mean - std < d < mean + 5 * std:
+                diffs = [*diffs, d][-96:]
+            keep = keep or (not steady and d > mean + 0.5 * std)
+        if keep:
+            out.append((i, top))
+            top = None
+    return out
+
+
+def test_steady_query_equals_a_plain_one(spark):
+    want = {(m, i, hashlib.md5(o.astype("<u2").tobytes()).hexdigest()) for m, own in movies(spark).items() for i, o in plain_steady(own, 5)}
+    assert {(r.movie_id, r.pos, r.px_md5) for r in registry.queries()["z6_downsample_steady"](spark, SF).collect()} == want
+    r = np.random.default_rng(4)
+    frames = [(r.integers(0, 40 + (i // 50 % 3) * 60, (8, 8)) + 100).astype(np.uint16) for i in range(400)]
+    fold = folds.SteadyDownsampler(7)
+    got = {i: o for i, f in enumerate(frames) if (o := fold.step(f, i)) is not None}
+    want = dict(plain_steady(frames, 7))
+    assert got.keys() == want.keys() and all((got[k] == want[k]).all() for k in want)
