@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from emberframe.functions import images, polygons
-from emberframe.operators.reading import ReadOptions, read_frames
+from emberframe.operators.reading import Calibration, ReadOptions, read_frames
 from emberframe.plans import tables
 from emberframe.plans.registry import query
 from emberframe.streaming import folds, registration
@@ -50,11 +50,27 @@ w AS (SELECT frame, m - trunc(2 * sqrt(list_avg(list_transform(s, lambda v: ((v
 SELECT p.frame, p.y, p.x, greatest(coalesce(r.v[len(r.v) // 2 + 1], p.px), greatest(w.low, 0)) AS px FROM px p JOIN w USING (frame) LEFT JOIN r ON r.frame = p.frame AND r.y = p.y AND r.x = p.x""")
 
 
+def half(levels: np.ndarray) -> np.ndarray:
+    """A calibration for the given frames: half a level, from 1000 on."""
+    return ((levels & 8191) // 2 + 1000).astype(levels.dtype)
+
+
+class Half(Calibration):
+    def to_temp(self, v, ti, inv_emissivity):
+        return F.floor(v.bitwiseAND(F.lit(8191)) / 2) + 1000
+
+    def to_dl(self, t, ti, inv_emissivity):
+        return (t - 1000) * 2
+
+    def apply(self, img, inv_emissivity=1.0):
+        return half(img)
+
+
 @query("c1_read_pipeline")
 def read_pipeline(spark, d):
     f = _frames(spark, d)
     shifts = f.select("movie_id", "pos", (F.col("pos") % 3).cast("double").alias("dx"), F.lit(0.5).alias("dy"))
-    return _hashed(read_frames(f, ReadOptions(min_t=100, min_t_height=4, correct_bad=True, motion=True), shifts))
+    return _hashed(read_frames(f, ReadOptions(min_t=100, min_t_height=4, calibration=Half(), correct_bad=True, motion=True), shifts))
 
 
 @query("z1_lossy")
@@ -62,11 +78,6 @@ def lossy(spark, d):
     return _hashed(folds.lossy(_frames(spark, d), high_error=300, low_error=600, std_factor=0.5, average=8), "low_error", "high_error")
 
 
-def half(levels: np.ndarray) -> np.ndarray:
-    """A calibration for the given frames: half a level, from 1000 on."""
-    return ((levels & 8191) // 2 + 1000).astype(levels.dtype)
-
-
 @query("z2_lossy_with_camera")
 def lossy_with_camera(spark, d):
     out = folds.lossy(_frames(spark, d), high_error=150, low_error=300, std_factor=0.5, average=4, lossy_height=6, calibrate=half, local_min=True)
