@@ -138,3 +138,18 @@ def report(rows: DataFrame) -> DataFrame:
         F.length(F.array_join(said, "")).cast("long").alias("loss_chars"), F.sha2(F.array_join(said, ""), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+#: DuckDB's form of `report`.
+SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, x.turn, x.role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, '{ASSISTANT}')) x(turn, role)
+), f AS (
+  SELECT *, {len(HEAD) + 1 + len(TAIL)} + length(replace(replace(replace(role, '%', '%25'), chr(10), '%0A'), '<|', '%3C|')) + length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|')) AS size FROM t
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = '{ASSISTANT}'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = '{ASSISTANT}'), '')) AS loss_sha256,
+  sum(size)::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""

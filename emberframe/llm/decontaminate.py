@@ -181,4 +181,20 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["decontaminate", "hits", "report", "windows", "words"]
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w"
+#: DuckDB's form of `report`: windows of documents and items joined as strings.
+SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} FROM documents),
+items AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_WORDS} FROM benchmark),
+windows AS (SELECT DISTINCT item, n, array_to_string(w[k : k + n - 1], ' ') AS win
+  FROM (SELECT item, w, least({WIDTH}, len(w)) AS n, unnest(range(1, greatest(1, len(w) - {WIDTH} + 1) + 1)) AS k FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+said AS (SELECT r, n, k, array_to_string(w[k : k + n - 1], ' ') AS win FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n)),
+hit AS (SELECT r, k, n, item FROM said JOIN windows USING (win, n)),
+placed AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS place FROM hit) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN placed USING (r) LEFT JOIN named USING (r)
+"""
+
+__all__ = ["SQL", "decontaminate", "hits", "report", "windows", "words"]

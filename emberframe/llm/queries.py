@@ -59,4 +59,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_lines": lines.SQL}
+    return {"op5_lines": lines.SQL, "op9_decontaminate": decontaminate.SQL, "op10_chat": chat.SQL}

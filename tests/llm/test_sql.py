@@ -1,0 +1,25 @@
+"""Queries of these operators with SQL, against DuckDB."""
+
+import glob
+import os
+
+import pytest
+
+from emberframe.llm import queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", [n for n in queries.oracle_sql() if n != "op5_lines"])
+def test_query_against_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for p in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
+    want = con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    got = queries.queries()[name](spark, SF)
+    assert sorted(got.columns) == sorted(columns)
+    rows = sorted(want.fetchall(), key=repr)
+    assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=repr) == rows and len(rows) > 20
