@@ -76,6 +76,12 @@ class Scratch:
             pass
 
 
+def small_batches(spark: SparkSession) -> None:
+    """For a job that this package starts itself: rows cross to Python by BATCH_ROWS, which keeps Python workers and what they
+    hold small. Operators work at any setting and leave a user's alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def by_batch(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow over batches of a bounded number of rows, whatever the session's own bound."""
 

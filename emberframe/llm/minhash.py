@@ -40,6 +40,8 @@ SAMPLES = BANDS * ROWS
 IDF_BITS = 17
 RARE = 1 / 1024
 COARSE = 4
+#: Different words that a task remembers at most.
+KEPT = 250_000
 #: The bucket of texts without words.
 _NO_WORDS = 0
 
@@ -57,7 +59,7 @@ class _WordHashes(dict):
     def __missing__(self, word):
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > KEPT:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
         return h

@@ -27,6 +27,8 @@ from emberframe.llm.labelled import sample
 MAX_ROWS = 4000
 BUCKETS = 1 << 15
 STEPS, RATE, DECAY = 120, 0.1, 1e-4
+#: Different words that a task remembers at most.
+KEPT = 200_000
 #: A text stays if its probability to be above the lowest grade is this much.
 LEAST_TAIL = 0.5
 
@@ -114,7 +116,7 @@ def _scores(text_list: list[str], w: np.ndarray, cache: dict) -> np.ndarray:
                 cache[x] = float(w[a] + w[b])
             total = sum(map(cache.__getitem__, words))
         out.append(total / max(1, len(words)) + 0.5 * float(sum(w[f] for f in text_features(text, words))))
-        if len(cache) > 500_000:
+        if len(cache) > KEPT:
             cache.clear()
     return np.array(out)
 

@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from emberframe.llm import bpe, chat, decontaminate, lines, minhash, pii, quality, secrets, spotsigs, toxicity
-from emberframe.llm.common import read
+from emberframe.llm import common
+from emberframe.llm.common import small_batches
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
+    return common.read(spark, sf_dir, table)
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ LEAST_DOCS, LEAST_SHARE = 3, 0.8
 #: Features with weights below this count as not seen.
 LEAST_WEIGHT = 1e-3
 #: Different tokens that a task remembers at most.
-KEPT = 500_000
+KEPT = 200_000
 
 TOKEN = re.compile(r"[^\W_]+")
 
@@ -241,7 +241,8 @@ class Lexicon:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.rows: list[tuple[float, float, float]] = []
+        self.rows: list[tuple[float, float, float]] = []  # of tokens that are not in `known` yet
+        self.known = np.zeros((3, 0))
 
     def numbers(self, own: list[str]) -> np.ndarray:
         for t in set(own).difference(self.number):
@@ -251,7 +252,9 @@ class Lexicon:
         return np.fromiter(map(self.number.__getitem__, own), np.int64, len(own))
 
     def table(self) -> np.ndarray:
-        return np.array(self.rows, float).reshape(-1, 3).T
+        self.known = np.hstack([self.known, np.array(self.rows, float).reshape(-1, 3).T])
+        self.rows = []
+        return self.known
 
 
 def marginals(text_list: list[str], model, lexicon: Lexicon) -> list[np.ndarray]:
