@@ -86,7 +86,7 @@ def duration(frames: DataFrame) -> DataFrame:
 def chunks(frames: DataFrame, step: int, n: DataFrame) -> DataFrame:
     """Tumbling windows of `step` frames without the partial tail; timestamps start anew at 20 ms a frame. n: (movie_id, n)."""
     own = frames.join(n, "movie_id").withColumn("chunk", F.floor(F.col("pos") / step).cast("int")).where((F.col("chunk") + 1) * step <= F.col("n"))
-    return own.select("movie_id", "pos", "chunk", ((F.col("pos") - F.col("chunk") * step) * 20_000_000).cast("long").alias("ts_ns"))
+    return own.select("movie_id", "pos", "chunk", ((F.col("pos") - F.col("chunk") * step).cast("long") * 20_000_000).alias("ts_ns"))
 
 
 def attributes_wide(frames: DataFrame, keys: list[str]) -> DataFrame:

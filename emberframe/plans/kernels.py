@@ -20,7 +20,7 @@ def _frames(spark, d):
     e = tables.read(spark, d, "embeddings")
     own = images.pack(e, "vec_id", "embedding", 8, 4096.0, 1.0).join(e.select(F.col("vec_id").alias("frame"), F.col("label").alias("movie_id")), "frame")
     pos = (F.row_number().over(Window.partitionBy("movie_id").orderBy("frame")) - 1).cast("int")
-    return own.select("movie_id", pos.alias("pos"), (pos * 20_000_000).cast("long").alias("ts_ns"), "h", "w", "px")
+    return own.select("movie_id", pos.alias("pos"), (pos.cast("long") * 20_000_000).alias("ts_ns"), "h", "w", "px")
 
 
 def _hashed(frames, *more):
