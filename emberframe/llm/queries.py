@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberframe.llm import bpe, chat, decontaminate, infill, lines, minhash, mining, pii, quality, secrets, spotsigs, toxicity
+from emberframe.llm import bpe, chat, decontaminate, infill, jaccard, lines, minhash, mining, pii, quality, secrets, spotsigs, toxicity
 from emberframe.llm import common
 from emberframe.llm.common import small_batches
 
@@ -54,6 +54,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(read(spark, sf_dir, "conversations"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.report(read(spark, sf_dir, "documents"))
+
+
 def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.report(read(spark, sf_dir, "documents"))
 
@@ -73,4 +77,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_lines": lines.SQL, "op9_decontaminate": decontaminate.SQL, "op10_chat": chat.SQL, "op12_infill": infill.SQL, "op13_hard_negatives": mining.SQL}
+    return {"op5_lines": lines.SQL, "op9_decontaminate": decontaminate.SQL, "op10_chat": chat.SQL, "op11_jaccard_join": jaccard.SQL, "op12_infill": infill.SQL, "op13_hard_negatives": mining.SQL}
