@@ -168,11 +168,20 @@ def correct_pcr(data: bytes, w: int, h: int, frequency: int) -> bytes:
     return bytes(out)
 
 
+def zstd_header(w: int, h: int, n: int, rate: int = 50) -> bytes:
+    return bytes([1, 1, 1]).ljust(BIN_SIZE, b"\0") + struct.pack("<11q", 0, rate, n, 0, 1, 1, 0, 3, 1, w, h).ljust(BIN_SIZE, b"\0")
+
+
+def head_of(codec: str, h: int, w: int, n: int, frequency: int = 50) -> bytes:
+    """What comes before the frames."""
+    return zstd_header(w, h, n, frequency) if codec == "zstd" else pcr_header(w, h, n, frequency)
+
+
 def zstd_movie(images: list[np.ndarray], times: list[int], rate: int = 50, level: int = 3) -> bytes:
     import zstandard
 
     h, w = images[0].shape
-    out = [bytes([1, 1, 1]).ljust(BIN_SIZE, b"\0"), struct.pack("<11q", 0, rate, len(images), 0, 1, 1, 0, 3, 1, w, h).ljust(BIN_SIZE, b"\0")]
+    out = [zstd_header(w, h, len(images), rate)]
     z = zstandard.ZstdCompressor(level)
     for img, t in zip(images, times, strict=True):
         raw = z.compress(np.ascontiguousarray(img, "<u2").tobytes())
@@ -204,12 +213,12 @@ def _text(x: bytes) -> bytes:
     return struct.pack("<Q", len(x)) + x
 
 
-def _map(m: dict[str, bytes]) -> bytes:
+def mapping(m: dict[str, bytes]) -> bytes:
     return struct.pack("<Q", len(m)) + b"".join(_text(k.encode()) + _text(v) for k, v in sorted(m.items()))
 
 
 def write_trailer(attrs: dict[str, bytes], per_frame: list[dict[str, bytes]], times: list[int]) -> bytes:
-    body = _map(attrs) + b"".join(map(_map, per_frame)) + struct.pack(f"<{len(times)}q", *times) + struct.pack("<Q", len(times))
+    body = mapping(attrs) + b"".join(map(mapping, per_frame)) + struct.pack(f"<{len(times)}q", *times) + struct.pack("<Q", len(times))
     return body + struct.pack("<Q", len(body) + 8 + len(TRAILER)) + TRAILER
 
 
@@ -235,15 +244,15 @@ def read_trailer(data: bytes) -> tuple[dict[str, bytes], list[dict[str, bytes]],
             return zstandard.ZstdDecompressor().decompress(raw[8:], max_output_size=struct.unpack_from("<Q", raw)[0])
         return raw
 
-    def mapping() -> dict[str, bytes]:
+    def pairs() -> dict[str, bytes]:
         nonlocal at
         (n,) = struct.unpack_from("<Q", own, at)
         at += 8
         return {text().decode("utf-8", "replace"): text() for _ in range(n)}
 
-    attrs = mapping()
+    attrs = pairs()
     (n,) = struct.unpack_from("<Q", own, size - end - 16)
-    per_frame = [mapping() for _ in range(n)]
+    per_frame = [pairs() for _ in range(n)]
     return attrs, per_frame, list(struct.unpack_from(f"<{n}q", own, at)), size
 
 

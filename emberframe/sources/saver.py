@@ -137,9 +137,10 @@ class Saver:
         self.opened = False
 
 
-def convert(spark: SparkSession, source: str, target: str, codec: str = "zstd", first: int = 0, count: int = -1) -> None:
-    """Movies of one format into files of another, of the same names: frames first to first + count (-1: all), with all attributes."""
-    more = {} if count < 0 else {"last": first + count - 1}
+def convert(spark: SparkSession, source: str, target: str, codec: str = "zstd", first: int = 0, count: int = -1, missing_only: bool = False) -> None:
+    """Movies of one format into files of another, of the same names: frames first to first + count (-1: all), with all attributes.
+    missing_only: movies that the target has already are not read; otherwise they are replaced."""
+    more = ({} if count < 0 else {"last": first + count - 1}) | ({"unless": target} if missing_only else {})
     frames = datasource.from_files(spark, source, first=first, **more)
     named = frames.withColumn("movie_id", F.regexp_replace(F.element_at(F.split("movie_id", "/"), -1), r"\.[^.]*$", ""))
     datasource.to_files(named.withColumn("pos", F.col("pos") - first), target, "overwrite", codec=codec)
