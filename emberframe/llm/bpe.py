@@ -125,8 +125,11 @@ class _Pieces(dict):
         return found
 
 
-def _stream(text: str, pieces: _Pieces) -> np.ndarray:
+def _stream(text: str, pieces: _Pieces, by_spaces: bool = True) -> np.ndarray:
+    """by_spaces: a space before anything but white space begins a pre-token, which holds for the given pattern only."""
     number, cut = pieces.number, pieces.cut
+    if not by_spaces:
+        return np.array([number[m] for m in cut(text)], np.uint32)
     first, *rest = text.split(" ")
     try:
         return np.array([number[w] for w in cut(first)] + list(chain.from_iterable(map(pieces.__getitem__, rest))), np.uint32)
@@ -183,7 +186,8 @@ def _cut(split_pattern: str, buckets: int, kind: pa.DataType):
         import regex
         from pyspark import TaskContext
 
-        cut = regex.compile(split_pattern).findall
+        finder, by_spaces = regex.compile(split_pattern), split_pattern == pattern()
+        cut = finder.findall if by_spaces else lambda t: [m[0] for m in finder.finditer(t)]  # noqa: E731  groups of others don't matter
         task = TaskContext.get()
         chunk, size = (task.partitionId() if task else 0) << 32, 0
         pieces = _Pieces(_Numbers(), cut)
@@ -199,7 +203,7 @@ def _cut(split_pattern: str, buckets: int, kind: pa.DataType):
                     chunk, size, ids, streams, held = chunk + 1, 0, [], [], 0
                     pieces = _Pieces(_Numbers(), cut)
                 ids.append(doc_id.as_py())
-                streams.append(_stream(text, pieces))
+                streams.append(_stream(text, pieces, by_spaces))
                 size += len(text)
                 held += len(streams[-1])
                 if held >= BLOCK:
@@ -328,7 +332,8 @@ def _by_chunk(docs: DataFrame, path: str, split_pattern: str, digests: bool) ->
 
 
 def encode(docs: DataFrame, path: str | None = None, split_pattern: str | None = None) -> DataFrame:
-    """doc_id, ids: the ids of every whole text, each pre-token encoded by itself, without special tokens."""
+    """doc_id, ids: the ids of every whole text, each pre-token encoded by itself, without special tokens. What a pattern of one's
+    own does not match has no ids; texts are then cut as a whole, not by spaces."""
     return _by_chunk(docs, path or vocabulary(), split_pattern or pattern(), False)
 
 

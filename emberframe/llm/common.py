@@ -24,11 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of our own if Spark runs in
     one machine, and else one in the warehouse, as a cluster's machines don't see each other's temporary folders."""
     if not (base := spark.conf.get("spark.checkpoint.dir", None)):
-        if spark.sparkContext.master.startswith("local"):
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # one process; local-cluster has several
             import tempfile
 
             base = tempfile.mkdtemp(prefix="shared-")
-            spark.sparkContext.setCheckpointDir(base)
         else:
             base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.scratch"
     return base.rstrip("/")
