@@ -11,8 +11,8 @@ Equal texts are one set. Sets are light up to a size and heavy beyond it:
 * heavy sets look for partners in the inverted lists of their elements. In a common order of all elements, sets that are linked
   share one of the first n - ceil(n PERCENT / 100) + 1 of both, so that only these have lists. The order puts first what few
   documents have, by a sketch of the number of documents over the whole corpus: however rough this is, the result is exact.
-  Lists also hold the light sets that may be partners of heavy ones. All that meet in a list are compared or are in one class
-  already (components.linked), without all pairs of a long list being written.
+  Lists also hold the light sets that may be partners of heavy ones. Of lists of the same sets one is scanned. All that meet in a list are compared or are in one class
+  already (components.linked), without all pairs of a long list being written; before elements are compared, PARITIES bits of each set bound what two can share.
 
 The size up to which sets are light is the one of least cost: the rows of subsets against those of lists, of which each costs
 SCAN times as much, as it goes through several joins; both follow from the number of sets of each size.
@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 
 from emberframe.llm.common import Scratch, by_batch
 from emberframe.llm.components import components, linked, shared
-from emberframe.llm.minhash import _WordHashes, _keyed, _mix, shingles
+from emberframe.llm.minhash import KEPT, _keyed, _mix, shingles
 
 PERCENT = 80
-BITS, SKETCH_BITS = 48, 18
+BITS, SKETCH_BITS, PARITIES = 48, 18, 1 << 10
 #: Cost of a row of a list, in rows of subsets; sizes beyond MOST_LIGHT are heavy at any cost, as subsets grow as a power of the size.
 SCAN, MOST_LIGHT = 8, 24
 #: Different elements of a tile that are compared at once.
@@ -86,9 +86,20 @@ def elements(text: str, cache: dict) -> np.ndarray:
     return np.unique(shingles(hashes) >> np.uint64(64 - BITS))
 
 
-class _Hashes(_WordHashes):
+class _Hashes(dict):
     def __missing__(self, word: bytes):
-        return super().__missing__(word.decode("utf-8", "surrogateescape"))
+        import xxhash
+
+        if len(self) > KEPT:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def parities(x: np.ndarray) -> bytes:
+    """PARITIES bits: whether an odd number of elements has a place. Sets of s and t elements whose bits differ in d places share
+    (s + t - d) / 2 at most, as each such place has an element that is in one of them only."""
+    return np.packbits(np.bincount((x >> np.uint64(BITS - 10)).astype(np.intp), minlength=PARITIES) & 1).tobytes()
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -104,16 +115,16 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def _measured(docs: DataFrame) -> DataFrame:
-    """key, n, elements of each distinct text."""
+    """key, n, elements, parities of each distinct text, and a number for it."""
 
     def run(batches):
         cache = _Hashes()
         for batch in batches:
             found = [elements(t, cache) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(x) for x in found], pa.int64()), pa.array([packed(x) for x in found], pa.binary())], ["key", "n", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(x) for x in found], pa.int64()), pa.array([packed(x) for x in found], pa.binary()), pa.array([parities(x) for x in found], pa.binary())], ["key", "n", "elements", "parities"])
 
-    sets = by_batch(_keyed(docs).select("key", "text"), run, "key binary, n long, elements binary")
-    return sets.groupBy("key").agg(F.first("n").alias("n"), F.first("elements").alias("elements")).withColumn("id", F.monotonically_increasing_id())
+    sets = by_batch(_keyed(docs).select("key", "text"), run, "key binary, n long, elements binary, parities binary")
+    return sets.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "elements", "parities")]).withColumn("id", F.monotonically_increasing_id())
 
 
 def _place(x: np.ndarray) -> np.ndarray:
@@ -155,11 +166,29 @@ def lists(sets: DataFrame, often: np.ndarray, least: int) -> DataFrame:
     return by_batch(sets.where(F.col("n") >= least).select("id", "elements"), run, "rep long, lists array<long>").select("rep", F.explode("lists").alias("bucket"))
 
 
+def several(banded: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of lists (rep, bucket) those of more than one set, and of lists of the same sets one: passages that documents share have as many
+    lists as elements. Which sets a list has is told by 128 bits."""
+    own = scratch.put(banded.join(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket").select("bucket", "rep"), "several")
+    told = own.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"))
+    return own.join(told.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket", "left_semi")
+
+
 def _alike(s: Column, t: Column) -> Column:
     """Whether sets of these sizes can be linked."""
     return F.least(s, t) * 100 >= F.greatest(s, t) * PERCENT
 
 
+def _likely(batches):
+    """Of pairs (a, b, sizes, parities, keys) those that may share enough by their parities."""
+    for batch in batches:
+        s, t = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, PARITIES // 64) for c in ("parities_a", "parities_b"))
+        apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+        keep = (s + t - apart) // 2 >= -(-PERCENT * (s + t) // (100 + PERCENT))
+        yield batch.select(["a", "b", "key_a", "key_b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def linked_sizes(both, s, t):
     return 100 * both >= PERCENT * (s + t - both)
 
@@ -180,9 +209,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     s.append(both / (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["a", "b", "similarity"])
 
-    named = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("key").alias(f"key_{c}"))
+    named = lambda c: sets.select(F.col("id").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("n", "key", "parities")])
     whole = lambda c: sets.select(F.col("key").alias(f"key_{c}"), F.col("elements").alias(f"of_{c}"))
     can = pairs.hint("merge").join(named("a"), "a").hint("merge").join(named("b"), "b").where(_alike(F.col("n_a"), F.col("n_b")))
+    can = by_batch(can, _likely, "a long, b long, key_a binary, key_b binary")
     both = can.hint("merge").join(whole("a"), "key_a").select("a", "b", "key_b", "of_a").hint("merge").join(whole("b"), "key_b").select("a", "b", "of_a", "of_b")
     return by_batch(both, run, "a long, b long, similarity double")
 
@@ -264,7 +294,7 @@ def classes(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """id, component (the least id of its component) of those sets that are linked with another."""
     light = light_up_to({r.n: r.k for r in sets.where(F.col("n").between(1, MOST_LIGHT * 2)).groupBy("n").agg(F.count("*").alias("k")).collect()})
     banded = scratch.put(lists(sets, documents_of(sets), least_listed(light)), "lists")
-    members = scratch.put(shared(banded), "members")
+    members = scratch.put(shared(several(banded, scratch)), "members")
     scratch.drop(banded)
     heavy = linked(members, lambda pairs: _verified(pairs, sets), scratch, lambda tiles: _tiled(tiles, sets))
     if not light:
