@@ -5,7 +5,6 @@ position, so a task holds the fold's state, which is a few images, and a batch o
 
 from __future__ import annotations
 
-import pickle
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -14,11 +13,32 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from emberframe.streaming import ordered
+
 #: Frames that leave a task at once.
 BATCH = 64
 
 
-class Loss:
+class Fold:
+    """What is folded over the frames of a movie. SCALARS and IMAGES name the attributes that make up its state."""
+
+    SCALARS: tuple[str, ...] = ()
+    IMAGES: tuple[str, ...] = ()
+
+    def scalars(self) -> dict:
+        return {k: list(v) if isinstance(v := getattr(self, k), deque) else v for k in self.SCALARS}
+
+    def images(self) -> dict[str, np.ndarray]:
+        return {k: v for k in self.IMAGES if (v := getattr(self, k)) is not None}
+
+    def restore(self, scalars: dict, images: dict[str, np.ndarray]) -> None:
+        for k in self.SCALARS:
+            setattr(self, k, deque(scalars[k], old.maxlen) if isinstance(old := getattr(self, k), deque) else scalars[k])
+        for k in self.IMAGES:
+            setattr(self, k, images.get(k))
+
+
+class Loss(Fold):
     """Bounded-error smoothing: pixels stay at the mean of their history while they are within an error of a reference.
 
     The errors shrink by the distance of a frame's deviation from the mean of the first deviation and the last HISTORY ones,
@@ -32,6 +52,7 @@ class Loss:
     remove_bad_pixels corrects what is a bad pixel of the first frame."""
 
     HISTORY = 40
+    SCALARS, IMAGES = ("first", "last", "min_t"), ("reference", "previous", "level", "bad")
 
     def __init__(
         self, high_error: int = 2, low_error: int = 6, std_factor: float = 5.0, average: int = 0, lossy_height: int | None = None, subtract_min: bool = False, local_min: bool = False,
@@ -104,10 +125,11 @@ class Loss:
         return np.concatenate([out.astype(img.dtype), img[len(out) :]]), low, high
 
 
-class Downsampler:
+class Downsampler(Fold):
     """Adaptive decimation: keeps the maximum image since the last kept frame, when frames change or `factor` have passed."""
 
     HISTORY = 96
+    SCALARS, IMAGES = ("i", "last", "ts", "diffs"), ("previous", "maximum")
 
     def __init__(self, factor: int, factor_std: float = 0.5, lossy_height: int | None = None):
         self.factor, self.part, self.lossy_height = factor, min(max(int(factor_std * self.HISTORY), 0), self.HISTORY - 1), lossy_height
@@ -183,21 +205,34 @@ class SteadyDownsampler(Downsampler):
         return out
 
 
-class RunningAverage:
-    """Whole-number mean of each pixel's last n frames; a reset pixel has had one value all the time."""
+class RunningAverage(Fold):
+    """Whole-number mean of each pixel's last n frames; a reset pixel has had one value all the time.
+
+    Frames are kept as they came, by the number of the step modulo n (`slots`): a step adds its frame to the sum and takes off the one
+    that it replaces, as far as that counts since the pixel's last reset."""
+
+    SCALARS, IMAGES = ("t",), ("total", "since", "value")
 
     def __init__(self, n: int):
-        self.held: deque = deque(maxlen=n)
+        self.n, self.t, self.slots = n, 0, {}
+        self.total = self.since = self.value = None
 
     def add(self, img: np.ndarray) -> None:
-        self.held.append(img.astype(np.int64))
+        if self.total is None:
+            self.total, self.since, self.value = (np.zeros(img.shape, np.int64) for _ in range(3))
+        at = self.t % self.n
+        if self.t >= self.n:
+            self.total -= np.where(self.t - self.n >= self.since, self.slots[at], self.value)
+        self.slots[at] = img.copy()
+        self.total += img
+        self.t += 1
 
     def reset(self, where: np.ndarray, value: np.ndarray) -> None:
-        for old in self.held:
-            old[where] = value[where]
+        self.since[where], self.value[where] = self.t, value[where]
+        self.total[where] = min(self.t, self.n) * value[where].astype(np.int64)
 
     def mean(self) -> np.ndarray:
-        return sum(self.held) // len(self.held)
+        return self.total // min(self.t, self.n)
 
 
 LOSSY = "movie_id {}, pos int, h int, w int, px binary, low_error int, high_error int, min_t int, times binary"
@@ -266,25 +301,12 @@ def downsample(frames: DataFrame, factor: int, steady: bool = False, **options)
     return by_movie(frames, lambda: fold(factor, **options), _sampled_row, SAMPLED.format(dict(frames.dtypes)["movie_id"]))
 
 
-def _stream(frames: DataFrame, make, rows, schema: str) -> DataFrame:
-    """The same fold over a stream: state is the fold itself; frames of a trigger come sorted by pos."""
-
-    def step(key, batches, state):
-        fold = pickle.loads(state.get[0]) if state.exists else make()
-        pdf = pd.concat(list(batches))
-        out = rows(fold, pdf)
-        state.update((pickle.dumps(fold),))
-        yield out
-
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    kind = dict(frames.dtypes)["movie_id"]
-    return frames.groupBy("movie_id").applyInPandasWithState(step, schema.format(kind), "fold binary", "append", GroupStateTimeout.NoTimeout)
-
-
 def lossy_stream(frames: DataFrame, **options) -> DataFrame:
-    return _stream(frames, lambda: Loss(**options), _lossy_rows, LOSSY)
+    """As `lossy`, over a stream, with the column late; options of Loss, and `patience` and `wait` as of ordered.follow."""
+    return ordered.follow(frames, lambda o: Loss(**o), _lossy_row, LOSSY, options)
 
 
-def downsample_stream(frames: DataFrame, factor: int, **options) -> DataFrame:
-    return _stream(frames, lambda: Downsampler(factor, **options), _sampled_rows, SAMPLED)
+def downsample_stream(frames: DataFrame, factor: int, steady: bool = False, **options) -> DataFrame:
+    """As `downsample`, over a stream, with the column late."""
+    kind = SteadyDownsampler if steady else Downsampler
+    return ordered.follow(frames, lambda o: kind(factor, **o), _sampled_row, SAMPLED, options)

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
 from emberframe.functions.images import gaussian, translate
-from emberframe.streaming import folds
+from emberframe.streaming import folds, ordered
 
 
 class NotConverged(RuntimeError):
@@ -46,7 +45,7 @@ def ecc_translation(template: np.ndarray, img: np.ndarray, start: tuple[float, f
         if not norm or abs(np.linalg.det(hess)) < 1e-12:
             raise NotConverged("an image is flat")
         rho = float(tz @ iw / norm)
-        if abs(rho - last) < eps * 1e-3:
+        if abs(rho - last) < eps:
             return float(p[0]), float(p[1]), rho
         last = rho
         ip, tp = g @ iw, g @ tz
@@ -60,10 +59,16 @@ def ecc_translation(template: np.ndarray, img: np.ndarray, start: tuple[float, f
     return float(p[0]), float(p[1]), rho
 
 
-class Registrator:
+class Registrator(folds.Fold):
     """Follows a movie: shift and confidence of each frame against a reference, with up to five tries a frame.
 
-    mask (h, w): where it is not 0, pixels take part; pre_process: what is done to a frame before all else."""
+    mask (h, w): where it is not 0, pixels take part; pre_process: what is done to a frame before all else. With a median below 1, what
+    is above the greater of both images' values of that rank is cut in both, wherever one of them is above it. A try that does not
+    converge lowers the median by 0.01, a success sets it to 1."""
+
+    SCALARS, IMAGES = ("warp", "base", "found", "threshold", "median"), ("reference",)
+    #: Confidences from which the threshold of a new reference follows.
+    FIRST = 21
 
     def __init__(self, factor: float = 1.0, sigma: float = 1.0, median: float = 1.0, mask: np.ndarray | None = None, pre_process=None):
         self.factor, self.sigma, self.median, self.pre_process = factor, sigma, median, pre_process
@@ -82,33 +87,45 @@ class Registrator:
         return gaussian(own, self.sigma).astype(float) if self.sigma > 0 else own.astype(float)
 
     @staticmethod
-    def _scaled(img: np.ndarray, most: float | None) -> np.ndarray:
-        img = img if most is None else np.minimum(img, most)
+    def _scaled(img: np.ndarray) -> np.ndarray:
         span = img.max() - img.min()
         return (img - img.min()) / span if span else img * 0
 
+    def _ranked(self, img: np.ndarray) -> float:
+        """The least value, in whole numbers, up to which there is the median's share of the pixels that take part."""
+        values = np.sort((img if self.mask is None else img[self.mask]).astype(np.int64).ravel())
+        return float(values[max(0, int(np.floor(len(values) * self.median + 0.5)) - 1)]) if len(values) else 0.0
+
+    def _add(self, found: tuple[float, float, float]) -> None:
+        """Remembers the first ones, and the last."""
+        self.found = [*self.found[: self.FIRST - 1], found] if len(self.found) >= self.FIRST else [*self.found, found]
+
     def step(self, img: np.ndarray) -> tuple[float, float, float]:
         own = self._crop(img)
         if self.reference is None:
             self.reference = own
             self.found.append((0.0, 0.0, 1.0))
             return self.found[-1]
-        median = self.median
         for _ in range(5):
-            most = max(np.quantile(own, median), np.quantile(self.reference, median)) if median < 1 else None
+            one, two = self.reference, own
+            if self.median < 1:
+                most = max(self._ranked(one), self._ranked(two))
+                above = (one > most) | (two > most)
+                one, two = np.where(above, most, one), np.where(above, most, two)
             try:
-                x, y, rho = ecc_translation(self._scaled(self.reference, most), self._scaled(own, most), self.warp, mask=self.mask)
+                x, y, rho = ecc_translation(self._scaled(one), self._scaled(two), self.warp, mask=self.mask)
+                self.median = 1.0 if self.median < 1 else self.median
                 break
             except NotConverged:
-                median -= 0.01
+                self.median -= 0.01
         else:
-            self.found.append(self.found[-1])
-            return self.found[-1]
+            self._add(self.found[-1])
+            return tuple(self.found[-1])
         self.warp = (x, y)
         out = (self.base[0] + x, self.base[1] + y, rho)
-        self.found.append(out)
+        self._add(out)
         rhos = [r for *_, r in self.found]
-        if len(rhos) > 20:
+        if self.threshold is not None or len(rhos) >= self.FIRST:
             self.threshold = min(rhos) - 2 * float(np.std(rhos)) if self.threshold is None else self.threshold
             if rho < self.threshold:
                 self.reference, self.base, self.warp = translate(own, -x, -y), (0.0, 0.0), (0.0, 0.0)
@@ -128,9 +145,5 @@ def register(frames: DataFrame, **options) -> DataFrame:
 
 
 def register_stream(frames: DataFrame, **options) -> DataFrame:
-    """The same over a stream; the state is the registrator of each movie."""
-
-    def rows(fold: Registrator, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([_registered_row(fold, r) for r in pdf.sort_values("pos").itertuples(index=False)], columns=["movie_id", "pos", "dx", "dy", "confidence"])
-
-    return folds._stream(frames, lambda: Registrator(**options), rows, REGISTERED)
+    """The same over a stream, with the column late; also `patience` and `wait` as of ordered.follow."""
+    return ordered.follow(frames, lambda o: Registrator(**o), _registered_row, REGISTERED, options)
