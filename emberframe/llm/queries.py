@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from emberframe.llm import bpe, chat, decontaminate, infill, jaccard, lines, minhash, mining, pii, quality, secrets, spotsigs, toxicity
 from emberframe.llm import common
+from emberframe.llm import pipeline as pipelines
 from emberframe.llm.common import small_batches
 
 
@@ -67,9 +68,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return pipelines.run(spark, sf_dir)
 
 
 def queries():

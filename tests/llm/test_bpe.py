@@ -44,3 +44,12 @@ def test_documents_that_come_from_a_shuffle_in_small_chunks(spark, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK", 40)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6, F.rand())
     assert sorted(map(tuple, bpe.report(df).collect()), key=repr) == expected(docs)
+
+
+def test_other_patterns_lose_nothing(spark):
+    texts = ["hello there world", " a  b ", "", None, "x\ty"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for pattern in (r"\S+\s*|\s+", r"(\w)|\W", r"."):
+        own = docs if pattern != "." else docs.where("doc_id != 99")
+        back = {r.doc_id: bytes(r.bytes) for r in bpe.decode(bpe.encode(own, split_pattern=pattern)).collect()}
+        assert back == {i: (t or "").encode() for i, t in enumerate(texts)}

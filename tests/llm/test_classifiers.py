@@ -126,3 +126,18 @@ def test_labels_that_repeat_and_texts_that_repeat(spark):
     twice = docs.unionByName(docs.where("doc_id = 7").withColumn("text", F.lit("another text of seven")))
     more = labels.unionByName(labels.where("doc_id < 20"))
     assert quality.score(twice, more).count() == twice.count() and toxicity.report(twice, more).count() == twice.count()
+
+
+def test_one_long_text_keeps_no_other_out(spark):
+    import pytest
+    from emberframe.llm import labelled
+
+    for long_id in range(12):
+        rows = [(i, "x" * (1001 if i == long_id else 60)) for i in range(50)]
+        docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+        found = labelled.sample(docs, labels, "toxic", 100, most_chars=1000)
+        assert len(found) == 16 and all(len(t) == 60 for t, _ in found)
+    assert len(labelled.sample(docs, labels, "toxic", 100, most_chars=5000)) == 50
+    with pytest.raises(ValueError, match="no labelled text"):
+        labelled.sample(docs, labels, "toxic", 100, most_chars=50)
+    assert labelled.sample(docs.where("false"), labels, "toxic", 100) == []

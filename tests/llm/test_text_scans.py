@@ -149,3 +149,33 @@ def test_an_item_without_an_id_is_an_empty_string(spark):
     bench = spark.createDataFrame([(None, "b"), (7, "c")], "item_id long, text string")
     (row,) = decontaminate.hits(docs, bench).collect()
     assert row["items"] == ["", "7"]
+
+
+@pytest.mark.parametrize("block_bytes, chunk", [(1 << 22, 1 << 25), (60, 1 << 25), (60, 100)])
+def test_spans_of_random_texts(spark, monkeypatch, block_bytes, chunk):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(decontaminate, "CHUNK_CHARS", chunk)
+    r = random.Random(11)
+    text = lambda n: "".join(r.choice(["a", "B", "é", "Ü1", "中文", "c"]) + r.choice([" ", ", ", "\n", "-", "…", " 😀 "]) for _ in range(n))
+    items = [text(n) for n in (1, 3, 12, 14)] + [None, ""]
+    texts = [text(r.randrange(50)) + (items[r.randrange(4)] if r.random() < 0.5 else "") + text(r.randrange(20)) for _ in range(80)] + [None, "", "a", "x " * 60_000 + items[2]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {x.doc_id: x.spans for x in decontaminate.report(docs, bench).collect()}
+    for i, t in enumerate(texts):
+        at = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "")]
+        w, hit = [lower(t[a:b]) for a, b in at], set()
+        for it in items:
+            own = WORDS.findall(lower(it))
+            n = min(10, len(own))
+            for k in range(len(own) - n + 1 if own else 0):
+                for j in range(len(w) - n + 1):
+                    if w[j : j + n] == own[k : k + n]:
+                        hit.update(range(j, j + n))
+        runs = []
+        for j in sorted(hit):
+            if runs and runs[-1][1] == j - 1:
+                runs[-1][1] = j
+            else:
+                runs.append([j, j])
+        assert got[i] == ",".join(f"{at[a][0]}:{at[b][1]}" for a, b in runs)
