@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+#: Rows of a batch that leaves a kernel.
+ROWS = 1 << 16
+
 
 def translate(img: np.ndarray, dx: float, dy: float, strategy: str = "", background: float = 0) -> np.ndarray:
     """Content moves by (dx, dy): bilinear inside, cut towards zero. Outside: '' or 'noborder' keeps the input, 'constant' or
@@ -121,15 +124,29 @@ def map_frames(frames: DataFrame, kernel: Callable[[np.ndarray, dict], np.ndarra
     return frames.mapInPandas(run, frames.schema)
 
 
+def _together(items: Iterable, size: Callable[[object], int]) -> Iterator[list]:
+    """Items in lists of ROWS rows or more, so that small frames don't make a batch each."""
+    held, n = [], 0
+    for item in items:
+        held.append(item)
+        n += size(item)
+        if n >= ROWS:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def pixels_of(frames: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], kind: str = "int") -> DataFrame:
     """frame, y, x, px of what the kernel makes of each packed frame (frame, h, w, px)."""
 
     def run(batches):
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                out = kernel(np.frombuffer(r.px, "<u2").reshape(r.h, r.w))
-                y, x = np.indices(out.shape).reshape(2, -1)
-                yield pd.DataFrame({"frame": r.frame, "y": y, "x": x, "px": out.ravel()})
+            made = ((r.frame, kernel(np.frombuffer(r.px, "<u2").reshape(r.h, r.w))) for r in batch.itertuples(index=False))
+            for some in _together(made, lambda own: own[1].size):
+                places = [np.indices(out.shape).reshape(2, -1) for _, out in some]
+                frame = np.repeat(np.array([f for f, _ in some]), [out.size for _, out in some])
+                yield pd.DataFrame({"frame": frame, "y": np.concatenate([y for y, _ in places]), "x": np.concatenate([x for _, x in places]), "px": np.concatenate([out.ravel() for _, out in some])})
 
     return frames.mapInPandas(run, f"frame {dict(frames.dtypes)['frame']}, y int, x int, px {kind}")
 
@@ -139,9 +156,8 @@ def bad_pixels_of(frames: DataFrame, k: float = 5.0) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                found = bad_pixels(np.frombuffer(r.px, "<u2").reshape(r.h, r.w), k)
-                yield pd.DataFrame({"frame": [r.frame] * len(found), "y": [y for y, _ in found], "x": [x for _, x in found]})
+            found = [(r.frame, y, x) for r in batch.itertuples(index=False) for y, x in bad_pixels(np.frombuffer(r.px, "<u2").reshape(r.h, r.w), k)]
+            yield pd.DataFrame(found, columns=["frame", "y", "x"])
 
     return frames.mapInPandas(run, f"frame {dict(frames.dtypes)['frame']}, y int, x int")
 

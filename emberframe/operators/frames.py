@@ -211,6 +211,39 @@ def flip(pixels: DataFrame, w: int, h: int, left_right: bool, up_down: bool) ->
     return pixels.select("frame", y.alias("y"), x.alias("x"), "px")
 
 
+def islands(df: DataFrame, by: list[str], order: str, flag: Column, width: int | None = None) -> DataFrame:
+    """df with `island`: how many flagged rows come up to each row, in order of a whole-number column. width: the ranges of that column
+    by which a series is dealt to tasks; counts of ranges are added up by themselves."""
+    marked = df.withColumn("_flag", F.when(flag, 1).otherwise(0))
+    upto = lambda *keys: F.sum("_flag").over(Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    if width is None:
+        return marked.withColumn("island", upto(*by)).drop("_flag")
+    marked = marked.withColumn("_cell", F.floor(F.col(order) / F.lit(width)))
+    each = marked.groupBy(*by, "_cell").agg(F.sum("_flag").alias("own"))
+    earlier = each.select(*by, "_cell", F.coalesce(F.sum("own").over(Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
+    return marked.withColumn("island", upto(*by, "_cell")).join(earlier, [*by, "_cell"]).withColumn("island", F.col("island") + F.col("_earlier")).drop("_flag", "_cell", "_earlier")
+
+
+def running_average_with_resets(series: DataFrame, n: int, value: str, reset: Column, by: tuple[str, ...] = ("movie_id",), order: str = "pos", width: int | None = None) -> DataFrame:
+    """series with `mean`: the whole-number mean of the last n values, of which those before the last reset count as the value at it.
+
+    `order` counts rows from 0 without gaps. Resets make islands; in its island a row sums the last n values, and what is missing to
+    n, or to as many as there are yet, has the island's first value. width: the ranges of `order`, of n rows at least, by which a
+    series is dealt to tasks; a range also gets the n - 1 rows before it, which tell all that matters of what was earlier."""
+    if width is not None and width < n:
+        raise ValueError("ranges are of n rows at least")
+    own = series.withColumns({"_reset": F.coalesce(reset, F.lit(False)), "_cell": F.lit(0).cast("long") if width is None else F.floor(F.col(order) / F.lit(width)), "_own": F.lit(True)})
+    if width is not None:
+        ahead = own.where(F.col(order) % width >= width - (n - 1)).withColumns({"_cell": F.col("_cell") + 1, "_own": F.lit(False)})
+        own = own.unionByName(ahead)
+    marked = own.withColumn("_island", F.sum(F.when(F.col("_reset"), 1).otherwise(0)).over(Window.partitionBy(*by, "_cell").orderBy(order)))
+    recent = Window.partitionBy(*by, "_cell", "_island").orderBy(order).rowsBetween(-(n - 1), 0)
+    first = F.first(value).over(Window.partitionBy(*by, "_cell", "_island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    held = F.least(F.col(order) + 1, F.lit(n))
+    total = F.sum(value).over(recent) + (held - F.count(F.lit(1)).over(recent)) * first
+    return marked.withColumn("mean", F.floor(total / held).cast("long")).where("_own").drop("_reset", "_cell", "_own", "_island")
+
+
 def running_average(pixels: DataFrame, n: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Whole-number mean of each pixel's last n frames. by: the columns that name the movie; none where all pixels are of one."""
     w = Window.partitionBy(*by, "y", "x").orderBy("frame").rowsBetween(-(n - 1), 0)

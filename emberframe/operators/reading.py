@@ -161,9 +161,31 @@ def read_image(img: np.ndarray, o: ReadOptions, bad: list[tuple[int, int]] = (),
     return np.concatenate([image, out[len(image) :]])
 
 
-def read_frames(frames: DataFrame, options: ReadOptions, translations: DataFrame | None = None) -> DataFrame:
-    """Frames (movie_id, pos, h, w, px) through the pipeline. Bad pixels are those of each movie's first frame, which comes to
-    the movie's other frames by a join; translations (movie_id, pos, dx, dy) join by frame."""
+def bad_pixels_by_movie(frames: DataFrame) -> DataFrame:
+    """movie_id, bad (y * w + x) of each movie's first frame among these. Frames with the header of an HCC camera, which corrects its
+    own bad pixels, have none."""
+    from pyspark.sql import functions as F
+
+    if "attrs" in frames.columns:
+        frames = frames.where(~F.coalesce(F.map_contains_key("attrs", F.lit("ImageHeaderLength")), F.lit(False)))
+    least = frames.groupBy("movie_id").agg(F.min("pos").alias("pos"))  # of this, a source reads no pixel
+    first = frames.select("movie_id", "pos", "h", "w", "px").join(least, ["movie_id", "pos"]).dropDuplicates(["movie_id"])
+
+    def detect(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                img = np.frombuffer(r.px, "<u2").reshape(r.h, r.w)
+                out.append((r.movie_id, [y * r.w + x for y, x in bad_pixels(img[:-META_ROWS])]))
+            yield pd.DataFrame(out, columns=["movie_id", "bad"])
+
+    return first.select("movie_id", "h", "w", "px").mapInPandas(detect, f"movie_id {dict(frames.dtypes)['movie_id']}, bad array<int>")
+
+
+def read_frames(frames: DataFrame, options: ReadOptions, translations: DataFrame | None = None, bad: DataFrame | None = None) -> DataFrame:
+    """Frames (movie_id, pos, h, w, px) through the pipeline. Bad pixels (movie_id, bad) are by default those of the first frame that
+    each movie has here; for a part of a movie they are to be given as those of the whole (bad_pixels_by_movie). They come to the frames
+    by a join with a row a movie, which Spark broadcasts or splits by its size; translations (movie_id, pos, dx, dy) join by frame."""
     from pyspark.sql import functions as F
 
     own = frames.select("movie_id", "pos", "h", "w", "px")
@@ -172,17 +194,7 @@ def read_frames(frames: DataFrame, options: ReadOptions, translations: DataFrame
     else:
         own = own.withColumns({"dx": F.lit(None).cast("double"), "dy": F.lit(None).cast("double")})
     if options.correct_bad:
-        first = own.where("pos = 0").select("movie_id", "h", "w", "px")
-
-        def detect(batches):
-            for batch in batches:
-                out = []
-                for r in batch.itertuples(index=False):
-                    img = np.frombuffer(r.px, "<u2").reshape(r.h, r.w)
-                    out.append((r.movie_id, [y * r.w + x for y, x in bad_pixels(img[:-META_ROWS])]))
-                yield pd.DataFrame(out, columns=["movie_id", "bad"])
-
-        own = own.join(first.mapInPandas(detect, f"movie_id {dict(frames.dtypes)['movie_id']}, bad array<int>"), "movie_id", "left")
+        own = own.join(bad if bad is not None else bad_pixels_by_movie(frames), "movie_id", "left")
     else:
         own = own.withColumn("bad", F.array().cast("array<int>"))
 

@@ -10,7 +10,7 @@ from emberframe.functions import images
 from emberframe.operators import frames as fr
 from emberframe.operators import labels
 from emberframe.plans.registry import query
-from emberframe.plans.tables import BAD, PX, packed, pixels
+from emberframe.plans.tables import BAD, PX, packed, pixels, read
 
 W = f"WITH {PX} "
 
@@ -142,6 +142,28 @@ def split_deviation(spark, d):
     return fr.split_deviation(p, fr.background(p))
 
 
+#: Calibrations of movies by label: of parts, levels by key and temperatures as the cents that they cost up to there.
+_TABLES = "k AS (SELECT (p_partkey % 10)::INTEGER AS movie_id, (p_partkey * 37 % 8192)::INTEGER AS dl, sum(round(p_retailprice * 100)::BIGINT)::BIGINT AS cents FROM part GROUP BY 1, 2), tab AS (SELECT movie_id, dl, sum(cents) OVER (PARTITION BY movie_id ORDER BY dl)::BIGINT / 1000.0::DOUBLE AS t FROM k)"
+
+
+@query("c4_calibration_tables", "WITH " + PX + ", " + _TABLES + """, v AS (SELECT p.frame, p.y, p.x, e.label AS movie_id, p.px FROM px p JOIN embeddings e ON e.vec_id = p.frame),
+a AS (SELECT v.*, s.dl AS d0, s.t AS t0 FROM v ASOF LEFT JOIN tab s ON v.movie_id = s.movie_id AND v.px >= s.dl), b AS (SELECT a.*, s.dl AS d1, s.t AS t1 FROM a ASOF LEFT JOIN tab s ON a.movie_id = s.movie_id AND a.px < s.dl),
+w AS (SELECT *, CASE WHEN d0 IS NULL THEN t1 WHEN d1 IS NULL THEN t0 ELSE t0 + (t1 - t0) * ((px - d0)::DOUBLE / (d1 - d0)) END AS temperature FROM b),
+c AS (SELECT w.*, s.dl AS e0, s.t AS u0 FROM w ASOF LEFT JOIN tab s ON w.movie_id = s.movie_id AND w.temperature >= s.t), d AS (SELECT c.*, s.dl AS e1, s.t AS u1 FROM c ASOF LEFT JOIN tab s ON c.movie_id = s.movie_id AND c.temperature < s.t)
+SELECT frame, y, x, round(temperature, 6) AS temperature, floor(CASE WHEN e0 IS NULL THEN e1 WHEN e1 IS NULL THEN e0 ELSE e0 + (e1 - e0) * ((temperature - u0) / (u1 - u0)) END + 0.5)::INTEGER AS level FROM d""")
+def calibration_tables(spark, d):
+    from pyspark.sql import Window
+
+    from emberframe.operators import calibration
+
+    part = read(spark, d, "part").groupBy((F.col("p_partkey") % 10).cast("int").alias("movie_id"), (F.col("p_partkey") * 37 % 8192).cast("int").alias("dl")).agg(F.sum(F.round(F.col("p_retailprice") * 100).cast("long")).alias("cents"))
+    table = part.select("movie_id", F.lit(0).alias("ti"), "dl", (F.sum("cents").over(Window.partitionBy("movie_id").orderBy("dl")) / F.lit(1000.0)).alias("t"))
+    tables = calibration.lookups(table)
+    labels = read(spark, d, "embeddings").select(F.col("vec_id").alias("frame"), F.col("label").alias("movie_id"))
+    warm = calibration.of_pixels(pixels(spark, d).join(labels, "frame"), tables)
+    return calibration.to_levels(warm, tables).select("frame", "y", "x", F.round("temperature", 6).alias("temperature"), "level")
+
+
 @query("t7_running_average", W + "SELECT frame, y, x, (sum(px) OVER w // count(px) OVER w)::BIGINT AS mean FROM px WINDOW w AS (PARTITION BY y, x ORDER BY frame ROWS BETWEEN 31 PRECEDING AND CURRENT ROW)")
 def running_average(spark, d):
     return fr.running_average(pixels(spark, d), 32)

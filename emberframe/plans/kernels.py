@@ -134,7 +134,6 @@ _poly("g8_extract_polygon", "points string", lambda p: (_shape(polygons.extract_
 _poly("g9_extract_polygons", "shapes string", lambda p: ("|".join(f"{v}:{_shape(r)}" for v, r in polygons.extract_polygons(polygons.draw(polygons.draw(np.zeros((100, 100), np.int32), p, 1), p / 2, 2)).items()),))
 _poly("g11_minimum_area_box", "cx double, cy double, width double, height double", lambda p: tuple(round(polygons.minimum_area_box(p)[k], 6) for k in ("cx", "cy", "width", "height")))
 _POINTS = f"WITH {tables.POINTS} "
-_poly("g4_fill_pixels", "n long", lambda p: (len(polygons.fill_pixels(p, 100, 100)),), _POINTS + tables.COVERED + "SELECT poly_id, count(*) AS n FROM covered GROUP BY poly_id")
 _poly("g16_without_collinear", "points string", lambda p: (_shape(polygons.without_collinear(p)),), _POINTS + """, k AS (
   SELECT e.poly_id, e.pos, e.x, e.y, (e.x - p.x) * (e.ny - e.y) - (e.y - p.y) * (e.nx - e.x) AS turn FROM edges e JOIN edges p ON p.poly_id = e.poly_id AND p.pos = (e.pos + e.n - 1) % e.n)
 SELECT poly_id, coalesce(string_agg(x::INTEGER || ',' || y::INTEGER, ';' ORDER BY pos) FILTER (turn <> 0), '') AS points FROM k GROUP BY poly_id""")
@@ -158,6 +157,35 @@ def hull(spark, d):
     return tables.polygons(spark, d).mapInPandas(each, "poly_id long, x double, y double")
 
 
+_RUNS = """, o AS (SELECT *, x - row_number() OVER (PARTITION BY poly_id, y ORDER BY x) AS island FROM covered)
+SELECT poly_id, y, min(x) AS a, max(x) AS b FROM o GROUP BY poly_id, y, island"""
+
+
+@query("g4_fill_pixels", _POINTS + tables.COVERED + _RUNS)
+def filled(spark, d):
+    from emberframe.operators import raster
+
+    return raster.spans(tables.polygons(spark, d), 100, 100)
+
+
+#: Polygons in frames of 8 x 8, for movies by label.
+_SMALL = f"WITH {tables.EV}, pts AS (SELECT movie_id AS poly_id, pos, (event_id % 8)::DOUBLE AS x, (event_id * 7 // 8 % 8)::DOUBLE AS y, count(*) OVER (PARTITION BY movie_id) AS n FROM ev), edges AS (SELECT a.poly_id, a.pos, a.n, a.x, a.y, b.x AS nx, b.y AS ny FROM pts a JOIN pts b ON a.poly_id = b.poly_id AND b.pos = (a.pos + 1) % a.n)"
+
+
+@query("g24_values_in_regions", _SMALL + tables.COVERED + ", " + tables.PX + """, m AS (SELECT p.*, e.label AS movie_id FROM px p JOIN embeddings e ON e.vec_id = p.frame)
+SELECT m.movie_id, m.frame, c.poly_id, count(*) AS n, round(avg(px), 6) AS mean, max(px) AS max FROM m JOIN covered c ON c.poly_id % 10 = m.movie_id AND c.y = m.y AND c.x = m.x GROUP BY ALL""")
+def values_in_regions(spark, d):
+    from emberframe.operators import raster
+
+    e = tables.events(spark, d)
+    pt = F.struct("pos", (F.col("event_id") % 8).cast("double").alias("x"), (F.floor(F.col("event_id") * 7 / 8) % 8).cast("double").alias("y"))
+    shapes = e.groupBy(F.col("movie_id").alias("poly_id")).agg(F.array_sort(F.collect_list(pt)).alias("p"))
+    shapes = shapes.select((F.col("poly_id") % 10).cast("int").alias("movie_id"), "poly_id", F.transform("p", lambda a: F.struct(a["x"].alias("x"), a["y"].alias("y"))).alias("pts"))
+    labels = tables.read(spark, d, "embeddings").select(F.col("vec_id").alias("frame"), F.col("label").alias("movie_id"))
+    own = raster.region_values(tables.pixels(spark, d).join(labels, "frame"), shapes, 8, 8)
+    return own.withColumn("mean", F.round("mean", 6))
+
+
 @query("g5_covered_pixels", _POINTS + tables.COVERED + "SELECT poly_id, y, x FROM covered")
 def covered(spark, d):
     from emberframe.operators import raster

@@ -27,13 +27,31 @@ def intersection(spark, d):
     return sr.extract_times(_days(spark, d), sr.Strategy.INTERSECTION)
 
 
+#: The same with every 13th event without a time; such an event ends a vector.
+SPLIT = f"WITH {EV}, days AS (SELECT movie_id AS series_id, pos, CASE WHEN event_id % 13 = 0 THEN NULL ELSE floor(t / 86400000000)::DOUBLE END AS t FROM ev), parts AS (SELECT *, count(*) FILTER (t IS NULL) OVER (PARTITION BY series_id ORDER BY pos) AS part FROM days), k AS (SELECT t, row_number() OVER (PARTITION BY series_id, part, t ORDER BY t) AS again FROM parts WHERE t IS NOT NULL) "
+
+
+@query("t3_times_of_split_vectors", SPLIT + "SELECT t FROM (SELECT DISTINCT t, again FROM k)")
+def split_vectors(spark, d):
+    t = F.when(F.col("event_id") % 13 == 0, F.lit(float("nan"))).otherwise(F.floor(F.col("t") / 86_400_000_000).cast("double"))
+    return sr.extract_times(events(spark, d).select(F.col("movie_id").alias("series_id"), "pos", t.alias("t")), order="pos", width=64)
+
+
+@query("t7_running_average_resets", f"WITH {EV}, v AS (SELECT movie_id, pos, event_id % 1000 AS v, event_type = (SELECT min(event_type) FROM events) AS reset FROM ev), r AS (SELECT *, max(pos) FILTER (reset) OVER (PARTITION BY movie_id ORDER BY pos) AS at FROM v), j AS (SELECT a.movie_id, a.pos, CASE WHEN b.pos < a.at THEN c.v ELSE b.v END AS v FROM r a JOIN v b ON a.movie_id = b.movie_id AND b.pos BETWEEN a.pos - 4 AND a.pos LEFT JOIN v c ON c.movie_id = a.movie_id AND c.pos = a.at) SELECT movie_id, pos, sum(v)::BIGINT // count(*) AS mean FROM j GROUP BY movie_id, pos")
+def average_with_resets(spark, d):
+    from emberframe.operators import frames as fr
+
+    e = events(spark, d)
+    least = e.agg(F.min("event_type")).first()[0]
+    own = e.select("movie_id", "pos", (F.col("event_id") % 1000).cast("long").alias("v"), (F.col("event_type") == least).alias("reset"))
+    return fr.running_average_with_resets(own, 5, "v", F.col("reset"), width=64).select("movie_id", "pos", "mean")
+
+
 _NEAR = W + """, grid AS (SELECT DISTINCT s.series_id, g.t FROM (SELECT DISTINCT series_id FROM series) s, (SELECT floor(t / 10000) * 10000 AS t FROM series) g),
 p AS (SELECT g.series_id, g.t, s.t AS pt, s.v AS pv FROM grid g ASOF LEFT JOIN series s ON g.series_id = s.series_id AND g.t >= s.t),
 n AS (SELECT g.series_id, g.t, s.t AS nt, s.v AS nv FROM grid g ASOF LEFT JOIN series s ON g.series_id = s.series_id AND g.t <= s.t), b AS (SELECT * FROM p JOIN n USING (series_id, t)) """
 
 
-#: Series that a grid of all their times is made for at most; the result has a row for each time and series.
-MOST_SERIES = 1000
 #: Seconds of a series that go to one task.
 RANGE = 30 * 86_400.0
 
@@ -41,10 +59,10 @@ RANGE = 30 * 86_400.0
 def _grid(spark, d):
     s = series(spark, d)
     t = s.select((F.floor(F.col("t") / 10000) * 10000).cast("double").alias("t")).distinct()
-    ids = [r.series_id for r in s.select("series_id").distinct().limit(MOST_SERIES + 1).collect()]
-    if len(ids) > MOST_SERIES:
-        raise ValueError(f"the grid is of at most {MOST_SERIES} series")
-    return t.select(F.explode(F.array(*map(F.lit, ids))).alias("series_id"), "t")
+    # every series at every time, as the query asks: both sides are distinct values, dealt by a salt of the times
+    salts = 64
+    ids = s.select("series_id").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return t.withColumn("salt", F.pmod(F.xxhash64("t"), F.lit(salts)).cast("int")).join(ids, "salt").select("series_id", "t")
 
 
 @query("t4_resample_linear", _NEAR + "SELECT series_id, t, round(CASE WHEN pt IS NULL OR nt IS NULL THEN coalesce(pv, nv) WHEN pt = t THEN pv ELSE nv * ((t - pt) / (nt - pt)) + (1 - (t - pt) / (nt - pt)) * pv END, 6) AS v FROM b")
