@@ -209,9 +209,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     s.append(both / (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["a", "b", "similarity"])
 
-    named = lambda c: sets.select(F.col("id").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("n", "key", "parities")])
+    named = lambda c, *of: sets.select(F.col("id").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in of])
     whole = lambda c: sets.select(F.col("key").alias(f"key_{c}"), F.col("elements").alias(f"of_{c}"))
-    can = pairs.hint("merge").join(named("a"), "a").hint("merge").join(named("b"), "b").where(_alike(F.col("n_a"), F.col("n_b")))
+    can = pairs.hint("merge").join(named("a", "n"), "a").hint("merge").join(named("b", "n"), "b").where(_alike(F.col("n_a"), F.col("n_b")))
+    can = can.hint("merge").join(named("a", "key", "parities"), "a").hint("merge").join(named("b", "key", "parities"), "b")
     can = by_batch(can, _likely, "a long, b long, key_a binary, key_b binary")
     both = can.hint("merge").join(whole("a"), "key_a").select("a", "b", "key_b", "of_a").hint("merge").join(whole("b"), "key_b").select("a", "b", "of_a", "of_b")
     return by_batch(both, run, "a long, b long, similarity double")
