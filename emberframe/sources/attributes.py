@@ -103,5 +103,5 @@ def with_attributes(files: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def strings(attrs: DataFrame, column: str = "attrs") -> DataFrame:
-    """attrs with the values of a map of bytes as text."""
-    return attrs.withColumn(column, F.transform_values(column, lambda _, v: F.decode(v, "UTF-8")))
+    """attrs with the values of a map of bytes as text, without zero bytes."""
+    return attrs.withColumn(column, F.transform_values(column, lambda _, v: F.translate(F.decode(v, "UTF-8"), "\0", "")))
