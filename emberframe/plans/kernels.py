@@ -129,7 +129,6 @@ def _shape(points) -> str:
 _poly("g1_interpolate", "points string", lambda p: (_shape(polygons.interpolate(p, p[::-1] * 1.5, 0.4)),))
 _poly("g2_enclosing_simplification", "points string", lambda p: (_shape(polygons.enclosing_simplification(p, 5.0)),))
 _poly("g3_simplify_to", "points string", lambda p: (_shape(polygons.simplify_to(p, 6)),))
-_poly("g7_triangle_pixels", "n int", lambda p: (len(polygons.fill_triangle(*p[[0, len(p) // 3, 2 * len(p) // 3]], 100, 100)),))
 _poly("g8_extract_polygon", "points string", lambda p: (_shape(polygons.extract_polygon(polygons.draw(np.zeros((100, 100), np.int32), p, 1), 1)),))
 _poly("g9_extract_polygons", "shapes string", lambda p: ("|".join(f"{v}:{_shape(r)}" for v, r in polygons.extract_polygons(polygons.draw(polygons.draw(np.zeros((100, 100), np.int32), p, 1), p / 2, 2)).items()),))
 _poly("g11_minimum_area_box", "cx double, cy double, width double, height double", lambda p: tuple(round(polygons.minimum_area_box(p)[k], 6) for k in ("cx", "cy", "width", "height")))
@@ -168,6 +167,22 @@ def filled(spark, d):
     return raster.spans(tables.polygons(spark, d), 100, 100)
 
 
+@query("g7_triangle_pixels", _POINTS + """, three AS (SELECT poly_id, x::INTEGER AS x, y::INTEGER AS y, row_number() OVER (PARTITION BY poly_id ORDER BY y, x) AS k FROM (
+  SELECT poly_id, x, y FROM pts WHERE pos = 0 UNION ALL SELECT poly_id, x, y FROM pts WHERE pos = n // 3 UNION ALL SELECT poly_id, x, y FROM pts WHERE pos = 2 * n // 3)),
+t AS (SELECT a.poly_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, c.x AS x3, c.y AS y3, CASE WHEN c.y > a.y THEN trunc(a.x + (b.y - a.y)::DOUBLE / (c.y - a.y) * (c.x - a.x))::INTEGER ELSE c.x END AS cut
+  FROM three a JOIN three b ON b.poly_id = a.poly_id AND b.k = 2 JOIN three c ON c.poly_id = a.poly_id AND c.k = 3 WHERE a.k = 1),
+parts AS (SELECT poly_id, y1 AS y0, x1 AS x0, y2 AS ye, x2 AS l, cut AS r FROM t WHERE y1 < y2 UNION ALL SELECT poly_id, y3, x3, y2, x2, cut FROM t WHERE y2 < y3 UNION ALL SELECT poly_id, y1, x1, y1, x1, x3 FROM t WHERE y1 = y3),
+lines AS (SELECT *, unnest(range(greatest(least(y0, ye), 0), least(greatest(y0, ye), 99) + 1))::INTEGER AS y FROM parts),
+ends AS (SELECT poly_id, y, CASE WHEN y0 = ye THEN l ELSE round(x0 + (l - x0)::DOUBLE / (ye - y0) * (y - y0))::INTEGER END AS p, CASE WHEN y0 = ye THEN r ELSE round(x0 + (r - x0)::DOUBLE / (ye - y0) * (y - y0))::INTEGER END AS q FROM lines),
+covered AS (SELECT DISTINCT poly_id, y, unnest(range(greatest(least(p, q), 0), least(greatest(p, q), 99) + 1))::INTEGER AS x FROM ends)""" + _RUNS)
+def triangles(spark, d):
+    from emberframe.operators import raster
+
+    corner = lambda k: F.element_at("pts", F.expr(f"int({k} * size(pts) div 3)") + 1)
+    own = tables.polygons(spark, d).select("poly_id", F.array(corner(0), corner(1), corner(2)).alias("pts"))
+    return raster.triangle_spans(own, 100, 100)
+
+
 #: Polygons in frames of 8 x 8, for movies by label.
 _SMALL = f"WITH {tables.EV}, pts AS (SELECT movie_id AS poly_id, pos, (event_id % 8)::DOUBLE AS x, (event_id * 7 // 8 % 8)::DOUBLE AS y, count(*) OVER (PARTITION BY movie_id) AS n FROM ev), edges AS (SELECT a.poly_id, a.pos, a.n, a.x, a.y, b.x AS nx, b.y AS ny FROM pts a JOIN pts b ON a.poly_id = b.poly_id AND b.pos = (a.pos + 1) % a.n)"
 

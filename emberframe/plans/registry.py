@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from emberframe.plans import geometry, helpers, images, kernels, movies, sequences  # noqa: F401  they register themselves
+    from emberframe.plans import files, geometry, helpers, images, kernels, movies, sequences  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
