@@ -23,6 +23,10 @@ def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.report(read(spark, sf_dir, "documents"))
 
 
+def spotsigs_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.classes(read(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read(spark, sf_dir, "documents"))
 
@@ -72,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {k: f for k, f in globals().items() if k.startswith("op") or k == "pipeline"}
+    return {k: f for k, f in globals().items() if k.startswith("op") or k in ("pipeline", "spotsigs_classes")}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -22,8 +22,11 @@ from pyspark.sql import functions as F
 
 from emberframe.llm.common import Scratch, parts
 from emberframe.llm.components import linked, shared
+from emberframe.llm.jaccard import several
 
 SIMILARITY = 0.8
+#: Counters of the sketch of signatures.
+PLACES = 1 << 16
 #: Anchors: common words of English, German, French and Spanish.
 ANCHORS = (
     "a an and are as at be been but by for from had has have he her his in into is it its of on or she that the their they this to was were which will with you "
@@ -123,27 +126,53 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "sigs", shown(F.col("sigs")).alias("fingerprint"))
 
 
+def rarity(sets: DataFrame) -> DataFrame:
+    """One row: an array of PLACES counts, of the signatures that fall on each place. Of fixed size, whatever the corpus."""
+    own = sets.select(F.explode("sigs").alias("sig")).groupBy(F.pmod("sig", F.lit(PLACES)).alias("id")).agg(F.count("*").alias("n"))
+    every = sets.sparkSession.range(PLACES).join(own, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "n"))), lambda x: x["n"]).alias("counts"))
+
+
+def _near(x: Column, y: Column, similarity: float) -> Column:
+    """Whether two sets are similar; their lengths are looked at first."""
+    can = F.least(F.size(x), F.size(y)) >= F.greatest(F.size(x), F.size(y)) * F.lit(similarity)
+    return can & (F.when(can, likeness(x, y)).otherwise(F.lit(0.0)) >= similarity)
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class): near-duplicates by likeness of fingerprints."""
+    """doc_id, n_signatures, class_id (the least doc_id of its class): near-duplicates by likeness of fingerprints.
+
+    Equal sets are one. Of lists of the same sets one is looked at; in long ones classes are compared tile by tile, of which only
+    what is similar is written. Which signatures are rare is told by a sketch; any order finds all that is similar. Rows without
+    doc_id are left out; empty sets are one class."""
     scratch = Scratch(docs.sparkSession)
     known = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keyed = scratch.put(signed(known, sigs="text").select("doc_id", "sigs"), "signed").withColumn("key", F.sha2(shown(F.col("sigs")), 256))
+    keyed = scratch.put(signed(known, sigs="text").select("doc_id", "sigs").withColumn("key", F.unhex(F.sha2(shown(F.col("sigs")), 256))), "signed")
     sets = scratch.put(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sigs").alias("sigs")), "sets")
-    often = sets.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("n"))
     size = F.size("sigs")
     part = F.floor(F.log(size.cast("double")) / math.log(1 / similarity) + 1e-9).cast("int")
-    ranked = sets.where(size > 0).select("rep", size.alias("size"), part.alias("part"), F.explode("sigs").alias("sig")).join(often, "sig").groupBy("rep", "size", "part").agg(F.array_sort(F.collect_list(F.struct("n", "sig"))).alias("by"))
-    some = F.slice("by", F.lit(1), (F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - 1e-9) + 1).cast("int"))
-    dealt = ranked.select("rep", F.explode(F.array("part", F.col("part") + 1)).alias("part"), some.alias("some"))
-    banded = dealt.select("rep", "part", F.explode("some").alias("x")).select("rep", F.struct("part", F.col("x.sig").alias("sig")).alias("bucket"))
-    members = scratch.put(shared(banded), "members")
+    by = F.array_sort(F.transform("sigs", lambda s: F.struct(F.get("counts", F.pmod(s, F.lit(PLACES)).cast("int")).alias("n"), s.alias("sig"))))
+    some = F.slice(by, F.lit(1), (size - F.ceil(size * F.lit(similarity) - 1e-9) + 1).cast("int"))
+    listed = sets.where(size > 0).crossJoin(F.broadcast(rarity(sets)))  # one row of a fixed size
+    dealt = listed.select("rep", part.alias("part"), some.alias("some")).select("rep", F.explode(F.array("part", F.col("part") + 1)).alias("part"), "some")
+    banded = scratch.put(dealt.select("rep", "part", F.explode("some").alias("x")).select("rep", F.struct("part", F.col("x.sig").alias("sig")).alias("bucket")), "lists")
+    members = scratch.put(shared(several(banded, scratch)), "members")
+    scratch.drop(banded)
     own = sets.select("rep", "sigs")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(own.select(F.col("rep").alias("a"), F.col("sigs").alias("x")), "a").join(own.select(F.col("rep").alias("b"), F.col("sigs").alias("y")), "b")
-        both = both.where(F.least(F.size("x"), F.size("y")) >= F.greatest(F.size("x"), F.size("y")) * F.lit(similarity))
+        sized = lambda c: sets.select(F.col("rep").alias(c), size.alias(f"n_{c}"))
+        can = pairs.join(sized("a"), "a").join(sized("b"), "b").where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(similarity)).select("a", "b")
+        both = can.join(own.select(F.col("rep").alias("a"), F.col("sigs").alias("x")), "a").join(own.select(F.col("rep").alias("b"), F.col("sigs").alias("y")), "b")
         return both.select("a", "b", likeness(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") >= similarity)
 
-    class_of = linked(members, verify, scratch)
-    named = sets.select("key", "rep").join(class_of.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    return keyed.select("doc_id", "key").distinct().join(named, "key").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
+    def tile(tiles: DataFrame) -> DataFrame:
+        whole = tiles.join(own, "rep").select("bucket", "tile", "side", "rep", F.col("own").alias("class"), "sigs")
+        right = whole.where("side > 0").groupBy("bucket", "tile").agg(F.collect_list(F.struct("rep", "class", "sigs")).alias("others"))  # of a tile, so some hundreds
+        left = whole.where("side != 1").join(right, ["bucket", "tile"])
+        hits = F.filter("others", lambda o: (o["class"] != F.col("class")) & (o["rep"] != F.col("rep")) & _near(F.col("sigs"), o["sigs"], similarity))
+        return left.select("rep", F.explode(F.transform(hits, lambda o: o["rep"])).alias("other")).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+
+    class_of = linked(members, verify, scratch, tile)
+    named = sets.select("key", "rep", size.cast("long").alias("n_signatures")).join(class_of.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    return keyed.select("doc_id", "key").distinct().join(named, "key").select("doc_id", "n_signatures", F.coalesce("component", "rep").alias("class_id"))
