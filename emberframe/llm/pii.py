@@ -1,15 +1,17 @@
 """Surrogates for personal data, with DataFrame functions only.
 
-Detected: e-mail addresses; IPv4 and IPv6 addresses; telephone and social security numbers; card numbers whose Luhn digit and
-account numbers (IBAN) whose check digits are right; and names. A name is a title or a salutation with the capitalised words
-that follow it, or a given name of the lists below with an initial and a surname, where they follow.
+Detected: e-mail addresses; IPv4 and IPv6 addresses; telephone numbers in national and international forms; social security numbers;
+passport numbers after a word for a passport; card numbers whose Luhn digit and account numbers (IBAN) whose check digits are right;
+and names. A name is a title or a salutation with the capitalised words that follow it, or a given name of the lists below with an
+initial and a surname, where they follow, or the capitalised words after a cue ("my name is", "contact", ...), also two such names
+joined by "or" or "and".
 
 What is replaced is an entity, wherever and in whatever format it comes (coreference): numbers go by their digits, addresses by
 their lower-case form, and each word of a name by itself, so that all who share a surname still do. Surrogates are made from a
-key. Digits become digits and hexadecimal ones hexadecimal, spaces and marks stay as they are, check digits are right again,
+key that the caller gives, by HMAC-SHA-256. Digits become digits and hexadecimal ones hexadecimal, spaces and marks stay as they are, check digits are right again,
 telephone numbers keep their country and account numbers theirs; mail addresses end in a reserved domain; octets stay octets.
-Given names are exchanged within their list, that is gender and script, by a shift that maps no two names to one, and initials
-likewise; surnames become names of syllables in the same script, Cyrillic ones with the same gender's ending. Surrogates that
+Given names are exchanged within their list, that is gender and script, by a permutation that the key chooses and that leaves no name
+in its place, and initials likewise; surnames become names of syllables in the same script, Cyrillic ones with the same gender's ending. Surrogates that
 two entities share, or that are themselves entities of the texts, are made again with the next counter until all differ, so
 distinct entities stay distinct; names then have one more syllable, so there are always enough.
 
@@ -23,13 +25,13 @@ texts come back as they are; no rows give no rows. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import hmac
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.llm.common import Scratch
 
-KEY = "emberframe"
 #: Given names by gender and script.
 NAMES = {
     "female_latin": (
@@ -46,7 +48,14 @@ NAMES = {
 #: What goes before a name; stays as it is.
 BEFORE = "Mr Mrs Ms Miss Dr Prof Professor Herr Frau Señor Señora Monsieur Madame Mme Sr Sra Dear Liebe Lieber Cher Chère Estimado Estimada".split()
 #: Words after these that are no names.
-NOT_NAMES = "Sir Madam All Team Friends Friend Customer Customers Reader Readers Colleagues Colleague Everyone Editor Student Students God Lord Diary And The Of To In".split()
+NOT_NAMES = "Sir Madam All Team Friends Friend Customer Customers Us Me Information Info Details Support Sales Service Reader Readers Colleagues Colleague Everyone Editor Student Students God Lord Diary And The Of To In".split()
+#: What goes before a name, and how many capitalised words it takes there.
+CUES = {
+    1: "[Mm]y name is|[Mm]y name's|[Mm]ein Name ist|[Ii]ch heiße|[Jj]e m'appelle|[Mm]on nom est|[Mm]e llamo|[Mm]i nombre es|[Nn]ame:|[Aa]ttn[.:]|[Ss]igned by",
+    2: "[Cc]ontact|[Kk]ontakt|[Cc]ontacto",
+}
+JOINED = "and or und oder et ou y o".split()
+_PASSPORT = r"(?:[Pp]assport|PASSPORT|[Rr]eisepass|[Pp]asseport|[Pp]asaporte)(?: (?:[Nn]o|[Nn]umber|[Nn]r|[Nn]ummer|[Nn]úmero|[Nn]uméro)\.?)?:? ?"
 _WORD = r"\p{Lu}\p{Ll}+(?:[-'’]\p{Lu}\p{Ll}+)*+(?!\p{L})"
 
 
@@ -65,14 +74,17 @@ KINDS = (
     ("ipv6", r"(?<![\p{L}\p{N}:.])(?=[0-9A-Fa-f:]{0,45}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"),
     ("iban", r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"),
-    ("phone", r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"),
+    ("passport", rf"(?<!\p{{L}}){_PASSPORT}[A-Z]{{0,2}}\d{{6,9}}(?![\p{{L}}\p{{N}}])"),
+    ("phone", r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
+              r"|(?<![\p{L}\p{N}+.,:/-])(?=\+?(?:[ ()/.-]{0,2}\d){9,15}(?![ ./-]?\d))(?:\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?\d{1,5}(?:[ .-]\d{2,5}){1,4}|0\d{2,5}[ /-]\d{3,4}[ -]?\d{2,5})(?![\p{L}\p{N}]|[.,:/-]\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("card", r"(?<!\d)\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?!\d)"),
+    ("cued", rf"(?<!\p{{L}})(?=[\p{{L}}])(?:(?:{CUES[1]}) (?!(?:{'|'.join(NOT_NAMES)})(?!\p{{L}})){_WORD}(?: \p{{Lu}}\.)?(?: {_WORD}){{0,2}}|(?:{CUES[2]}) (?!(?:{'|'.join(NOT_NAMES)})(?!\p{{L}})){_WORD}(?: \p{{Lu}}\.)? {_WORD}(?: {_WORD})?)(?: (?:{'|'.join(JOINED)}) {_WORD} {_WORD})?"),
     ("name", rf"{_CAPITAL}(?:(?:{_by_letter(BEFORE)})\.? (?!(?:{'|'.join(NOT_NAMES)})(?!\p{{L}})){_WORD}(?: \p{{Lu}}\.)?(?: {_WORD}){{0,2}}|(?:{_GIVEN})(?!\p{{L}})(?: \p{{Lu}}\.)?(?: {_WORD})?)"),
 )
 PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
 #: A text without a match of this has no entity; cheaper to look for.
-HINT = rf"[@0-9]|::|{_CAPITAL}(?:{_by_letter([*BEFORE, *(n for v in NAMES.values() for n in v)])})(?!\p{{L}})"
+HINT = rf"[@0-9]|::|{CUES[1]}|{CUES[2]}|{_CAPITAL}(?:{_by_letter([*BEFORE, *(n for v in NAMES.values() for n in v)])})(?!\p{{L}})"
 #: Alphabets in which letters are exchanged.
 _LOWER = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшыэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 _SORTS = ("0123456789", *(x for low in _LOWER.values() for x in (low, low.upper())))
@@ -156,28 +168,36 @@ def _surname(word: Column, digest: Column, attempt: Column) -> Column:
     return F.when(word.rlike(r"\p{IsCyrillic}"), cyrillic).when(word.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
 
 
-def _shifted(key: str) -> tuple[list[str], list[str]]:
-    """Given names and initials, and what they become: each list turned by a number of places from the key."""
+def _exchanges(key: str) -> tuple[list[str], list[str]]:
+    """Given names and initials, and what they become: in the order of their codes each the next one, so a list of n has (n - 1)!
+    permutations, and some known pairs don't give the others."""
     lists = {**NAMES, **{f"initial_{k}": [f"{c}." for c in low.upper()] for k, low in _LOWER.items()}}
     said, made = [], []
     for k, own in lists.items():
-        by = int(hashlib.sha256((key + k).encode()).hexdigest()[:6], 16) % (len(own) - 1) + 1
-        said += own
-        made += own[by:] + own[:by]
+        order = sorted(own, key=lambda name: hmac.digest(key.encode(), f"{k}\x01{name}".encode(), "sha256"))
+        said += order
+        made += order[1:] + order[:1]
     return said, made
 
 
+def _coded(key: str, message: Column) -> Column:
+    """HMAC-SHA-256 in hexadecimal."""
+    own = key.encode() if len(key.encode()) <= 64 else hashlib.sha256(key.encode()).digest()
+    inner, outer = (F.lit(bytearray(b ^ pad for b in own.ljust(64, b"\0"))) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
 def surrogate(known: DataFrame, key: str) -> DataFrame:
     """known (kind, entity, attempt) with the surrogate of that attempt."""
     entity, kind, digest, core = (F.col(c) for c in ("entity", "kind", "digest", "core"))
-    out = known.withColumn("digest", F.sha2(F.concat_ws("\x01", F.lit(key), kind, entity, F.col("attempt").cast("string")), 256))
+    out = known.withColumn("digest", _coded(key, F.concat_ws("\x01", kind, entity, F.col("attempt").cast("string"))))
     # what is exchanged character by character
-    part = F.when(kind == "email", F.substring_index(entity, "@", 1)).when(kind == "iban", F.substr(entity, F.lit(5))).when(kind.isin("phone", "ssn", "card"), entity).otherwise(F.lit(""))
+    part = F.when(kind == "email", F.substring_index(entity, "@", 1)).when(kind == "iban", F.substr(entity, F.lit(5))).when(kind.isin("phone", "ssn", "card", "passport"), entity).otherwise(F.lit(""))
     out = out.withColumn("core", F.when(kind == "ipv6", _exchanged(entity, digest, _HEX)).otherwise(_exchanged(part, digest)))
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_byte(digest, i) % 254 + 1).cast("string")), ".")
     most = F.substr(core, F.lit(1), F.length(core) - 1)
     check = F.lpad((98 - _mod97(F.concat(F.substr(entity, F.lit(1), F.lit(2)), F.lit("00"), core))).cast("string"), 2, "0")
-    said, given = _shifted(key)
+    said, given = _exchanges(key)
     made = F.when(kind == "email", F.concat(core, F.lit("@m"), F.substr(digest, F.lit(50), F.lit(8)), F.lit(".example.net"))).when(kind == "ip", octets)
     made = made.when(kind == "card", F.concat(most, ((10 - _luhn_sum(F.concat(most, F.lit("0"))) % 10) % 10).cast("string")))
     made = made.when(kind == "iban", F.concat(F.substr(entity, F.lit(1), F.lit(2)), check, core))
@@ -186,8 +206,8 @@ def surrogate(known: DataFrame, key: str) -> DataFrame:
     return out.select("kind", "entity", "attempt", made.alias("surrogate"))
 
 
-def surrogates(entities: DataFrame, scratch: Scratch, key: str = KEY) -> DataFrame:
-    """kind, entity, surrogate of distinct (kind, entity). Given names differ by their shift; all other surrogates are made to
+def surrogates(entities: DataFrame, scratch: Scratch, key: str) -> DataFrame:
+    """kind, entity, surrogate of distinct (kind, entity). Given names differ by their permutation; all other surrogates are made to
     differ from each other's of their kind and from all entities."""
     known = scratch.put(entities.withColumn("attempt", F.lit(0)), "entities")
     while True:
@@ -208,9 +228,15 @@ def _pieces(said: Column, kind: Column) -> Column:
     word = lambda w: F.when(F.array_contains(given, w) | w.rlike(r"^\p{Lu}\.$"), F.lit("given")).otherwise(F.lit("surname"))
     title = lambda w: F.regexp_replace(w, r"\.$", "").isin(BEFORE)
     none = F.lit(None).cast("string")
-    of_name = F.transform(F.split(said, " "), lambda w, i: F.struct(F.when((i == 0) & title(w), none).otherwise(word(w)).alias("kind"), w.alias("entity"), F.when(i == 0, w).otherwise(F.concat(F.lit(" "), w)).alias("said")))
-    entity = F.when(kind == "email", F.lower(said)).when(kind == "iban", _compact(said)).when(kind.isin("ssn", "card"), _digits(said)).when(kind == "phone", F.substr(_digits(said), F.lit(-10))).when(kind == "ipv6", F.lower(said)).otherwise(said)
-    return F.when(kind == "name", of_name).otherwise(F.array(F.struct(kind.alias("kind"), entity.alias("entity"), said.alias("said"))))
+    no_name = lambda w, i: (w == "") | w.isin(JOINED) | ((i == 0) & title(w))
+    words = lambda t: F.transform(F.split(t, " "), lambda w, i: F.struct(F.when(no_name(w, i), none).otherwise(word(w)).alias("kind"), w.alias("entity"), F.when(i == 0, w).otherwise(F.concat(F.lit(" "), w)).alias("said")))
+    alone = lambda t: F.array(F.struct(none.alias("kind"), t.alias("entity"), t.alias("said")))
+    cue, before = F.regexp_extract(said, f"^(?:{CUES[1]}|{CUES[2]})", 0), F.regexp_extract(said, f"^{_PASSPORT}", 0)
+    number = F.substr(said, F.length(before) + 1)
+    of_passport = F.concat(alone(before), F.array(F.struct(F.lit("passport").alias("kind"), number.alias("entity"), number.alias("said"))))
+    entity = F.when(kind == "email", F.lower(said)).when(kind == "iban", _compact(said)).when(kind.isin("ssn", "card"), _digits(said)).when(kind == "phone", F.substr(F.regexp_replace(_digits(said), "^0", ""), F.lit(-10))).when(kind == "ipv6", F.lower(said)).otherwise(said)
+    whole = F.when(kind == "name", words(said)).when(kind == "cued", F.concat(alone(cue), words(F.substr(said, F.length(cue) + 1)))).when(kind == "passport", of_passport)
+    return whole.otherwise(F.array(F.struct(kind.alias("kind"), entity.alias("entity"), said.alias("said"))))
 
 
 def _refilled(said: Column, made: Column) -> Column:
@@ -232,8 +258,10 @@ def _row() -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\x00"), F.col("text"))))
 
 
-def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """doc_id, n_entities, text with surrogates."""
+def replace(docs: DataFrame, key: str) -> DataFrame:
+    """doc_id, n_entities, text with surrogates. key: a secret of the caller's; the same key gives the same surrogates."""
+    if not key:
+        raise ValueError("surrogates need a key")
     scratch = Scratch(docs.sparkSession)
     base = docs.select("doc_id", "text")
     found = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(PATTERN), 0)).otherwise(F.array().cast("array<string>"))
@@ -243,7 +271,7 @@ def replace(docs: DataFrame, key: str = KEY) -> DataFrame:
     each = scratch.put(each, "pieces")
     table = surrogates(each.where("kind is not null").select("kind", "entity").distinct(), scratch, key)
     named = each.join(table, ["kind", "entity"], "left")
-    made = F.when(F.col("kind").isin("phone", "ssn", "card", "iban"), _refilled(F.col("said"), F.col("surrogate"))).when(F.col("whole") == "name", F.concat(F.when(F.col("sub") > 0, F.lit(" ")).otherwise(F.lit("")), F.col("surrogate")))
+    made = F.when(F.col("kind").isin("phone", "ssn", "card", "iban"), _refilled(F.col("said"), F.col("surrogate"))).when(F.col("whole").isin("name", "cued"), F.concat(F.when(F.col("sub") > 0, F.lit(" ")).otherwise(F.lit("")), F.col("surrogate")))
     made = made.when(F.col("kind").isin("email", "ipv6") & (F.col("said") == F.upper("said")) & F.col("said").rlike("[A-Z]"), F.upper("surrogate")).otherwise(F.col("surrogate"))
     value = F.when(F.col("surrogate").isNull(), F.col("said")).otherwise(made)
     whole = F.count_if((F.col("sub") == 0) & F.col("whole").isNotNull())

@@ -95,7 +95,7 @@ def test_pii_is_replaced_consistently(spark):
         "x" * 200_000 + " 10.0.0.255", "GB82 WEST 1234 5698 7654 32 and DE89370400440532013000, not DE00370400440532013000",
     ]
     df = spark.createDataFrame([(i, t, 0, "clash") for i, t in enumerate(texts)] + [(7, texts[7], 0, ""), (None, texts[7], 0, "")], DOCS)
-    rows = pii.replace(df).collect()
+    rows = pii.replace(df, "k1").collect()
     assert len(rows) == len(texts) + 2
     got = {x.doc_id: x for x in rows}
     assert got[0].text is None and got[1].text == "" and got[2].text == texts[2]
@@ -120,7 +120,7 @@ def test_pii_is_replaced_consistently(spark):
 
 def test_names_by_context_and_word(spark):
     said = "Emily Smith and John Smith, Mr. Okafor, 2001:db8::1, order 1234567890123456, Sarah Smith, Dear Okafor, Dear All, Dr. John Q. Smith at 12:30:45 in std::map"
-    (row,) = pii.replace(spark.createDataFrame([(1, said, 0, "")], DOCS)).collect()
+    (row,) = pii.replace(spark.createDataFrame([(1, said, 0, "")], DOCS), "k1").collect()
     w = r"([A-Z][a-z]+)"
     m = re.fullmatch(rf"{w} {w} and {w} {w}, Mr\. {w}, ([0-9a-f:]+), order 1234567890123456, {w} {w}, Dear {w}, Dear All, Dr\. {w} ([A-Z]\.) {w} at 12:30:45 in std::map", row.text)
     emily, smith, john, smith2, okafor, v6, sarah, smith3, okafor2, john2, initial, smith4 = m.groups()
@@ -131,7 +131,7 @@ def test_names_by_context_and_word(spark):
 
 def test_surrogates_stay_distinct(spark):
     many = [(i, f"{i // 100 % 10}.{i // 10 % 10}.0.{i % 10} a{i}@x.com 100-10-{i:04d}", 0, "") for i in range(600)]
-    rows = pii.replace(spark.createDataFrame(many, DOCS)).collect()
+    rows = pii.replace(spark.createDataFrame(many, DOCS), "k1").collect()
     for k in range(3):
         assert len({x.text.split()[k] for x in rows}) == len({t.split()[k] for _, t, *_ in many})
     assert not {w for x in rows for w in x.text.split()} & {w for _, t, *_ in many for w in t.split()}
@@ -139,4 +139,4 @@ def test_surrogates_stay_distinct(spark):
 
 def test_no_rows(spark):
     none = spark.createDataFrame([], DOCS)
-    assert pii.replace(none).count() == 0 and lines.report(none).count() == 0 and lines.deduplicate(none).count() == 0
+    assert pii.replace(none, "k1").count() == 0 and lines.report(none).count() == 0 and lines.deduplicate(none).count() == 0
