@@ -179,13 +179,22 @@ def _alike(s: Column, t: Column) -> Column:
     return F.least(s, t) * 100 >= F.greatest(s, t) * PERCENT
 
 
+def _may_share(s: np.ndarray, t: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes may be linked, by their parities (words in the last axis)."""
+    apart = np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
+    return (s + t - apart) // 2 >= -(-PERCENT * (s + t) // (100 + PERCENT))
+
+
+def _words(parts) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), np.uint64).reshape(-1, PARITIES // 64)
+
+
 def _likely(batches):
     """Of pairs (a, b, sizes, parities, keys) those that may share enough by their parities."""
     for batch in batches:
         s, t = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, PARITIES // 64) for c in ("parities_a", "parities_b"))
-        apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-        keep = (s + t - apart) // 2 >= -(-PERCENT * (s + t) // (100 + PERCENT))
+        x, y = (_words(batch.column(c).to_pylist()) for c in ("parities_a", "parities_b"))
+        keep = _may_share(s, t, x, y)
         yield batch.select(["a", "b", "key_a", "key_b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -219,7 +228,20 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _tiled(tiles: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of tiles, as many as join the classes that have a linked pair there."""
+    """Links of tiles, as many as join the classes that have a linked pair there. Of a tile's members only those come with their
+    elements that by their parities may be linked with one of another class there."""
+
+    def likely(key, t):
+        n, own, x = t.column("n").to_numpy(), t.column("own").to_numpy(), _words(t.column("parities").to_pylist())
+        side = t.column("side").to_numpy()
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        keep = np.zeros(len(n), bool)
+        for at in range(0, len(left), 64):
+            some = left[at : at + 64]
+            near = _may_share(n[some][:, None], n[right][None, :], x[some][:, None], x[right][None, :]) & (own[some][:, None] != own[right][None, :])
+            keep[some] |= near.any(1)
+            keep[right] |= near.any(0)
+        return t.select(["bucket", "tile", "side", "rep", "own", "key"]).filter(pa.array(keep))
 
     def run(key, t):
         ids, own, side = (t.column(c).to_pylist() for c in ("rep", "own", "side"))
@@ -252,7 +274,8 @@ def _tiled(tiles: DataFrame, sets: DataFrame) -> DataFrame:
                 out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
-    keyed = tiles.hint("merge").join(sets.select(F.col("id").alias("rep"), "key"), "rep")
+    told = tiles.hint("merge").join(sets.select(F.col("id").alias("rep"), "key", "n", "parities"), "rep").select("bucket", "tile", "side", "rep", "own", "key", "n", "parities")
+    keyed = told.groupBy("bucket", "tile").applyInArrow(likely, "bucket long, tile long, side int, rep long, own long, key binary")
     own = keyed.hint("merge").join(sets.select("key", "elements"), "key").select("bucket", "tile", "side", "rep", "own", "elements")
     return own.groupBy("bucket", "tile").applyInArrow(run, "a long, b long")
 
