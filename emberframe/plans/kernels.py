@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from emberframe.functions import shapes
 from emberframe.functions import images, polygons
 from emberframe.operators.reading import Calibration, ReadOptions, read_frames
 from emberframe.plans import tables
@@ -131,29 +132,44 @@ _poly("g2_enclosing_simplification", "points string", lambda p: (_shape(polygons
 _poly("g3_simplify_to", "points string", lambda p: (_shape(polygons.simplify_to(p, 6)),))
 _poly("g8_extract_polygon", "points string", lambda p: (_shape(polygons.extract_polygon(polygons.draw(np.zeros((100, 100), np.int32), p, 1), 1)),))
 _poly("g9_extract_polygons", "shapes string", lambda p: ("|".join(f"{v}:{_shape(r)}" for v, r in polygons.extract_polygons(polygons.draw(polygons.draw(np.zeros((100, 100), np.int32), p, 1), p / 2, 2)).items()),))
-_poly("g11_minimum_area_box", "cx double, cy double, width double, height double", lambda p: tuple(round(polygons.minimum_area_box(p)[k], 6) for k in ("cx", "cy", "width", "height")))
 _POINTS = f"WITH {tables.POINTS} "
-_poly("g16_without_collinear", "points string", lambda p: (_shape(polygons.without_collinear(p)),), _POINTS + """, k AS (
+
+
+def _native(name, sql, **out):
+    @query(name, _POINTS + sql)
+    def run(spark, d):
+        return tables.polygons(spark, d).select("poly_id", *[f(F.col("pts")).alias(k) for k, f in out.items()])
+
+
+_native("g16_without_collinear", """, k AS (
   SELECT e.poly_id, e.pos, e.x, e.y, (e.x - p.x) * (e.ny - e.y) - (e.y - p.y) * (e.nx - e.x) AS turn FROM edges e JOIN edges p ON p.poly_id = e.poly_id AND p.pos = (e.pos + e.n - 1) % e.n)
-SELECT poly_id, coalesce(string_agg(x::INTEGER || ',' || y::INTEGER, ';' ORDER BY pos) FILTER (turn <> 0), '') AS points FROM k GROUP BY poly_id""")
-_poly("g20_is_non_concave", "convex boolean", lambda p: (polygons.is_non_concave(p),), _POINTS + """, d AS (
+SELECT poly_id, coalesce(string_agg(x::INTEGER || ',' || y::INTEGER, ';' ORDER BY pos) FILTER (turn <> 0), '') AS points FROM k GROUP BY poly_id""",
+        points=lambda p: F.array_join(F.transform(shapes.without_collinear(p), lambda a: F.concat_ws(",", a["x"].cast("int"), a["y"].cast("int"))), ";"))
+_native("g20_is_non_concave", """, d AS (
   SELECT poly_id, nx - x AS dx, ny - y AS dy, row_number() OVER (PARTITION BY poly_id ORDER BY pos) AS i, count(*) OVER (PARTITION BY poly_id) AS m FROM edges WHERE nx <> x OR ny <> y),
 t AS (SELECT a.poly_id, atan2(a.dx * b.dy - a.dy * b.dx, a.dx * b.dx + a.dy * b.dy) AS turn FROM d a JOIN d b ON a.poly_id = b.poly_id AND b.i = a.i % a.m + 1)
-SELECT poly_id, (bool_and(turn >= -1e-12) OR bool_and(turn <= 1e-12)) AND abs(abs(sum(turn)) - 2 * pi()) < 1e-6 AS convex FROM t GROUP BY poly_id""")
+SELECT poly_id, (bool_and(turn >= -1e-12) OR bool_and(turn <= 1e-12)) AND abs(abs(sum(turn)) - 2 * pi()) < 1e-6 AS convex FROM t GROUP BY poly_id""", convex=shapes.is_non_concave)
 
-
-@query("g10_convex_hull", _POINTS + """, u AS (SELECT DISTINCT poly_id, x, y FROM pts), a AS (
+_HULL = """, u AS (SELECT DISTINCT poly_id, x, y FROM pts), a AS (
   SELECT p.poly_id, p.x, p.y, atan2(q.y - p.y, q.x - p.x) AS angle FROM u p JOIN u q ON p.poly_id = q.poly_id AND (p.x <> q.x OR p.y <> q.y)),
-g AS (SELECT poly_id, x, y, coalesce(lead(angle) OVER w, first(angle) OVER w + 2 * pi()) - angle AS gap FROM a WINDOW w AS (PARTITION BY poly_id, x, y ORDER BY angle ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
-SELECT poly_id, x, y FROM g GROUP BY poly_id, x, y HAVING max(gap) > pi() + 1e-9""")
-def hull(spark, d):
-    def each(batches):
-        for b in batches:
-            for i, pts in zip(b["poly_id"], b["pts"], strict=True):
-                own = polygons.convex_hull([(p["x"], p["y"]) for p in pts])[:-1]
-                yield pd.DataFrame({"poly_id": i, "x": own[:, 0], "y": own[:, 1]})
+g AS (SELECT poly_id, x, y, coalesce(lead(angle) OVER w, first(angle) OVER w + 2 * pi()) - angle AS gap FROM a WINDOW w AS (PARTITION BY poly_id, x, y ORDER BY angle ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+hull AS (SELECT poly_id, x, y FROM g GROUP BY poly_id, x, y HAVING max(gap) > pi() + 1e-9)"""
 
-    return tables.polygons(spark, d).mapInPandas(each, "poly_id long, x double, y double")
+
+@query("g10_convex_hull", _POINTS + _HULL + " SELECT poly_id, x, y FROM hull")
+def hull(spark, d):
+    ring = shapes.convex_hull(F.col("pts"))
+    each = tables.polygons(spark, d).select("poly_id", F.explode(F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0)))).alias("p"))
+    return each.select("poly_id", "p.x", "p.y")
+
+
+# a box along any two corners of the hull holds it; the least one is along a side
+@query("g11_minimum_area_box", _POINTS + _HULL + """, dir AS (SELECT p.poly_id, atan2(q.y - p.y, q.x - p.x) AS angle FROM hull p JOIN hull q ON p.poly_id = q.poly_id AND (p.x <> q.x OR p.y <> q.y)),
+r AS (SELECT d.poly_id, d.angle, max(h.x * cos(angle) + h.y * sin(angle)) AS u1, min(h.x * cos(angle) + h.y * sin(angle)) AS u0, max(h.y * cos(angle) - h.x * sin(angle)) AS v1, min(h.y * cos(angle) - h.x * sin(angle)) AS v0 FROM dir d JOIN hull h USING (poly_id) GROUP BY ALL)
+SELECT poly_id, round(min((u1 - u0) * (v1 - v0)), 4) AS area FROM r GROUP BY poly_id UNION ALL SELECT poly_id, 0.0 FROM u GROUP BY poly_id HAVING count(*) = 1""")
+def least_box(spark, d):
+    box = tables.polygons(spark, d).select("poly_id", shapes.minimum_area_box(shapes.convex_hull(F.col("pts"))).alias("b"))
+    return box.select("poly_id", F.round(F.col("b.width") * F.col("b.height"), 4).alias("area"))
 
 
 _RUNS = """, o AS (SELECT *, x - row_number() OVER (PARTITION BY poly_id, y ORDER BY x) AS island FROM covered)
