@@ -6,9 +6,12 @@ a temperature. So both ways stay in the JVM, and different movies have different
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberframe.operators import reading
+
 #: Entries of a table at most: levels have 13 bits.
 MOST = 1 << 13
 
@@ -67,3 +70,62 @@ def of_pixels(pixels: DataFrame, tables: DataFrame, movie: str = "movie_id") ->
     """pixels (movie, px, ...) with `temperature`: the upper three bits of a pixel are its integration time, the others its level."""
     own = pixels.withColumns({"ti": F.shiftright("px", 13), "dl": F.col("px").bitwiseAND(F.lit(8191))})
     return to_temperatures(own, tables.withColumnRenamed("movie_id", movie), "dl", (movie, "ti"))
+
+
+class TableCalibration(reading.Calibration):
+    """A movie's calibration from the tables of its integration times, {ti: (levels, temperatures)}: the same for columns and images.
+
+    An integration time without a table has no temperatures: null in columns, an error for images. Image values are temperatures in
+    whole numbers, rounded; levels are the low 13 bits of a word."""
+
+    def __init__(self, tables: dict[int, tuple[np.ndarray, np.ndarray]], name: str = "Temperature", files: list[str] = ()):
+        self.of, self.name, self._files = {int(k): (np.asarray(a, np.int64), np.asarray(b, np.float64)) for k, (a, b) in tables.items()}, name, list(files)
+        for levels, temperatures in self.of.values():
+            if not len(levels) or len(levels) > MOST or (np.diff(levels) <= 0).any() or (np.diff(temperatures) <= 0).any():
+                raise ValueError("levels and temperatures of a calibration increase")
+
+    @classmethod
+    def of_movie(cls, lookup: DataFrame, movie_id, **more) -> TableCalibration:
+        """From the rows of `lookups` of one movie, of which there are at most eight."""
+        rows = lookup.where(F.col("movie_id") == movie_id).limit(8).collect()
+        return cls({r.ti: (r.levels, r.temperatures) for r in rows}, **more)
+
+    def _by_time(self, ti: Column, of) -> Column:
+        out = F.lit(None).cast("double")
+        for k, (levels, temperatures) in self.of.items():
+            out = F.when(ti == k, of(F.array(*map(F.lit, levels.tolist())), F.array(*map(F.lit, temperatures.tolist())))).otherwise(out)
+        return out
+
+    def to_temp(self, v: Column, ti: Column, inv_emissivity: Column) -> Column:
+        at = v.cast("double") * inv_emissivity
+        return self._by_time(ti, lambda levels, temperatures: between(levels, temperatures, at, place(levels, at)))
+
+    def to_dl(self, t: Column, ti: Column, inv_emissivity: Column) -> Column:
+        return F.floor(self._by_time(ti, lambda levels, temperatures: between(temperatures, levels, t, place(temperatures, t))) / inv_emissivity + 0.5).cast("int")
+
+    def apply_float(self, img: np.ndarray, inv_emissivity: np.ndarray | float = 1.0) -> np.ndarray:
+        out, level, times = np.zeros(img.shape), (img & 8191) * np.broadcast_to(inv_emissivity, img.shape), img >> 13
+        for k in np.unique(times).tolist():
+            if k not in self.of:
+                raise reading.CalibrationNotFound(f"integration time {k}")
+            here = times == k
+            out[here] = np.interp(level[here], *self.of[k])
+        return out.astype(np.float32)
+
+    def apply(self, img: np.ndarray, inv_emissivity: np.ndarray | float = 1.0) -> np.ndarray:
+        return np.clip(np.floor(self.apply_float(img, inv_emissivity) + 0.5), 0, 65535).astype("<u2")
+
+    def supports_emissivity(self) -> bool:
+        return True
+
+    def files(self) -> list[str]:
+        return self._files
+
+    def tables(self) -> dict[str, np.ndarray]:
+        return {f"{kind}_{k}": v for k, pair in self.of.items() for kind, v in zip(("levels", "temperatures"), pair, strict=True)}
+
+
+def catalog(spark: SparkSession, calibrations: dict) -> DataFrame:
+    """movie_id, name, values: the tables of calibrations by movie, to be queried like any other."""
+    rows = [(movie, name, np.asarray(c.tables()[name], float).ravel().tolist()) for movie, c in calibrations.items() for name in reading.table_names(c)]
+    return spark.createDataFrame(rows, "movie_id string, name string, values array<double>")

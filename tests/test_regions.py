@@ -170,3 +170,31 @@ def test_bad_pixels_of_a_part_of_a_movie(spark):
     mixed = reading.read_frames(calm.unionByName(df.where("pos > 2")), options, bad=whole).collect()
     assert len(mixed) == 4 and all(np.frombuffer(x.px, "<u2").max() < 1020 for x in mixed)
     assert all(np.frombuffer(x.px, "<u2").max() == 60_000 for x in reading.read_frames(hcc, options).collect())
+
+
+def test_a_calibration_of_tables_is_the_same_for_columns_and_images(spark):
+    r = np.random.default_rng(9)
+    tables = {k: (np.sort(r.choice(8192, 30, replace=False)), np.cumsum(r.random(30) * 30 + 1)) for k in (0, 2)}
+    own = calibration.TableCalibration(tables, files=["a.cal"])
+    img = np.stack([r.integers(0, 8192, 50), r.integers(0, 8192, 50) | 2 << 13]).astype("<u2")
+    df = spark.createDataFrame([(int(v),) for v in img.ravel()], "px int")
+    ti, dl, e = F.shiftright("px", 13), F.col("px").bitwiseAND(F.lit(8191)), F.lit(1.1)
+    got = df.select("px", own.to_temp(dl, ti, e).alias("t")).select("px", "t", own.to_dl(F.col("t"), ti, e).alias("back")).collect()
+    assert [x.t for x in got] == pytest.approx(own.apply_float(img, 1.1).ravel().tolist(), rel=1e-6)
+    assert (own.apply(img) == np.floor(own.apply_float(img) + 0.5)).all()
+    for x in got:
+        levels = tables[x.px >> 13][0]
+        if levels[0] <= (x.px & 8191) * 1.1 <= levels[-1]:
+            assert x.back == x.px & 8191
+    assert reading.features(own) == {"calibrations": ["Digital Level", "Temperature"], "emissivity": True, "files": ["a.cal"]}
+    listed = calibration.catalog(spark, {"m": own, "none": None})
+    assert listed.where("name = 'levels_2'").first()["values"] == tables[2][0].tolist() and listed.count() == 4
+    lookup = calibration.lookups(spark.createDataFrame([("m", k, int(a), float(b)) for k, (x, y) in tables.items() for a, b in zip(x, y, strict=True)], "movie_id string, ti int, dl int, t double"))
+    assert (calibration.TableCalibration.of_movie(lookup, "m").apply(img) == own.apply(img)).all()
+    with pytest.raises(reading.CalibrationNotFound):
+        own.apply(np.array([[1 << 13]], "<u2"))
+    with pytest.raises(ValueError):
+        calibration.TableCalibration({0: ([1, 2], [5.0, 5.0])})
+    frames = saver.from_array(spark, "m", np.tile(img, (1, 6, 1)))
+    warm = reading.read_frames(frames, reading.ReadOptions(calibration=own)).first()
+    assert (np.frombuffer(warm.px, "<u2").reshape(12, 50) == own.apply(np.tile(img, (6, 1)))).all()
