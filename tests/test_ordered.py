@@ -121,3 +121,26 @@ def test_median_is_cut_in_both_images_and_restored():
     for _ in range(2):
         flat.step(np.full((20, 20), 5, np.uint16))
     assert flat.median == pytest.approx(0.85) and flat.found[-1] == (0.0, 0.0, 1.0)
+
+
+def test_a_registrator_finds_what_a_search_finds():
+    y, x = np.mgrid[0:40, 0:52]
+    frame = lambda a, b: 2000 + 1500 * np.exp(-((x - 18 - a) ** 2 + (y - 18 - b) ** 2) / 60.0) + 800 * np.exp(-((x - 34 - a) ** 2 + (y - 26 - b) ** 2) / 30.0)
+    moves = [(0, 0), (0.6, -0.3), (1.3, -0.5), (1.9, -1.2), (2.4, -1.5)]
+    frames = [np.floor(frame(a, b)).astype(np.uint16) for a, b in moves]
+    fold = registration.Registrator(sigma=0)
+    found = [fold.step(f) for f in frames]
+
+    def shifted(img, dx, dy):
+        """img at (x + dx, y + dy), and the part that is inside."""
+        rows = np.stack([np.interp(np.arange(52) + dx, np.arange(52), r, np.nan, np.nan) for r in img.astype(float)])
+        return np.stack([np.interp(np.arange(40) + dy, np.arange(40), c, np.nan, np.nan) for c in rows.T]).T
+
+    for f, (dx, dy, rho) in zip(frames, found, strict=True):
+        best = (-1.0, 0.0, 0.0)
+        for a in np.arange(-0.4, 3.0, 0.1):
+            for b in np.arange(-2.0, 0.5, 0.1):
+                moved = shifted(f, a, b)
+                ok = np.isfinite(moved)
+                best = max(best, (float(np.corrcoef(moved[ok], frames[0][ok])[0, 1]), a, b))
+        assert abs(dx - best[1]) < 0.25 and abs(dy - best[2]) < 0.25 and rho == pytest.approx(best[0], abs=0.01)
