@@ -76,17 +76,6 @@ def compress_bound(n: Column) -> Column:
     return n + F.shiftright(n, 8) + F.when(n < 131072, F.shiftright(131072 - n, 11)).otherwise(F.lit(0))
 
 
-def first_bytes_format(content: Column) -> Column:
-    """Name of a movie's format from its first bytes."""
-    head = F.hex(F.substring(content, 1, 16))
-    text = F.decode(F.substring(content, 1, 64), "ISO-8859-1")
-    return (
-        F.when(F.substring(head, 9, 8) == F.lit(b"ftyp".hex()), "H264")
-        .when(text.startswith("TC"), "HCC").when(text.contains("H.265") | text.contains("matroska") | text.startswith("G@"), "H264")
-        .otherwise("OTHER")
-    )
-
-
 # --- polygons: array<struct<x:double,y:double>>
 
 

@@ -165,11 +165,13 @@ def hull(spark, d):
 
 # a box along any two corners of the hull holds it; the least one is along a side
 @query("g11_minimum_area_box", _POINTS + _HULL + """, dir AS (SELECT p.poly_id, atan2(q.y - p.y, q.x - p.x) AS angle FROM hull p JOIN hull q ON p.poly_id = q.poly_id AND (p.x <> q.x OR p.y <> q.y)),
-r AS (SELECT d.poly_id, d.angle, max(h.x * cos(angle) + h.y * sin(angle)) AS u1, min(h.x * cos(angle) + h.y * sin(angle)) AS u0, max(h.y * cos(angle) - h.x * sin(angle)) AS v1, min(h.y * cos(angle) - h.x * sin(angle)) AS v0 FROM dir d JOIN hull h USING (poly_id) GROUP BY ALL)
-SELECT poly_id, round(min((u1 - u0) * (v1 - v0)), 4) AS area FROM r GROUP BY poly_id UNION ALL SELECT poly_id, 0.0 FROM u GROUP BY poly_id HAVING count(*) = 1""")
+r AS (SELECT d.poly_id, d.angle, max(h.x * cos(angle) + h.y * sin(angle)) AS u1, min(h.x * cos(angle) + h.y * sin(angle)) AS u0, max(h.y * cos(angle) - h.x * sin(angle)) AS v1, min(h.y * cos(angle) - h.x * sin(angle)) AS v0 FROM dir d JOIN hull h USING (poly_id) GROUP BY ALL),
+k AS (SELECT *, u1 - u0 AS p, v1 - v0 AS q, (u0 + u1) / 2 AS mu, (v0 + v1) / 2 AS mv, row_number() OVER (PARTITION BY poly_id ORDER BY round((u1 - u0) * (v1 - v0), 6), angle) AS n FROM r)
+SELECT poly_id, round(mu * cos(angle) - mv * sin(angle), 4) + 0 AS cx, round(mu * sin(angle) + mv * cos(angle), 4) + 0 AS cy, round(least(p, q), 4) + 0 AS width, round(greatest(p, q), 4) + 0 AS height FROM k WHERE n = 1
+UNION ALL SELECT poly_id, min(x), min(y), 0.0, 0.0 FROM u GROUP BY poly_id HAVING count(*) = 1""")
 def least_box(spark, d):
     box = tables.polygons(spark, d).select("poly_id", shapes.minimum_area_box(shapes.convex_hull(F.col("pts"))).alias("b"))
-    return box.select("poly_id", F.round(F.col("b.width") * F.col("b.height"), 4).alias("area"))
+    return box.select("poly_id", *[(F.round(F.col(f"b.{k}"), 4) + F.lit(0.0)).alias(k) for k in ("cx", "cy", "width", "height")])
 
 
 _RUNS = """, o AS (SELECT *, x - row_number() OVER (PARTITION BY poly_id, y ORDER BY x) AS island FROM covered)

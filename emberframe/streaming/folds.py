@@ -237,8 +237,8 @@ class RunningAverage(Fold):
 
 LOSSY = "movie_id {}, pos int, h int, w int, px binary, low_error int, high_error int, min_t int, times binary"
 SAMPLED = "movie_id {}, pos int, ts_ns long, h int, w int, px binary"
-#: Columns of both, in order.
-_LOSSY, _SAMPLED = ["movie_id", "pos", "h", "w", "px", "low_error", "high_error", "min_t", "times"], ["movie_id", "pos", "ts_ns", "h", "w", "px"]
+#: The columns of LOSSY, in order.
+_LOSSY = ["movie_id", "pos", "h", "w", "px", "low_error", "high_error", "min_t", "times"]
 
 
 def image_of(r) -> np.ndarray:
@@ -259,10 +259,6 @@ def _lossy_rows(fold: Loss, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([_lossy_row(fold, r) for r in pdf.sort_values("pos").itertuples(index=False)], columns=_LOSSY)
 
 
-def _sampled_rows(fold: Downsampler, pdf: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame([o for r in pdf.sort_values("pos").itertuples(index=False) if (o := _sampled_row(fold, r)) is not None], columns=_SAMPLED)
-
-
 def by_movie(frames: DataFrame, make: Callable[[], object], row: Callable[[object, object], tuple | None], schema: str) -> DataFrame:
     """A new fold for each movie; row(fold, frame) gives a row or None. Frames come in the order of their positions."""
     from pyspark.sql.pandas.types import to_arrow_schema
