@@ -97,9 +97,11 @@ class _Hashes(dict):
 
 
 def parities(x: np.ndarray) -> bytes:
-    """PARITIES bits: whether an odd number of elements has a place. Sets of s and t elements whose bits differ in d places share
-    (s + t - d) / 2 at most, as each such place has an element that is in one of them only."""
-    return np.packbits(np.bincount((x >> np.uint64(BITS - 10)).astype(np.intp), minlength=PARITIES) & 1).tobytes()
+    """A bit for each of PARITIES places or, for long sets, of a power of two times as many: whether an odd number of elements has it.
+    Sets of s and t elements whose bits differ in d places share (s + t - d) / 2 at most, as each such place has an element that is
+    in one of them only. Both halves of the bits together, as parities, are the bits for half as many places."""
+    n = PARITIES << max(0, (len(x) // (2 * PARITIES)).bit_length())
+    return np.packbits(np.bincount((x & np.uint64(n - 1)).astype(np.intp), minlength=n) & 1).tobytes()
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -185,16 +187,25 @@ def _may_share(s: np.ndarray, t: np.ndarray, x: np.ndarray, y: np.ndarray) -> np
     return (s + t - apart) // 2 >= -(-PERCENT * (s + t) // (100 + PERCENT))
 
 
-def _words(parts) -> np.ndarray:
-    return np.frombuffer(b"".join(parts), np.uint64).reshape(-1, PARITIES // 64)
+def _folded(parts: list[bytes], size: int) -> np.ndarray:
+    """Parities as words, of so many bytes each; all have that or twice as many."""
+    out = np.empty((len(parts), size), np.uint8)
+    for k, p in enumerate(parts):
+        own = np.frombuffer(p, np.uint8)
+        out[k] = own if len(own) == size else own[:size] ^ own[size:]
+    return out.view(np.uint64)
 
 
 def _likely(batches):
     """Of pairs (a, b, sizes, parities, keys) those that may share enough by their parities."""
     for batch in batches:
         s, t = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-        x, y = (_words(batch.column(c).to_pylist()) for c in ("parities_a", "parities_b"))
-        keep = _may_share(s, t, x, y)
+        x, y = (batch.column(c).to_pylist() for c in ("parities_a", "parities_b"))
+        size = np.minimum(np.fromiter(map(len, x), np.int64, len(x)), np.fromiter(map(len, y), np.int64, len(y)))
+        keep = np.zeros(len(s), bool)
+        for own in np.unique(size).tolist():  # sizes of sets that can be linked differ by less than 2
+            at = np.flatnonzero(size == own)
+            keep[at] = _may_share(s[at], t[at], _folded([x[k] for k in at], own), _folded([y[k] for k in at], own))
         yield batch.select(["a", "b", "key_a", "key_b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -232,15 +243,18 @@ def _tiled(tiles: DataFrame, sets: DataFrame) -> DataFrame:
     elements that by their parities may be linked with one of another class there."""
 
     def likely(key, t):
-        n, own, x = t.column("n").to_numpy(), t.column("own").to_numpy(), _words(t.column("parities").to_pylist())
-        side = t.column("side").to_numpy()
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        n, own, parts = t.column("n").to_numpy(), t.column("own").to_numpy(), t.column("parities").to_pylist()
+        side, size = t.column("side").to_numpy(), np.fromiter(map(len, parts), np.int64, len(parts))
         keep = np.zeros(len(n), bool)
-        for at in range(0, len(left), 64):
-            some = left[at : at + 64]
-            near = _may_share(n[some][:, None], n[right][None, :], x[some][:, None], x[right][None, :]) & (own[some][:, None] != own[right][None, :])
-            keep[some] |= near.any(1)
-            keep[right] |= near.any(0)
+        for least in np.unique(size).tolist():  # pairs of which the shorter one has so many bytes; the other has them or twice as many
+            here = np.flatnonzero((size == least) | (size == 2 * least))
+            x, left, right = _folded([parts[k] for k in here], least), side[here] != 1, side[here] != 0
+            for at in range(0, len(here), 64):
+                some = np.arange(at, min(at + 64, len(here)))[left[at : at + 64]]
+                i, j = here[some][:, None], here[right][None, :]
+                near = _may_share(n[i], n[j], x[some][:, None], x[right][None, :]) & (own[i] != own[j]) & (np.minimum(size[i], size[j]) == least)
+                keep[here[some]] |= near.any(1)
+                keep[here[right]] |= near.any(0)
         return t.select(["bucket", "tile", "side", "rep", "own", "key"]).filter(pa.array(keep))
 
     def run(key, t):

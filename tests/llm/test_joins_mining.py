@@ -111,6 +111,35 @@ def test_packed_elements_come_back():
     assert (jaccard.unpacked(jaccard.packed(x)) == x).all() and len(jaccard.unpacked(b"")) == 0
 
 
+def test_parities_bound_what_two_sets_share():
+    r = np.random.default_rng(5)
+    for n in (1, 3, 500, 2047, 2048, 3000, 4100, 9000, 20_000):
+        x = np.unique(r.integers(1 << jaccard.BITS, size=n, dtype=np.uint64))
+        for kept in (0.0, 0.5, 0.79, 0.9, 1.0):
+            for more in (0.0, 0.1, 0.24):
+                y = np.unique(np.concatenate([x[r.random(len(x)) < kept], r.integers(1 << jaccard.BITS, size=int(n * more) + 1, dtype=np.uint64)]))
+                if not min(len(x), len(y)) * 100 >= max(len(x), len(y)) * 80:
+                    continue
+                p, q = jaccard.parities(x), jaccard.parities(y)
+                size = min(len(p), len(q))
+                assert max(len(p), len(q)) <= 2 * size
+                may = jaccard._may_share(np.array([len(x)]), np.array([len(y)]), jaccard._folded([p], size), jaccard._folded([q], size))[0]
+                both = len(np.intersect1d(x, y))
+                assert may or not jaccard.linked_sizes(both, len(x), len(y))
+                if both < 0.5 * len(x) and n > 100:
+                    assert not may
+
+
+def test_long_texts_that_share_a_passage(spark):
+    r = random.Random(9)
+    word = lambda: f"w{r.randrange(5000)}"
+    passage = " ".join(word() for _ in range(50))
+    base = [word() for _ in range(6000)]
+    rows = [(i, passage + " " + " ".join(word() for _ in range(r.choice([300, 2500, 5000])))) for i in range(45)]
+    rows += [(100 + i, passage + " " + " ".join(base[: 6000 - 400 * i])) for i in range(4)] + [(200, edited(r, base, 40)), (201, edited(r, base, 900))]
+    assert sorted(map(tuple, jaccard.report(docs_of(spark, rows)).collect()), key=repr) == plain_join(rows)
+
+
 # --- op12
 
 
