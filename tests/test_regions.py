@@ -198,3 +198,13 @@ def test_a_calibration_of_tables_is_the_same_for_columns_and_images(spark):
     frames = saver.from_array(spark, "m", np.tile(img, (1, 6, 1)))
     warm = reading.read_frames(frames, reading.ReadOptions(calibration=own)).first()
     assert (np.frombuffer(warm.px, "<u2").reshape(12, 50) == own.apply(np.tile(img, (6, 1)))).all()
+
+
+def test_runs_of_a_polygon_need_no_shuffle_and_no_window(spark):
+    df = spark.createDataFrame([(0, i, [{"x": x, "y": y} for x, y in p]) for i, p in enumerate(shapes(5))], POLYGONS)
+    plan = raster.spans(df, 20, 16)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
+    far = [[(-70000.0, -3.0), (90000.0, 7.0), (5.0, 60000.0)], [(-9.0, -9.0), (-3.0, 40.0), (-1.0, 2.0)], [(3.0, -5.0), (3.0, -1.0), (9.0, -2.0)]]
+    df = spark.createDataFrame([(0, i, [{"x": x, "y": y} for x, y in p]) for i, p in enumerate(far)], POLYGONS)
+    got = sorted((r.poly_id, r.y, x) for r in raster.spans(df, 20, 16).collect() for x in range(r.a, r.b + 1))
+    assert got == [(i, y, x) for i, p in enumerate(far) for y, x in pg.fill_pixels(p, 20, 16)]
