@@ -208,3 +208,22 @@ def test_runs_of_a_polygon_need_no_shuffle_and_no_window(spark):
     df = spark.createDataFrame([(0, i, [{"x": x, "y": y} for x, y in p]) for i, p in enumerate(far)], POLYGONS)
     got = sorted((r.poly_id, r.y, x) for r in raster.spans(df, 20, 16).collect() for x in range(r.a, r.b + 1))
     assert got == [(i, y, x) for i, p in enumerate(far) for y, x in pg.fill_pixels(p, 20, 16)]
+
+
+def test_regions_meet_frames_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(raster, "CELL_FRAMES", 2)
+    monkeypatch.setattr(raster, "CELL_POLYGONS", 3)
+    own = shapes(14)
+    df = spark.createDataFrame([(i % 2 if i else None, i, [{"x": x, "y": y} for x, y in p]) for i, p in enumerate(own)], POLYGONS)
+    r = np.random.default_rng(1)
+    rows = [(f % 2, f, y, x, None if r.random() < 0.3 or f == 2 else float(r.integers(0, 99))) for f in range(9) for y in range(16) for x in range(20) if r.random() < 0.5]
+    rows += [(None, 7, 1, 1, 5.0), (5, 70, 1, 1, 5.0), (1, 3, -1, 0, 1.0), *rows[:200]]  # also pixels twice, outside, of no movie, of one without regions
+    px = spark.createDataFrame(rows, "movie_id int, frame int, y int, x int, px double")
+    out = raster.region_values(px, df, 20, 16)
+    plain = px.join(raster.covered(df, 20, 16, by=("movie_id",)), ["movie_id", "y", "x"]).groupBy("movie_id", "frame", "poly_id").agg(F.count("*").alias("n"), F.avg("px").alias("mean"), F.max("px").alias("max"))
+    assert out.schema.simpleString() == plain.schema.simpleString()
+    told = lambda t: sorted((x.movie_id, x.frame, x.poly_id, x.n, None if x.mean is None else round(x.mean, 9), x.max) for x in t.collect())
+    assert told(out) == told(plain) and len(told(out)) > 50
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan  # pairs come out of the meeting: no shuffle and no aggregate over them
+    assert plan.index("FlatMapCoGroupsInArrow") < plan.index("Exchange") and "Aggregate" not in plan[: plan.index("FlatMapCoGroupsInArrow")]
