@@ -48,16 +48,46 @@ def convex_hull(p: Column) -> Column:
     return F.when(F.size(p) < 3, points).otherwise(let(F.array_sort(F.array_distinct(points)), of))
 
 
-def minimum_area_box(hull: Column) -> Column:
+def minimum_area_box(hull: Column, decimals: int | None = None) -> Column:
     """As _box, of a hull that is worked out once."""
-    return let(hull, _box)
+    return let(hull, lambda own: _box(own, decimals))
 
 
-def _box(hull: Column) -> Column:
-    """cx, cy, width <= height, and the angles (radians) of both sides of the least box around a hull as from convex_hull; of
-    sides that give equal boxes the first; zeros for no points. One of its sides is along a side of the hull."""
+_BOX = ("cx", "cy", "width", "height", "width_angle", "height_angle")
+
+
+def _box(hull: Column, decimals: int | None) -> Column:
+    """cx, cy, width <= height, and the angles (radians) of both sides of the least box around a hull as from convex_hull; zeros for no
+    points. One of its sides is along a side of the hull; of sides that give equal boxes the first one's.
+
+    decimals: areas that are equal to so many are ties; then the box counts that has the least angle, in (-pi, pi], of a line from one
+    corner of the hull to another along or across it."""
     ends = F.when(F.size(hull) > 1, F.slice(hull, F.lit(2), F.size(hull))).otherwise(hull)
-    sides = F.zip_with(F.slice(hull, F.lit(1), F.size(ends)), ends, lambda a, b: F.atan2(b["y"] - a["y"], b["x"] - a["x"]))
+    sides = F.zip_with(F.slice(hull, F.lit(1), F.size(ends)), ends, lambda a, b: F.struct((b["x"] - a["x"]).alias("x"), (b["y"] - a["y"]).alias("y")))
+    boxes = F.transform(sides, lambda d: _around(hull, d, decimals))
+    if decimals is None:
+        kind = "struct<" + ",".join(f"{k}:double" for k in ("area", "x", "y", *_BOX)) + ">"
+        less = lambda best, b: F.when(best.isNull() | (b["area"] < best["area"] - 1e-12), b).otherwise(best)
+        found = F.aggregate(boxes, F.lit(None).cast(kind), less)
+    else:
+        least = lambda of: F.array_min(F.transform(of, lambda b: b["area"]))
+        tied = lambda of: let(least(of), lambda m: F.filter(of, lambda b: b["area"] <= m))
+        ranked = lambda of: F.transform(of, lambda b: F.struct(_least_angle(hull, b["x"], b["y"]).alias("angle"), b.alias("b")))
+        found = let(let(boxes, tied), lambda of: F.when(F.size(of) < 2, F.get(of, 0)).otherwise(F.array_min(ranked(of))["b"]))
+    return let(found, lambda b: F.struct(*[F.coalesce(b[k], F.lit(0.0)).alias(k) for k in _BOX]))
+
+
+def _least_angle(hull: Column, x: Column, y: Column) -> Column:
+    """Of lines between corners of a hull, along or across (x, y) in either direction, the least angle."""
+    across = lambda a, b: (b["x"] - a["x"]) * x + (b["y"] - a["y"]) * y
+    along = lambda a, b: (b["x"] - a["x"]) * y - (b["y"] - a["y"]) * x
+    scale = lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"]) * F.hypot(x, y)
+    on = lambda a, b: ((a["x"] != b["x"]) | (a["y"] != b["y"])) & (F.least(F.abs(across(a, b)), F.abs(along(a, b))) <= 1e-12 * scale(a, b))
+    return F.array_min(F.transform(hull, lambda a: F.array_min(F.transform(F.filter(hull, lambda b: on(a, b)), lambda b: F.atan2(b["y"] - a["y"], b["x"] - a["x"])))))
+
+
+def _around(hull: Column, d: Column, decimals: int | None) -> Column:
+    """The box around a hull along d, and its area, rounded to decimals."""
 
     def box(angle: Column) -> Column:
         turn = F.struct(F.cos(angle).alias("c"), F.sin(angle).alias("s"))
@@ -70,13 +100,11 @@ def _box(hull: Column) -> Column:
         mu, mv = (e["u1"] + e["u0"]) / 2, (e["v1"] + e["v0"]) / 2
         along = F.when(w >= h, -angle).otherwise(F.lit(math.pi / 2) - angle)
         return F.struct(
+            (w * h if decimals is None else F.round(w * h, decimals)).alias("area"), d["x"].alias("x"), d["y"].alias("y"),
             (mu * c - mv * s).alias("cx"), (mu * s + mv * c).alias("cy"), F.least(w, h).alias("width"), F.greatest(w, h).alias("height"), (along - F.lit(math.pi / 2)).alias("width_angle"), along.alias("height_angle")
         )
 
-    kind = "struct<" + ",".join(f"{k}:double" for k in ("cx", "cy", "width", "height", "width_angle", "height_angle")) + ">"
-    less = lambda best, b: F.when(best.isNull() | (b["width"] * b["height"] < best["width"] * best["height"] - 1e-12), b).otherwise(best)
-    found = F.aggregate(F.transform(sides, box), F.lit(None).cast(kind), less)
-    return F.coalesce(found, F.struct(*[F.lit(0.0).alias(k) for k in ("cx", "cy", "width", "height", "width_angle", "height_angle")]))
+    return let(F.atan2(d["y"], d["x"]), box)
 
 
 def without_collinear(p: Column) -> Column:

@@ -170,7 +170,7 @@ k AS (SELECT *, u1 - u0 AS p, v1 - v0 AS q, (u0 + u1) / 2 AS mu, (v0 + v1) / 2 A
 SELECT poly_id, round(mu * cos(angle) - mv * sin(angle), 4) + 0 AS cx, round(mu * sin(angle) + mv * cos(angle), 4) + 0 AS cy, round(least(p, q), 4) + 0 AS width, round(greatest(p, q), 4) + 0 AS height FROM k WHERE n = 1
 UNION ALL SELECT poly_id, min(x), min(y), 0.0, 0.0 FROM u GROUP BY poly_id HAVING count(*) = 1""")
 def least_box(spark, d):
-    box = tables.polygons(spark, d).select("poly_id", shapes.minimum_area_box(shapes.convex_hull(F.col("pts"))).alias("b"))
+    box = tables.polygons(spark, d).select("poly_id", shapes.minimum_area_box(shapes.convex_hull(F.col("pts")), decimals=6).alias("b"))
     return box.select("poly_id", *[(F.round(F.col(f"b.{k}"), 4) + F.lit(0.0)).alias(k) for k in ("cx", "cy", "width", "height")])
 
 
