@@ -51,10 +51,10 @@ def resample(series: DataFrame, times: DataFrame, pad: float | None = None, inte
     return found.select("series_id", "t", F.when(p.isNull() | n.isNull(), edge).when(p["t"] == t, p["v"]).otherwise(inside).alias("v"))
 
 
-def resample_pair(a: DataFrame, b: DataFrame, strategy: Strategy) -> DataFrame:
-    """t, a, b of two single series on their common times."""
+def resample_pair(a: DataFrame, b: DataFrame, strategy: Strategy, width: float | None = None) -> DataFrame:
+    """t, a, b of two single series on their common times. width: the time ranges by which both are dealt to tasks."""
     both = a.withColumn("series_id", F.lit(0)).unionByName(b.withColumn("series_id", F.lit(1)))
     grid = extract_times(both, strategy).distinct()
     pad = 0.0 if strategy & Strategy.PAD_0 else None
-    out = resample(both, grid.withColumn("series_id", F.explode(F.array(F.lit(0), F.lit(1)))), pad, bool(strategy & Strategy.INTERPOLATION))
+    out = resample(both, grid.withColumn("series_id", F.explode(F.array(F.lit(0), F.lit(1)))), pad, bool(strategy & Strategy.INTERPOLATION), width)
     return out.groupBy("t").agg(F.max(F.when(F.col("series_id") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("series_id") == 1, F.col("v"))).alias("b"))

@@ -53,7 +53,7 @@ n AS (SELECT g.series_id, g.t, s.t AS nt, s.v AS nv FROM grid g ASOF LEFT JOIN s
 
 
 #: Seconds of a series that go to one task.
-RANGE = 30 * 86_400.0
+RANGE = 86_400.0
 
 
 def _grid(spark, d):
@@ -85,5 +85,5 @@ def pair(spark, d):
     s = series(spark, d)
     ends = s.agg(F.min("series_id"), F.max("series_id")).first()
     a, b = (s.where(F.col("series_id") == x).drop("series_id") for x in ends)
-    out = sr.resample_pair(a, b, sr.Strategy.INTERSECTION | sr.Strategy.INTERPOLATION)
+    out = sr.resample_pair(a, b, sr.Strategy.INTERSECTION | sr.Strategy.INTERPOLATION, RANGE)
     return out.select("t", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))

@@ -227,3 +227,12 @@ def test_regions_meet_frames_in_blocks(spark, monkeypatch):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan  # pairs come out of the meeting: no shuffle and no aggregate over them
     assert plan.index("FlatMapCoGroupsInArrow") < plan.index("Exchange") and "Aggregate" not in plan[: plan.index("FlatMapCoGroupsInArrow")]
+
+
+def test_a_pair_of_series_is_dealt_by_ranges(spark):
+    r = random.Random(5)
+    both = [[(float(t), float(r.randrange(99))) for t in sorted(r.sample(range(300), 60))] for _ in range(2)]
+    a, b = (spark.createDataFrame(x, "t double, v double") for x in both)
+    for strategy in (sr.Strategy.UNION, sr.Strategy.INTERSECTION | sr.Strategy.INTERPOLATION, sr.Strategy.PAD_0 | sr.Strategy.INTERPOLATION):
+        whole = sorted(map(tuple, sr.resample_pair(a, b, strategy).collect()))
+        assert [sorted(map(tuple, sr.resample_pair(a, b, strategy, width).collect())) for width in (7.0, 1000.0)] == [whole, whole] and len(whole) > 60
